@@ -78,3 +78,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_toxicity, op2_quality_rules, op3_url_filters, op4_suffix_array_dedup, op5_mixing, op6_ngram_jaccard_join, op7_exact_topk, op8_html_extraction, op9_best_fit_packing, op10_sharding)
     return {f.__name__: f for f in own}
+
+
+def oracle_sql() -> dict[str, str]:
+    """Toxicity and URL scores come from fitted models, spans from an index, main texts from a parser and pieces from a tokenizer: none is for SQL, and the tests hold them against brute force."""
+    from .oracles import SQL
+
+    return dict(SQL)
