@@ -19,7 +19,7 @@ _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 SHARE = 4e-6
 #: Documents of a bundle that one task compares with as many others.
 BLOCK = 1000
-_SUFFIX_CELLS = 8
+_CELLS = 16
 
 
 class Words:
@@ -113,38 +113,30 @@ def common_words(docs: DataFrame, n_col: str = "text") -> Common:
     return Common(h[order], c[order])
 
 
-def _linked(sizes: np.ndarray, sets: list[np.ndarray], split: int, pivots: list[list[int]], own: int, percent: int) -> np.ndarray:
-    """Smallest index that each set of a bundle reaches by links; pairs within the first split sets or within the others count only if split is 0."""
-    m = len(sets)
-    owner = np.repeat(np.arange(m), sizes)
-    flat = np.concatenate(sets)
-    _, token = np.unique(flat, return_inverse=True)
-    times = np.bincount(token)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    prefix = prefix_length(sizes, percent)
+def overlaps(tokens: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """Common tokens of the sets at rows with all sets, by products of blocks of the incidence matrix."""
+    m = len(tokens)
+    out = np.zeros((len(rows), m), np.float32)
+    owner = np.repeat(np.arange(m), [len(t) for t in tokens])
+    _, t, times = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    use = times[t] > 1
+    _, t = np.unique(t[use], return_inverse=True)
+    order = np.argsort(t, kind="stable")
+    t, owner = t[order], owner[use][order]
+    for a in range(0, int(t[-1]) + 1 if len(t) else 0, 4096):
+        i, j = np.searchsorted(t, [a, a + 4096])
+        x = np.zeros((m, min(4096, int(t[-1]) + 1 - a)), np.float32)
+        x[owner[i:j], t[i:j] - a] = 1
+        out += x[rows] @ x.T
+    return out.astype(np.int64)
+
+
+def candidates(sizes: np.ndarray, shared: list[np.ndarray], cells: np.ndarray, split: int, pivots: list[list[int]], own: int, percent: int) -> np.ndarray:
+    """Which pairs i < j of a bundle may link. split: only pairs across that place count, unless it is 0. shared: tokens of the prefixes that others share."""
+    at = np.arange(len(sizes))
     low, high = np.minimum.outer(sizes, sizes), np.maximum.outer(sizes, sizes)
     need = -(-percent * np.add.outer(sizes, sizes) // (100 + percent))
-
-    def overlap(use: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Common tokens among those in use, of the rows with all."""
-        out = np.zeros((len(rows), m), np.float32)
-        use = use & (times[token] > 1)
-        t, o = token[use], owner[use]
-        _, t = np.unique(t, return_inverse=True)
-        row = np.full(m, -1)
-        row[rows] = np.arange(len(rows))
-        order = np.argsort(t, kind="stable")
-        t, o = t[order], o[order]
-        for a in range(0, int(t[-1]) + 1 if len(t) else 0, 4096):
-            i, j = np.searchsorted(t, [a, a + 4096])
-            x = np.zeros((m, 4096), np.float32)
-            x[o[i:j], t[i:j] - a] = 1
-            out += x[rows] @ x.T
-        return out.astype(np.int64)
-
-    everyone = np.arange(m)
-    maybe = 100 * low >= percent * high  # length
-    maybe &= everyone[:, None] < everyone[None, :]
+    maybe = (100 * low >= percent * high) & (at[:, None] < at[None, :])  # length
     if split:
         maybe[:split, :split] = maybe[split:, split:] = False
     seen: dict[int, list[int]] = {}
@@ -155,32 +147,53 @@ def _linked(sizes: np.ndarray, sets: list[np.ndarray], split: int, pivots: list[
     for group in seen.values():  # a pair is verified in the bundle of its smallest common pivot only
         maybe[np.ix_(group, group)] = False
     if maybe.any():
-        in_prefix = place < np.repeat(prefix, sizes)
-        c = overlap(in_prefix, everyone)
-        # Positional: what follows the shorter prefix is all that can be common beyond the common tokens of both prefixes.
-        maybe &= (c > 0) & (c + np.maximum.outer(sizes - prefix, sizes - prefix) >= need)
+        c = overlaps(shared, at)
+        rest = sizes - prefix_length(sizes, percent)
+        # Positional: beyond the common tokens of both prefixes, only what follows the prefix that ends first can be common.
+        maybe &= (c > 0) & (c + np.maximum.outer(rest, rest) >= need)
     if maybe.any():
-        # Suffix: tokens by cell of their hash; sets can't share more of a cell than the smaller number.
-        cell = (flat >> _U(61)).astype(np.int64)
-        cells = np.bincount(owner * _SUFFIX_CELLS + cell, minlength=m * _SUFFIX_CELLS).reshape(m, _SUFFIX_CELLS)
-        bound = sum(np.minimum.outer(cells[:, k], cells[:, k]) for k in range(_SUFFIX_CELLS))
+        # Suffix: sets can't share more of a cell of hashes than the smaller number of tokens in it.
+        bound = sum(np.minimum.outer(cells[:, k], cells[:, k]) for k in range(_CELLS))
         maybe &= bound >= need
-    label = everyone.copy()
-    if maybe.any():
-        rows = np.flatnonzero(maybe.any(axis=1))
-        both = overlap(np.ones(len(flat), bool), rows)
-        link = maybe[rows] & (100 * both >= percent * (np.add.outer(sizes[rows], sizes) - both))
-        a, b = np.nonzero(link)
-        a = rows[a]
-        while True:  # the smallest label spreads along links
-            new = label.copy()
-            np.minimum.at(new, a, label[b])
-            np.minimum.at(new, b, label[a])
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-    return label
+    return maybe
+
+
+def linked(sizes: np.ndarray, sets: list[np.ndarray], maybe: np.ndarray, percent: int) -> np.ndarray:
+    """Smallest index that each set reaches by links among the pairs that may link."""
+    label = np.arange(len(sizes))
+    rows = np.flatnonzero(maybe.any(axis=1))
+    both = overlaps(sets, rows)
+    a, b = np.nonzero(maybe[rows] & (100 * both >= percent * (np.add.outer(sizes[rows], sizes) - both)))
+    a = rows[a]
+    while True:  # the smallest label spreads along links
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def cell_counts(tokens: np.ndarray) -> np.ndarray:
+    return np.bincount((tokens >> _U(60)).astype(np.int64), minlength=_CELLS).astype("<i4")
+
+
+def dealt(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """rows(k, pivot, ...) with own, i and j: a bundle's members are dealt to blocks, and each goes to all pairs of blocks that its own is in."""
+    sizes = rows.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    own = rows.join(sizes, "pivot").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return other.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other")
+
+
+def _members(table: pa.Table) -> tuple[pa.Table, np.ndarray, int]:
+    """A pair of blocks without repeated rows, its keys, and where its second block begins (0: it is one block)."""
+    table = table.sort_by([("own", "ascending"), ("k", "ascending")])
+    own, k = table["own"].to_numpy(), table["k"].to_numpy()
+    first = np.concatenate(([True], k[1:] != k[:-1]))
+    table, own, k = table.filter(pa.array(first)), own[first], k[first]
+    return table, k, 0 if own[0] == own[-1] else int((own == own[0]).sum())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -207,8 +220,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Equal sets are one node. A node's prefix is its first n-grams in a global order from rare to common; two sets that link share
     an n-gram of their prefixes. All nodes that share one are bundled under that n-gram's smallest node, its pivot, so
     every candidate pair meets in a bundle, and no pair becomes a row: a task takes two blocks of a bundle, filters by length,
-    position and suffix, verifies what is left once, and hands on at most one edge per member. Large bundles are cut into
-    blocks, each pair of which is a task of its own. Hot n-grams are counted in tasks first.
+    position and suffix, and hands on the members that may link. Only their sets are fetched and dealt to bundles again, where what the
+    filters leave is verified once and at most one edge per member handed on. Large bundles are cut into blocks, each pair of which is
+    a group of its own.
 
     Null or empty texts have an empty set and their own id; equal ids share what any of their rows links to only if their sets link; an
     empty table gives an empty one; other columns aren't read.
@@ -220,7 +234,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = Words(), set()
         for b in batches:
-            size, key, h, of = [], [], [], []
+            size, key, h, cells = [], [], [], []
             for x in b.column(1):
                 s = rare_first(x.as_py(), words, common, n)
                 size.append(len(s))
@@ -229,52 +243,88 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 first = len(s) and k not in seen
                 seen.add(k)
                 h.append(s[: prefix_length(len(s), percent)].view(np.int64) if first else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(key, pa.int64()), pa.array(h, pa.list_(pa.int64()))], names=["id", "n", "k", "prefix"])
+                cells.append(cell_counts(s).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(size, pa.int64()), pa.array(key, pa.int64()), pa.array(h, pa.list_(pa.int64())), pa.array(cells, pa.binary())], names=["id", "n", "k", "prefix", "cells"]
+            )
 
-    nodes = staged(kept.mapInArrow(keyed, f"id {id_type}, n long, k long, prefix array<long>"))
-    grams = nodes.filter("prefix is not null").select("k", F.explode("prefix").alias("h"))
-    pivots = grams.groupBy("h").agg(F.min("k").alias("pivot"), F.max("k").alias("last")).filter("pivot <> last").select("h", "pivot")
-    members = staged(grams.join(pivots, "h").groupBy("k").agg(F.array_sort(F.collect_set("pivot")).alias("pivots")))
-    sizes = members.select(F.explode("pivots").alias("pivot")).groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    where = members.withColumn("pivot", F.explode("pivots")).join(sizes, "pivot").groupBy("k", "pivots").agg(F.collect_list(F.struct("pivot", "blocks")).alias("bundles"))
-    one = nodes.filter("k is not null").groupBy("k").agg(F.min("id").alias("id"))
-    wanted = where.join(one, "k").select(F.col("id").alias("of"), "k", "pivots", "bundles")
+    nodes = staged(kept.mapInArrow(keyed, f"id {id_type}, n long, k long, prefix array<long>, cells binary"))
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows in the order of h and k: those whose h has several k, with the smallest. The first row of a gram is held back until the next."""
+        gram = pivot = None
+        alone = False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            h, k = b.column(0).to_numpy(), b.column(1).to_numpy()
+            new = np.concatenate(([h[0] != gram], h[1:] != h[:-1]))
+            head = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
+            p = np.where(head >= 0, k[head], 0 if pivot is None else pivot)
+            other = k != p
+            use = other.copy()
+            firsts = np.unique(head[other])  # heads that turn out to have company
+            out_h, out_k, out_p = [], [], []
+            if len(firsts) and firsts[0] < 0:
+                if alone:
+                    out_h, out_k, out_p = [gram], [pivot], [pivot]
+                    alone = False
+                firsts = firsts[1:]
+            use[firsts] = True
+            if new.any():
+                last = int(head[-1])
+                alone, gram, pivot = not use[last], int(h[last]), int(k[last])
+            cols = [np.concatenate([np.array(x, np.int64), y[use]]) for x, y in ((out_k, k), (out_h, h), (out_p, p))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["k", "h", "pivot"])
+
+    # One shuffle of hash and key; a gram's rows are streamed in order, with one key held.
+    grams = nodes.filter("prefix is not null").select(F.explode("prefix").alias("h"), "k").repartition("h").sortWithinPartitions("h", "k")
+    pairs = grams.mapInArrow(shared, "k long, h long, pivot long").groupBy("k").agg(F.collect_set("h").alias("shared"), F.array_sort(F.collect_set("pivot")).alias("pivots"))
+    one = nodes.filter("k is not null").groupBy("k").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("cells").alias("cells"))
+    members = staged(pairs.join(one, "k"))
+
+    def likely(table: pa.Table) -> pa.Table:
+        p = table["pivot"][0].as_py()
+        table, k, split = _members(table)
+        maybe = candidates(
+            table["n"].to_numpy(), [np.asarray(x, np.int64) for x in table["shared"].to_pylist()], np.stack([np.frombuffer(x, "<i4") for x in table["cells"].to_pylist()]),
+            split, table["pivots"].to_pylist(), p, percent,
+        )
+        k = k[maybe.any(axis=0) | maybe.any(axis=1)]
+        return pa.table({"k": k, "pivot": np.full(len(k), p)})
+
+    rows = dealt(members.select("k", "n", "shared", "cells", "pivots", F.explode("pivots").alias("pivot")))
+    some = rows.groupBy("pivot", "i", "j").applyInArrow(likely, "k long, pivot long").groupBy("k").agg(F.array_sort(F.collect_set("pivot")).alias("pivots"))
+    wanted = staged(some.join(members.select("k", "id", "shared"), "k")).select(F.col("id").alias("of"), "k", "pivots", "shared")
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for b in batches:
             sets = [rare_first(x.as_py(), words, common, n) for x in b.column(3)]
             same = pa.array([node_key(s) == k.as_py() for s, k in zip(sets, b.column(0), strict=True)], pa.bool_())  # not so for another row of an equal id
-            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([s.tobytes() for s in sets], pa.binary())], names=["k", "pivots", "bundles", "tokens"])
+            out = pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([s.tobytes() for s in sets], pa.binary())], names=["k", "pivots", "shared", "tokens"])
             yield out.filter(same)
 
-    texts = kept.join(wanted, F.col("id") == F.col("of"))
-    sets = texts.select("k", "pivots", "bundles", "text").mapInArrow(with_sets, "k long, pivots array<long>, bundles array<struct<pivot:long,blocks:int>>, tokens binary")
-    dealt = sets.withColumn("bundle", F.explode("bundles")).withColumn("own", F.pmod(F.xxhash64("k"), F.col("bundle.blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("bundle.blocks") - 1))).select(
-        "k", "pivots", "tokens", "own", F.col("bundle.pivot").alias("pivot"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
-    )
+    texts = kept.join(wanted, F.col("id") == F.col("of")).select("k", "pivots", "shared", "text")
+    sets = texts.mapInArrow(with_sets, "k long, pivots array<long>, shared array<long>, tokens binary")
 
     def links(table: pa.Table) -> pa.Table:
-        p, i, j = (table[c][0].as_py() for c in ("pivot", "i", "j"))
-        table = table.sort_by([("own", "ascending"), ("k", "ascending")])
-        k, at = np.unique(table["k"].to_numpy(), return_index=True)  # repeated ids
-        own = table["own"].to_numpy()[at]
-        order = np.lexsort((k, own))
-        k, at, own = k[order], at[order], own[order]
-        split = 0 if i == j else int((own == i).sum())
-        if len(k) < 2 or i != j and split in (0, len(k)):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        tokens, lists = table["tokens"], table["pivots"]
-        sets_ = [np.frombuffer(tokens[x].as_py(), _U) for x in at.tolist()]
-        label = _linked(np.array([len(s) for s in sets_]), sets_, split, [lists[x].as_py() for x in at.tolist()], p, percent)
+        p = table["pivot"][0].as_py()
+        table, k, split = _members(table)
+        tokens = [np.frombuffer(x, _U) for x in table["tokens"].to_pylist()]
+        sizes = np.array([len(t) for t in tokens])
+        maybe = candidates(sizes, [np.asarray(x, np.int64) for x in table["shared"].to_pylist()], np.stack([cell_counts(t) for t in tokens]), split, table["pivots"].to_pylist(), p, percent)
+        label = linked(sizes, tokens, maybe, percent) if maybe.any() else np.arange(len(k))
         far = label != np.arange(len(k))
-        return pa.table({"a": pa.array(k[far]), "b": pa.array(k[label[far]])})
+        return pa.table({"a": k[far], "b": k[label[far]]})
 
-    edges = dealt.groupBy("pivot", "i", "j").applyInArrow(links, "a long, b long")
+    # Blocks are counted before the texts are fetched.
+    bundles = dealt(wanted.select("k", F.explode("pivots").alias("pivot"))).groupBy("k").agg(F.collect_list(F.struct("pivot", "own", "i", "j")).alias("bundles")).withColumnRenamed("k", "of_k")
+    ready = sets.join(bundles, F.col("k") == F.col("of_k")).withColumn("x", F.explode("bundles")).select("k", "pivots", "shared", "tokens", "x.*")
+    edges = ready.groupBy("pivot", "i", "j").applyInArrow(links, "a long, b long")
     roots = components(edges)
-    rows = nodes.select("id", "n", "k").join(roots.withColumnRenamed("a", "of"), F.col("k") == F.col("of"), "left").withColumn("c", F.coalesce("root", "k"))
-    least = rows.filter("c is not null").groupBy("c").agg(F.min("id").alias("component_id")).withColumnRenamed("c", "of_c")
-    return rows.select("id", "n", "c").join(least, F.col("c") == F.col("of_c"), "left").select(
+    every = nodes.select("id", "n", "k").join(roots.withColumnRenamed("a", "of"), F.col("k") == F.col("of"), "left").withColumn("c", F.coalesce("root", "k"))
+    least = every.filter("c is not null").groupBy("c").agg(F.min("id").alias("component_id")).withColumnRenamed("c", "of_c")
+    return every.select("id", "n", "c").join(least, F.col("c") == F.col("of_c"), "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
     )
