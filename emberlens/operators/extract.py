@@ -170,7 +170,11 @@ def settings(events: DataFrame) -> DataFrame:
     sections = {"jvm": "JVM Information", "spark": "Spark Properties", "hadoop": "Hadoop Properties", "system": "System Properties", "classpath": "Classpath Entries"}
     rows = _of(events, "SparkListenerEnvironmentUpdate", ", ".join(f"`{s}` map<string,string>" for s in sections.values()))
     last = rows.groupBy(*KEY).agg(F.max_by("e", F.struct("part", "line")).alias("e"), F.max(F.struct("part", "file", "line")).alias("src"))
-    flat = F.concat(*[F.transform(F.map_entries(F.coalesce(F.col(f"e.`{name}`"), F.create_map().cast("map<string,string>"))), lambda x, s=s: F.struct(F.lit(s).alias("section"), x["key"].alias("key"), x["value"].alias("value"))) for s, name in sections.items()])
+    def entries(section: str, name: str) -> Column:
+        pairs = F.map_entries(F.coalesce(F.col(f"e.`{name}`"), F.create_map().cast("map<string,string>")))
+        return F.transform(pairs, lambda x: F.struct(F.lit(section).alias("section"), x["key"].alias("key"), x["value"].alias("value")))
+
+    flat = F.concat(*[entries(s, name) for s, name in sections.items()])
     kv = last.select(*KEY, "src.*", F.inline(flat))
     hidden = is_sensitive(F.col("key"))
     return kv.withColumn("redacted", hidden).withColumn("value", F.when(hidden, MASK).otherwise(redact_text(F.col("value"))))

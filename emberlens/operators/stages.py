@@ -123,7 +123,7 @@ def stages(stage_events: DataFrame, totals: DataFrame, app_ended: DataFrame) ->
     last = F.struct("completed_event", "part", "line")
     facts = stage_events.groupBy(*STAGE).agg(*[F.max_by(c, last).alias(c) for c in ("name", "num_tasks", "parents", "details", "failure")], F.min("submitted").alias("submitted"), F.max("completed").alias("completed"), F.bool_or("completed_event").alias("ended"))
     rows = facts.join(totals.select(*STAGE, "tasks", "run_ms"), list(STAGE), "left").join(app_ended.select(*KEY, F.lit(True).alias("app_ended")), list(KEY), "left")
-    state = F.when(F.col("failure").isNotNull(), "failed").when("ended", "complete").when(F.col("tasks").isNull() & F.col("submitted").isNull(), "skipped").when("app_ended", "incomplete").otherwise("running")
+    state = F.when(F.col("failure").isNotNull(), "failed").when(F.col("ended"), "complete").when(F.col("tasks").isNull() & F.col("submitted").isNull(), "skipped").when(F.col("app_ended"), "incomplete").otherwise("running")
     return rows.withColumn("state", state).withColumn("call_site", call_site(F.col("name"))).withColumn("wall_ms", F.col("completed") - F.col("submitted"))
 
 
@@ -261,6 +261,7 @@ def run_path(apps: DataFrame, stages: DataFrame, jobs: DataFrame, slack: int = 5
             out.reverse()
         return pd.DataFrame([(*key, i, *r) for i, r in enumerate(out)], columns=["app_id", "attempt", "step", "kind", "stage_id", "stage_attempt", "start", "end"])
 
+    s, j = s.toDF(*s.columns), j.toDF(*j.columns)  # both come from the same tables: new names tell their keys apart
     return s.groupBy(*KEY).cogroup(j.groupBy(*KEY)).applyInPandas(walk, "app_id string, attempt int, step int, kind string, stage_id int, stage_attempt int, start long, end long")
 
 

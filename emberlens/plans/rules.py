@@ -65,7 +65,7 @@ def _per_app(df: DataFrame) -> DataFrame:
 def job_failed(t: Tables, x: Thresholds) -> DataFrame:
     """Jobs that failed; critical if the application did as well."""
     rows = t["jobs"].filter("failed").join(t["applications"].select(*KEY, (F.col("state") == "failed").alias("app_failed")), list(KEY), "left")
-    level = F.when("app_failed", "critical").otherwise("warning")
+    level = F.when(F.col("app_failed"), "critical").otherwise("warning")
     return finding(_top(rows, F.asc("job_id"), 5), "job-failed", level, "jobs", _at(F.col("error"), F.col("file"), F.col("line")), job=F.col("job_id"), name=F.col("name"))
 
 
