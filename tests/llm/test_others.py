@@ -100,7 +100,7 @@ def test_top_k(spark, blocks):
     r = np.random.default_rng(2)
     rows = [(i, [float(x) for x in np.round(r.normal(size=6), 1)], 0) for i in range(120)]
     rows[7:20] = [(i, rows[50][1], 0) for i in range(7, 20)]  # ties
-    rows += [(200, None, 0), (250, [1.0, None, 0, 0, 0, 0], 0), (300, [float("nan")] * 6, 0), (350, [float("inf")] * 6, 0), (400, [1.0, 2.0], 0), (450, [], 0), (50, rows[50][1], 0)]
+    rows += [(200, None, 0), (250, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (300, [float("nan")] * 6, 0), (350, [float("inf")] * 6, 0), (400, [1.0, 2.0], 0), (450, [], 0), (50, rows[50][1], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
     out = sorted(tuple(x) for x in top_k(df, F.col("vec_id") % 50 == 0, queries_per_block=blocks[0], candidates_per_block=blocks[1]).collect())
     ok = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v, _ in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)}
