@@ -10,23 +10,23 @@ from pyspark.sql import Window as W
 
 
 def fitted_parts(df: DataFrame, whole: str, parts: Sequence[str], other: str) -> DataFrame:
-    """Parts that exceed the whole are scaled down in whole numbers, what rounding leaves going to the first largest; else other is what they leave.
+    """Parts that exceed the whole are scaled down in whole numbers, what rounding leaves going to the first largest scaled one; else other is what they leave.
 
     So parts and other add up to the whole.
     """
     total = sum((F.col(p) for p in parts[1:]), F.col(parts[0]))
-    largest = F.greatest(*[F.col(p) for p in parts]) if len(parts) > 1 else F.col(parts[0])
     scaled = {p: F.when(F.col("__total") > F.col(whole), F.expr(f"`{p}` * `{whole}` div __total")).otherwise(F.col(p)) for p in parts}
-    out = df.withColumn("__total", total).withColumn("__largest", largest)
+    out = df.withColumn("__total", total)
     out = out.withColumns({f"__{p}": v.cast("long") for p, v in scaled.items()})
+    out = out.withColumn("__largest", F.greatest(*[F.col(f"__{p}") for p in parts]) if len(parts) > 1 else F.col(f"__{parts[0]}"))
     used = sum((F.col(f"__{p}") for p in parts[1:]), F.col(f"__{parts[0]}"))
     out = out.withColumn("__rest", F.when(F.col("__total") > F.col(whole), F.col(whole) - used).otherwise(F.lit(0)))
     final: dict[str, Column] = {}
     before = F.lit(False)
     for p in parts:
-        mine = ~before & (F.col(p) == F.col("__largest"))
+        mine = ~before & (F.col(f"__{p}") == F.col("__largest"))
         final[p] = F.col(f"__{p}") + F.when(mine, F.col("__rest")).otherwise(F.lit(0))
-        before = before | (F.col(p) == F.col("__largest"))
+        before = before | (F.col(f"__{p}") == F.col("__largest"))
     left = F.greatest(F.lit(0).cast("long"), F.col(whole) - F.col("__total"))
     kept = [F.col(c) for c in df.columns if c not in parts]
     return out.select(*kept, *[v.alias(p) for p, v in final.items()], left.alias(other))

@@ -306,8 +306,8 @@ def capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH p AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS run, CAST(floor(l_discount * 100) AS BIGINT) AS a, CAST(floor(l_tax * 100) AS BIGINT) AS b, CAST(l_linenumber AS BIGINT) AS c FROM lineitem),
     s AS (SELECT *, a + b + c AS s FROM p), f AS (SELECT *, CASE WHEN s > run THEN a * run // s ELSE a END AS fa, CASE WHEN s > run THEN b * run // s ELSE b END AS fb, CASE WHEN s > run THEN c * run // s ELSE c END AS fc FROM s),
     r AS (SELECT *, CASE WHEN s > run THEN run - fa - fb - fc ELSE 0 END AS rest FROM f)
-    SELECT l_orderkey, l_linenumber, fa + CASE WHEN a >= b AND a >= c THEN rest ELSE 0 END AS a, fb + CASE WHEN b > a AND b >= c THEN rest ELSE 0 END AS b,
-    fc + CASE WHEN c > a AND c > b THEN rest ELSE 0 END AS c, greatest(0, run - s) AS other FROM r"""
+    SELECT l_orderkey, l_linenumber, fa + CASE WHEN fa >= fb AND fa >= fc THEN rest ELSE 0 END AS a, fb + CASE WHEN fb > fa AND fb >= fc THEN rest ELSE 0 END AS b,
+    fc + CASE WHEN fc > fa AND fc > fb THEN rest ELSE 0 END AS c, greatest(0, run - s) AS other FROM r"""
 )
 def split_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select(
