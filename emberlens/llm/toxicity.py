@@ -30,31 +30,41 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def features_of(words: set[str]) -> set[str]:
+    """Words, and what longer ones begin with, so that inflected forms have something in common."""
+    return words | {w[:4] + "*" for w in words if len(w) > 4} | {w[:5] + "*" for w in words if len(w) > 5}
+
+
 class ToxicModel(NamedTuple):
-    """Weights of the words that have one; all others count nothing."""
+    """Weights of the features that have one; all others count nothing."""
 
     weights: dict[str, float]
     bias: float
 
     def score(self, text: str) -> float:
         w = self.weights
-        return float(1 / (1 + np.exp(-np.clip(self.bias + sum(w[x] for x in w.keys() & words_of(text)), -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(self.bias + sum(sorted(w[x] for x in w.keys() & features_of(set(words_of(text))))), -30, 30))))
 
 
 def counterfactuals(words: set[str], vocabulary: dict[str, int]) -> list[tuple[int, int]]:
-    """Pairs of features of which a swap of one identity term takes the first and gives the second; -1 is a word without a feature."""
+    """Pairs of features of which a swap of one identity term takes the first and gives the second; -1 is one without a weight."""
     out = []
     for group in IDENTITY_TERMS:
         for a in group:
             if a in words:
-                out += [(vocabulary.get(a, -1), vocabulary.get(b, -1)) for b in group if b not in words]
+                for b in group:
+                    if b not in words:
+                        for cut in (None, 4, 5):
+                            x, y = (t if cut is None else t[:cut] + "*" for t in (a, b))
+                            if x in vocabulary or y in vocabulary:
+                                out.append((vocabulary.get(x, -1), vocabulary.get(y, -1)))
     return out
 
 
 def fit(rows: Sequence[tuple[Sequence[int], int]], pairs: np.ndarray, dims: int, l1: float = 2e-4, swap: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
     """Accelerated proximal descent on mean log loss + swap * mean squared score change of the counterfactual pairs + l1 * |w|.
 
-    A word counts once per text. A swap changes a linear score by the difference of two weights, so the penalty ties the weights of
+    A feature counts once per text. A swap changes a linear score by differences of two weights, so the penalty ties the weights of
     terms that can stand for each other.
     """
     owner = np.repeat(np.arange(len(rows)), [len(r) for r, _ in rows])
@@ -68,7 +78,7 @@ def fit(rows: Sequence[tuple[Sequence[int], int]], pairs: np.ndarray, dims: int,
     df = np.bincount(flat, minlength=dims + 1)[: dims + 1] / n
     rate = 1 / np.maximum(0.25 * np.sqrt(df * df.max(initial=1e-9)) * 4 + 2 * swap / max(1, len(pairs)) * np.bincount(pairs.ravel(), minlength=dims + 1)[: dims + 1] * 2, 2e-3)
     for _ in range(steps):
-        g = 1 / (1 + np.exp(-(np.bincount(owner, v[flat], minlength=len(rows))[: len(rows)] + c))) - y
+        g = 1 / (1 + np.exp(-np.clip(np.bincount(owner, v[flat], minlength=len(rows))[: len(rows)] + c, -30, 30))) - y
         grad = np.bincount(flat, g[owner], minlength=dims + 1) / n
         if len(pairs):
             d = v[pairs[:, 0]] - v[pairs[:, 1]]
@@ -85,10 +95,10 @@ def fit(rows: Sequence[tuple[Sequence[int], int]], pairs: np.ndarray, dims: int,
     return w[:dims], b
 
 
-def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, min_texts: int = 4, max_words: int = 100_000) -> ToxicModel:
+def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, min_texts: int = 4, max_words: int = 150_000) -> ToxicModel:
     """Fits a model to labelled texts, may_learn a condition on the label's id.
 
-    It is fitted to at most about max_rows labelled rows, chosen by a hash of the id, and to the max_words most frequent of the words in at least
+    It is fitted to at most about max_rows labelled rows, chosen by a hash of the id, and to the max_words most frequent of the features of at least
     min_texts of these: both bound what reaches the driver. Null labels and ids and null texts aren't learned from.
     """
     usable = labels.filter(may_learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
@@ -98,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [list(dict.fromkeys(words_of(x.as_py()))) for x in b.column(0)]
+            found = [sorted(features_of(set(words_of(x.as_py())))) for x in b.column(0)]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.list_(pa.string()))], names=["y", "words"])
 
     texts = staged(chosen.select("text", "y").mapInArrow(listed, "y int, words array<string>"))
