@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -61,16 +61,16 @@ def counterfactuals(words: set[str], vocabulary: dict[str, int]) -> list[tuple[i
     return out
 
 
-def fit(rows: Sequence[tuple[Sequence[int], int]], pairs: np.ndarray, dims: int, l1: float = 2e-4, swap: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
+def fit(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, pairs: np.ndarray, dims: int, l1: float = 2e-4, swap: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
     """Accelerated proximal descent on mean log loss + swap * mean squared score change of the counterfactual pairs + l1 * |w|.
 
-    A feature counts once per text. A swap changes a linear score by differences of two weights, so the penalty ties the weights of
-    terms that can stand for each other.
+    flat holds the features of all texts, one text after another, sizes how many each has. A feature counts once per text. A swap changes a linear
+    score by differences of two weights, so the penalty ties the weights of terms that can stand for each other.
     """
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r, _ in rows])
-    flat = np.concatenate([np.asarray(r, np.int64) for r, _ in rows]) if rows else np.empty(0, np.int64)
-    y = np.array([label for _, label in rows], float)
-    n = max(1, len(rows))
+    m = len(sizes)
+    owner = np.repeat(np.arange(m, dtype=np.int32), sizes)
+    y = y.astype(float)
+    n = max(1, m)
     w = v = np.zeros(dims + 1)  # the last is that of words without a feature
     prior = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
     b = c = float(np.log(prior / (1 - prior)))
@@ -78,7 +78,7 @@ def fit(rows: Sequence[tuple[Sequence[int], int]], pairs: np.ndarray, dims: int,
     df = np.bincount(flat, minlength=dims + 1)[: dims + 1] / n
     rate = 1 / np.maximum(0.25 * np.sqrt(df * df.max(initial=1e-9)) * 4 + 2 * swap / max(1, len(pairs)) * np.bincount(pairs.ravel(), minlength=dims + 1)[: dims + 1] * 2, 2e-3)
     for _ in range(steps):
-        g = 1 / (1 + np.exp(-np.clip(np.bincount(owner, v[flat], minlength=len(rows))[: len(rows)] + c, -30, 30))) - y
+        g = 1 / (1 + np.exp(-np.clip(np.bincount(owner, v[flat], minlength=m)[:m] + c, -30, 30))) - y
         grad = np.bincount(flat, g[owner], minlength=dims + 1) / n
         if len(pairs):
             d = v[pairs[:, 0]] - v[pairs[:, 1]]
@@ -95,7 +95,7 @@ def fit(rows: Sequence[tuple[Sequence[int], int]], pairs: np.ndarray, dims: int,
     return w[:dims], b
 
 
-def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, min_texts: int = 4, max_words: int = 150_000) -> ToxicModel:
+def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 6_000, min_texts: int = 4, max_words: int = 150_000) -> ToxicModel:
     """Fits a model to labelled texts, may_learn a condition on the label's id.
 
     It is fitted to at most about max_rows labelled rows, chosen by a hash of the id, and to the max_words most frequent of the features of at least
@@ -108,27 +108,29 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [sorted(features_of(set(words_of(x.as_py())))) for x in b.column(0)]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.list_(pa.string()))], names=["y", "words"])
+            found = [sorted(features_of(set(words_of(x.as_py())))) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.list_(pa.string()))], names=["id", "y", "words"])
 
-    texts = staged(chosen.select("text", "y").mapInArrow(listed, "y int, words array<string>"))
+    kind = chosen.schema["id"].dataType.simpleString()
+    texts = staged(chosen.select("id", "text", "y").mapInArrow(listed, f"id {kind}, y int, words array<string>"))
     frequent = texts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_texts)
     vocabulary = {r["word"]: i for i, r in enumerate(frequent.orderBy(F.desc("n"), "word").limit(max_words).collect())}
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, swaps = [], []
-            for words in b.column(1).to_pylist():
+            for words in b.column(2).to_pylist():
                 at.append([vocabulary[x] for x in words if x in vocabulary])
                 swaps.append([x for pair in counterfactuals(set(words), vocabulary) for x in pair])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(swaps, pa.list_(pa.int32()))], names=["y", "at", "swaps"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(swaps, pa.list_(pa.int32()))], names=["id", "y", "at", "swaps"])
 
-    table = texts.mapInArrow(indexed, "y int, at array<int>, swaps array<int>").toArrow()
-    rows = sorted(zip(table["at"].to_pylist(), table["y"].to_pylist(), strict=True))
-    pairs = np.array([x for s in table["swaps"].to_pylist() for x in s], np.int64).reshape(-1, 2)
+    table = texts.mapInArrow(indexed, f"id {kind}, y int, at array<int>, swaps array<int>").orderBy("id", "y").toArrow()
+    at, y = table["at"].combine_chunks(), table["y"].to_numpy()
+    flat, sizes = at.flatten().to_numpy(), np.diff(at.offsets.to_numpy())
+    pairs = table["swaps"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, 2)
     # Terms that no labelled text holds are tied as well: a swap into them must not change a score either.
     pairs[pairs < 0] = len(vocabulary)
-    w, bias = fit(rows, pairs, len(vocabulary))
+    w, bias = fit(flat, sizes, y, pairs, len(vocabulary))
     return ToxicModel({word: float(w[i]) for word, i in vocabulary.items() if w[i]}, bias)
 
 

@@ -35,15 +35,17 @@ def test_toxicity_learns_and_ignores_identity(spark):
     free = {x.doc_id: x.score for x in score_toxicity(d, train(d, l, ~held_out(F.col("doc_id")))).collect()}
     assert free[2002] == out[2002].score  # reruns agree
     assert score_toxicity(d.limit(0), model).count() == 0
+    nothing = train(d, l.limit(0), ~held_out(F.col("doc_id")))
+    assert not nothing.weights and {x.score for x in score_toxicity(d, nothing).collect()} == {0.5}
 
 
 def test_swaps_cost_score_changes():
     from emberlens.llm.toxicity import fit
 
-    rows = [([0], 1)] * 30 + [([1], 0)] * 30 + [([2], 0)] * 60
+    flat, sizes, y = np.repeat([0, 1, 2], [30, 30, 60]), np.ones(120, int), np.repeat([1, 0], [30, 90])
     pairs = np.array([[0, 1]] * 60)
-    apart = fit(rows, pairs, 3, swap=0.0)[0]
-    tied = fit(rows, pairs, 3, swap=5.0)[0]
+    apart = fit(flat, sizes, y, pairs, 3, swap=0.0)[0]
+    tied = fit(flat, sizes, y, pairs, 3, swap=5.0)[0]
     assert abs(tied[0] - tied[1]) < 0.2 * abs(apart[0] - apart[1])
 
 
