@@ -68,6 +68,8 @@ def fit(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, pairs: np.ndarray, d
     score by differences of two weights, so the penalty ties the weights of terms that can stand for each other.
     """
     m = len(sizes)
+    if not m:
+        return np.zeros(dims), 0.0
     owner = np.repeat(np.arange(m, dtype=np.int32), sizes)
     y = y.astype(float)
     n = max(1, m)
