@@ -57,6 +57,13 @@ def _is_around(tag: str, attrs: str, inside: list[tuple[str, str, bool]]) -> boo
     return False
 
 
+def _named(tag: str, attrs: str) -> str:
+    """An element's name in paths: its tag, and its class and id, which tell siblings of one tag apart."""
+    if not attrs or tag in INLINE or tag in ("html", "body"):
+        return tag
+    return ".".join([tag, *(next((v for v in values if v), "") for name, *values in _ATTR.findall(attrs) if name.lower() in ("class", "id"))])
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, without elements that stand around an article, each with the path of block elements from the root to it. Unclosed and misnested elements are closed where their parents end."""
     out: list[Block] = []
@@ -121,37 +128,50 @@ def blocks(page: str) -> list[Block]:
                     break
         if tag not in VOID:
             around = _is_around(tag, attrs, stack)
-            stack.append((tag, tag, around))
+            stack.append((tag, _named(tag, attrs), around))
             links += tag == "a"
     text(page[at:])
     flush()
     return out
 
 
+_TOP = ({"html"}, {"body"}, {"html", "body"}, set())
+
+
 def content(page: str, share: float = 0.12) -> str:
     """Blocks of the paths that hold the article, joined by line feeds.
 
     Per path from the root to a block, text length and punctuation are summed, and both ratios to the number of blocks are
-    fused, less for linked text. A path's ratio is smoothed with that of its parent, over all blocks below the parent, so headings
-    and short paragraphs go with the text around them. Paths under share of the highest ratio are left out, as are
-    elements that by their name, role or class stand around an article.
+    fused, less for linked text. A path's ratio is smoothed with the highest among the elements around it, over all blocks below them, so
+    headings and short paragraphs go with the text around them; elements that hold the whole page tell nothing and don't count. Where article or main elements hold a third of the text, what is outside
+    them counts a tenth. Paths under share of the highest ratio are left out, as are elements that by their name, role or class
+    stand around an article.
     """
     found = blocks(page)
-    sums: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+    sums: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
     for b in found:
-        marks = len(_PUNCTUATION.findall(b.text))
-        for path in {b.path, b.path[:-1] + ("*",)}:
-            s = sums[path]
-            for i, x in enumerate((len(b.text), marks, min(b.linked, len(b.text)), 1)):
+        row = (len(b.text), len(_PUNCTUATION.findall(b.text)), min(b.linked, len(b.text)), 1)
+        for key in [b.path, *(("under", b.path[:i]) for i in range(len(b.path)))]:
+            s = sums[key]
+            for i, x in enumerate(row):
                 s[i] += x
 
-    def ratio(path: tuple[str, ...]) -> float:
-        chars, marks, linked, n = sums[path]
+    def ratio(key: tuple) -> float:
+        chars, marks, linked, n = sums[key]
         return (chars / n) * (1 + log1p(marks / n)) * max(0.0, 1 - linked / max(1, chars)) ** 2
 
-    smoothed = {b.path: (ratio(b.path) + 2 * ratio(b.path[:-1] + ("*",))) / 3 for b in found}
-    least = share * max(smoothed.values(), default=0.0)
-    return "\n".join(b.text for b in found if smoothed[b.path] >= least and smoothed[b.path] > 0)
+    def inside(path: tuple[str, ...]) -> bool:
+        return any(p.split(".", 1)[0] in ("article", "main") for p in path)
+
+    marked = 3 * sum(len(b.text) for b in found if inside(b.path)) >= max(1, sum(len(b.text) for b in found))
+    score: dict[tuple[str, ...], float] = {}
+    for path in {b.path for b in found}:
+        ups = [path[:i] for i in range(1, len(path)) if set(path[:i]) not in _TOP]
+        ups = [u for u in ups if inside(u) or sums["under", u][3] < len(found)] or ups[-1:]
+        around = max((ratio(("under", u)) for u in ups), default=ratio(path))
+        score[path] = (ratio(path) + 2 * around) / 3 * (1 if inside(path) or not marked else 0.1)
+    least = share * max(score.values(), default=0.0)
+    return "\n".join(b.text for b in found if score[b.path] >= least and score[b.path] > 0)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

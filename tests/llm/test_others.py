@@ -124,6 +124,11 @@ PAGES = [
         "A head&line\nFirst, a bold and long paragraph. It has several sentences, and commas.\nSecond <one> café, short.",
     ),
     ("<p>Only one.", "Only one."),
+    (
+        "<body><div class=top><p>Short notice, here.</p></div><article><header><h1>Title words</h1></header><div class=body><p>Long, long paragraph, with commas, and more of them, and a full stop.</p>"
+        "<ul><li>One, two<li>Three</ul></div><footer>By someone</footer></article><div class=more><p>Another, unrelated text.</p></div></body>",
+        "Title words\nLong, long paragraph, with commas, and more of them, and a full stop.\nOne, two\nThree",
+    ),
     ("<article><p>One<br>two, three.<p>Four, five<!-- no --> six.</article>", "One two, three.\nFour, five six."),
     ("", ""),
     (None, ""),
