@@ -102,7 +102,12 @@ def mix(
             "part", F.substring("order", 1, 3)
         )
     )
-    cuts = source_cuts(sized, weigh, max_epochs, share).withColumnRenamed("source", "of")
+    # A source may hold a third of all rows, so its cut is joined by source and salt.
+    salts = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda x: F.lower(F.lpad(F.hex(x), 2, "0")))
+    cuts = source_cuts(sized, weigh, max_epochs, share).withColumnRenamed("source", "of").withColumn("salt", F.explode(salts))
+
+    def of_source(source: Column, order: Column) -> Column:
+        return source.eqNullSafe(F.col("of")) & (F.substring(order, 1, 2) == F.col("salt"))
 
     def repeats(size: Column, order: Column) -> Column:
         return F.when(size > 0, F.col("whole") + F.when(order <= F.col("cut"), 1).otherwise(0)).otherwise(0).cast("long")
@@ -111,8 +116,9 @@ def mix(
         own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
         kept = docs.select(*[F.col(c).alias(k) for c, k in own.items()])
         size = F.regexp_count(F.coalesce(F.col(own[text_col]), F.lit("")), F.lit(WORD)).cast("long")
-        times = kept.join(cuts, F.col(own[source_col]).cast("string").eqNullSafe(F.col("of"))).withColumn("times", repeats(size, _order(own[id_col], seed)))
+        order = _order(own[id_col], seed)
+        times = kept.join(cuts, of_source(F.col(own[source_col]).cast("string"), order)).withColumn("times", repeats(size, order))
         again = times.filter(F.col("times") > 0).withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
         return again.select(*[F.col(k).alias(c) for c, k in own.items()])
-    rows = sized.join(cuts, F.col("source").eqNullSafe(F.col("of"))).withColumn("repeats", repeats(F.col("size"), F.col("order")))
+    rows = sized.join(cuts, of_source(F.col("source"), F.col("order"))).withColumn("repeats", repeats(F.col("size"), F.col("order")))
     return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
