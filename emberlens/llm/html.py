@@ -17,7 +17,8 @@ _TOKEN = re.compile(
     r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""",
     re.S,
 )
-_ATTR = re.compile(r"""\b(class|id|role|aria-label|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute: a name after white space, a slash or the value before it, and its value, if any. Read one after another, so no name is found within a value.
+_ATTR = re.compile(r"""[\s/]*+(=?[^\s/>=]++|=)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 #: Elements of running text; all others begin and end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,6 +33,7 @@ _AROUND = frozenset(
     "comment comments commentlist reply replies responses disqus discussion respond related recommended recommendations teaser widget copyright disclaimer".split()
 )
 _CLOSES_P = frozenset("p div article section header footer nav aside ul ol dl table pre blockquote h1 h2 h3 h4 h5 h6 hr form main figure fieldset address details menu".split())
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 
 
@@ -43,25 +45,30 @@ class Block(NamedTuple):
     linked: int
 
 
+def attributes(attrs: str) -> dict[str, str]:
+    """Values by lower-case name; of a repeated name, the first counts, as in browsers."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTR.findall(attrs):
+        out.setdefault(name.lower(), next((v for v in values if v), ""))
+    return out
+
+
 def _is_around(tag: str, attrs: str, inside: list[tuple[str, str, bool]]) -> bool:
     if tag in DROPPED or tag == "header" and not any(t in ("article", "main") for t, _, _ in inside):
         return True
     if tag in ("html", "body", "article", "main") or not attrs:
         return False
-    for name, *values in _ATTR.findall(attrs):
-        value, name = next((v for v in values if v), "").lower(), name.lower()
-        if name == "hidden" or name == "style" and "display:none" in value.replace(" ", "") or name == "role" and value in _ROLES:
-            return True
-        if name in ("class", "id") and not _AROUND.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+    named = attributes(attrs)
+    if "hidden" in named or named.get("role", "").strip().lower() in _ROLES or _NOT_SHOWN.search(named.get("style", "")):
+        return True
+    return any(not _AROUND.isdisjoint(re.split(r"[^a-z0-9]+", named.get(k, "").lower())) for k in ("class", "id"))
 
 
 def _named(tag: str, attrs: str) -> str:
     """An element's name in paths: its tag, and its class and id, which tell siblings of one tag apart."""
     if not attrs or tag in INLINE or tag in ("html", "body"):
         return tag
-    return ".".join([tag, *(next((v for v in values if v), "") for name, *values in _ATTR.findall(attrs) if name.lower() in ("class", "id"))])
+    return ".".join([tag, *(v for k, v in attributes(attrs).items() if k in ("class", "id"))])
 
 
 def blocks(page: str) -> list[Block]:

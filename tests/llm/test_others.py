@@ -146,3 +146,26 @@ def test_html(spark):
     for i, (_, want) in enumerate(PAGES):
         assert out[i].text == want and out[i].n_chars == len(want) and out[i].url == f"u{i}"
     assert extract_text(df.limit(0)).count() == 0
+
+
+def test_html_attributes_are_read_one_after_another():
+    from emberlens.llm import html
+
+    content = html.content
+
+    long = "A long paragraph of the article, with commas, and a full stop. It goes on, for a while, and ends."
+    kept = [
+        f"<div aria-hidden=\"false\"><p>{long}</p></div>",
+        f"<p>{long}</p><p>See <a href=\"/hidden-gems\">the gems</a>, <a href=\"/x?id=comments\">and more</a> of it, in this paragraph of some length.</p>",
+        f"<p title=\"the hidden valley\">{long}</p>",
+        f"<section data-topic=\"hidden costs\"><p>{long}</p></section>",
+        f"<div data-id=\"related\"><p>{long}</p></div>",
+        f"<div data-x='class=\"ad\"' data-role=menu style='--x-display:none'><p>{long}</p></div>",
+    ]
+    for page in kept:
+        assert long in content(page), page
+    assert "the gems, and more of it" in content(kept[1])
+    rest = "The article itself, with more text than what is left out, and with commas. " * 3 + "It ends."
+    for gone in ("hidden", "HIDDEN=''", "class='x'hidden", "data-a=b hidden", "style='color:red; Display : none'", "role=Menu", "id=comments", "class = 'x ad'"):
+        assert content(f"<div {gone}><p>{long}</p></div><p>{rest}</p>") == rest, gone
+    assert html.attributes(" a=1 A=2 b='x y'c=\"d\" /e f = g=h") == {"a": "1", "b": "x y", "c": "d", "e": "", "f": "g=h"}
