@@ -24,14 +24,27 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements that never hold an article's text.
-DROPPED = frozenset("script style noscript template head title nav footer aside form button select option textarea input svg canvas iframe object menu dialog noembed noframes".split())
-_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar alert alertdialog dialog form".split())
+DROPPED = frozenset("script style noscript template head title nav footer aside button select option textarea input svg canvas iframe object menu dialog noembed noframes".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar alert alertdialog dialog".split())
 #: Words of a class or id that tell of what stands around an article.
 _AROUND = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay "
     "newsletter subscribe subscription signup login share sharing social breadcrumb breadcrumbs sidebar nav navbar navigation menu toolbar masthead footer pager pagination "
     "comment comments commentlist reply replies responses disqus discussion respond related recommended recommendations teaser widget copyright disclaimer".split()
 )
+#: Of these, words that also name parts of an article: a discussion, a notice, a response.
+_UNSURE = frozenset("notice notices notification alert banner consent disclaimer discussion menu promotion respond response responses social subscription".split())
+#: Of these, words that tell of ads and page furniture even on a paragraph; the others may tell what it says.
+_PLAIN = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo cookie cookies gdpr popup modal overlay newsletter subscribe signup login share sharing breadcrumb breadcrumbs "
+    "sidebar nav navbar navigation toolbar masthead footer pager pagination disqus teaser widget copyright".split()
+)
+#: Words that add nothing to a name: a comments-area or a site-sidebar is named as comments or a sidebar is.
+_NEUTRAL = frozenset("area bar block box button buttons container element group icon icons item items link links list main panel post posts primary secondary section site slot top bottom left right unit wrap wrapper".split())
+#: Elements that are text themselves.
+_TEXTS = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre td th dd dt figcaption caption".split())
+#: What is left of a path's ratio in an element whose name tells that it stands around an article, or may tell so.
+NAMED, MAYBE_NAMED = 0.05, 0.3
 _CLOSES_P = frozenset("p div article section header footer nav aside ul ol dl table pre blockquote h1 h2 h3 h4 h5 h6 hr form main figure fieldset address details menu".split())
 _NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
@@ -43,6 +56,28 @@ class Block(NamedTuple):
     path: tuple[str, ...]
     text: str
     linked: int
+    outer: int = 0
+    penalty: float = 1.0
+
+
+class Open(NamedTuple):
+    """An open element: its tag, its name in paths, whether it is dropped, and its entry if its name tells that it stands around an article."""
+
+    tag: str
+    name: str
+    dropped: bool
+    entry: _Named | None
+
+
+class _Named:
+    """An element that by its name stands around an article, or a main or article element itself: what it holds."""
+
+    def __init__(self, penalty: float) -> None:
+        self.penalty = penalty
+        self.chars = 0
+        self.holds = False
+        self.articles: list[_Named] = []
+
 
 
 def attributes(attrs: str) -> dict[str, str]:
@@ -53,15 +88,30 @@ def attributes(attrs: str) -> dict[str, str]:
     return out
 
 
-def _is_around(tag: str, attrs: str, inside: list[tuple[str, str, bool]]) -> bool:
-    if tag in DROPPED or tag == "header" and not any(t in ("article", "main") for t, _, _ in inside):
+def _is_around(tag: str, attrs: str, inside: list[Open]) -> bool:
+    if tag in DROPPED or tag == "header" and not any(e.tag in ("article", "main") for e in inside):
         return True
     if tag in ("html", "body", "article", "main") or not attrs:
         return False
     named = attributes(attrs)
-    if "hidden" in named or named.get("role", "").strip().lower() in _ROLES or _NOT_SHOWN.search(named.get("style", "")):
-        return True
-    return any(not _AROUND.isdisjoint(re.split(r"[^a-z0-9]+", named.get(k, "").lower())) for k in ("class", "id"))
+    return "hidden" in named or named.get("role", "").strip().lower() in _ROLES or bool(_NOT_SHOWN.search(named.get("style", "")))
+
+
+def name_penalty(tag: str, attrs: str) -> float:
+    """What the element's name leaves of its paths' ratios: less than 1 if a whole token of its class or its id consists of words of _AROUND, neutral words and numbers aside."""
+    if tag == "form":
+        return NAMED
+    if not attrs or tag in ("html", "body", "article", "main"):
+        return 1.0
+    named, least = attributes(attrs), 1.0
+    if named.get("role", "").strip().lower() == "form":
+        return NAMED
+    for token in f"{named.get('class', '')} {named.get('id', '')}".lower().split():
+        parts = {x for x in re.split(r"[\W\d_]+", token) if x}
+        words = parts - _NEUTRAL
+        if words and words <= _AROUND and not (tag in _TEXTS and words.isdisjoint(_PLAIN)):
+            least = min(least, MAYBE_NAMED if words <= _UNSURE else NAMED)
+    return least
 
 
 def _named(tag: str, attrs: str) -> str:
@@ -72,25 +122,55 @@ def _named(tag: str, attrs: str) -> str:
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks in order, without elements that stand around an article, each with the path of block elements from the root to it. Unclosed and misnested elements are closed where their parents end."""
+    """The page's blocks in order, without elements that never hold an article's text, each with the path of block elements from the root to it.
+
+    outer: how many of these are outside the outermost element whose name tells that it stands around an article, all if none does; penalty: what such
+    names leave of the block's ratio. A name doesn't count if its element holds main, a heading of the first level, the longest article or,
+    if no article or main stands outside of such elements, over half of the page's text. Unclosed and misnested elements are closed where their parents end.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # element, its name in paths, dropped
+    stack: list[Open] = []
     words: list[str] = []
     links = linked = 0
+    within: list[list[tuple[int, _Named]]] = []  # per block, the named elements around it and their depth
+    plain: dict[int, list[tuple[_Named, int]]] = {}  # per block, named inline elements and their letters in it
+    inserted: list[tuple[_Named, int]] = []
+    articles: list[_Named] = []
+    outside: list[_Named] = []  # main and article elements that no named one is around
 
     def text(raw: str) -> None:
         nonlocal linked
-        if raw and not any(d for _, _, d in stack):
+        if raw and not any(e.dropped for e in stack):
             words.append(raw)
             if links:
                 linked += len(raw)
+            for e in stack:
+                if e.entry and e.tag in INLINE:
+                    inserted.append((e.entry, len(raw)))
+                    break
 
     def flush() -> None:
         nonlocal linked
         if words:
             if joined := " ".join(entities.unescape("".join(words)).split()):
-                out.append(Block(tuple(n for t, n, _ in stack if t not in INLINE), joined, linked))
+                around = []
+                path = []
+                for e in stack:
+                    if e.tag in INLINE:
+                        continue
+                    if e.entry:
+                        e.entry.chars += len(joined)
+                        if e.entry.penalty < 1:
+                            around.append((len(path), e.entry))
+                    path.append(e.name)
+                if inserted:
+                    plain[len(out)] = inserted.copy()
+                    for entry, n in inserted:
+                        entry.chars += n
+                out.append(Block(tuple(path), joined, linked, len(path)))
+                within.append(around)
             words.clear()
+        inserted.clear()
         linked = 0
 
     at = 0
@@ -103,13 +183,13 @@ def blocks(page: str) -> list[Block]:
         closing, tag, attrs = m[1] or m[4], tag.lower(), (m[3] or m[6] or "")
         if closing:
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
+                if stack[i].tag == tag:
                     if tag not in INLINE:
                         flush()
-                    links -= sum(t == "a" for t, _, _ in stack[i:])
+                    links -= sum(e.tag == "a" for e in stack[i:])
                     del stack[i:]
                     break
-                if tag in INLINE and stack[i][0] not in INLINE:
+                if tag in INLINE and stack[i].tag not in INLINE:
                     break  # it was closed with its block
             continue
         if tag in RAW:
@@ -123,7 +203,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag not in INLINE:
             flush()
-            opened = [t for t, _, _ in stack]
+            opened = [e.tag for e in stack]
             implied = ("p",) if tag in _CLOSES_P else ("li",) if tag == "li" else ("dt", "dd") if tag in ("dt", "dd") else ("tr",) if tag == "tr" else ("td", "th") if tag in ("td", "th") else ("option",) if tag == "option" else ()
             barrier = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}.get(tag, ("td", "th", "button", "table"))
             for i in range(len(opened) - 1, -1, -1):
@@ -135,10 +215,38 @@ def blocks(page: str) -> list[Block]:
                     break
         if tag not in VOID:
             around = _is_around(tag, attrs, stack)
-            stack.append((tag, _named(tag, attrs), around))
+            left = 1.0 if around else name_penalty(tag, attrs)
+            entry = _Named(left) if left < 1 or tag in ("article", "main") else None
+            stack.append(Open(tag, _named(tag, attrs), around, entry))
             links += tag == "a"
+            if tag in ("article", "main", "h1") and not any(e.dropped for e in stack):
+                if tag == "article":
+                    articles.append(entry)
+                if tag != "h1" and not any(e.entry and e.entry.penalty < 1 for e in stack):
+                    outside.append(entry)
+                for e in stack:
+                    if e.entry and tag == "article":
+                        e.entry.articles.append(entry)
+                    elif e.entry:
+                        e.entry.holds = True
     text(page[at:])
     flush()
+    total = sum(len(b.text) for b in out)
+    longest = max(articles, key=lambda x: x.chars, default=None)
+
+    most = total if any(x.chars for x in outside) else total / 2
+
+    def counts(x: _Named) -> bool:
+        return not (x.holds or x.chars > most or longest is not None and longest in x.articles)
+
+    for i, (b, around) in enumerate(zip(out, within, strict=True)):
+        named = [(depth, x.penalty) for depth, x in around if counts(x)]
+        penalty = min((p for _, p in named), default=1.0)
+        for x, n in plain.get(i, ()):
+            if counts(x):
+                penalty *= 1 - (1 - x.penalty) * min(1.0, n / len(b.text))
+        if penalty < 1:
+            out[i] = b._replace(outer=min((d for d, _ in named), default=len(b.path)), penalty=penalty)
     return out
 
 
@@ -151,14 +259,14 @@ def content(page: str, share: float = 0.12) -> str:
     Per path from the root to a block, text length and punctuation are summed, and both ratios to the number of blocks are
     fused, less for linked text. A path's ratio is smoothed with the highest among the elements around it, over all blocks below them, so
     headings and short paragraphs go with the text around them; elements that hold the whole page tell nothing and don't count. Where article or main elements hold a third of the text, what is outside
-    them counts a tenth. Paths under share of the highest ratio are left out, as are elements that by their name, role or class
-    stand around an article.
+    them counts a tenth. In elements that by class or id stand around an article, and in forms, a path's ratio counts NAMED or MAYBE_NAMED times, and isn't in the ratios of what is around
+    them. Paths under share of the highest ratio are left out, as are elements that by their tag, role or state never hold an article's text.
     """
     found = blocks(page)
     sums: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
     for b in found:
         row = (len(b.text), len(_PUNCTUATION.findall(b.text)), min(b.linked, len(b.text)), 1)
-        for key in [b.path, *(("under", b.path[:i]) for i in range(len(b.path)))]:
+        for key in [(b.path, b.outer), *(("under", b.path[:i]) for i in range(len(b.path)) if b.outer == len(b.path) or i > b.outer)]:
             s = sums[key]
             for i, x in enumerate(row):
                 s[i] += x
@@ -170,15 +278,18 @@ def content(page: str, share: float = 0.12) -> str:
     def inside(path: tuple[str, ...]) -> bool:
         return any(p.split(".", 1)[0] in ("article", "main") for p in path)
 
-    marked = 3 * sum(len(b.text) for b in found if inside(b.path)) >= max(1, sum(len(b.text) for b in found))
-    score: dict[tuple[str, ...], float] = {}
-    for path in {b.path for b in found}:
-        ups = [path[:i] for i in range(1, len(path)) if set(path[:i]) not in _TOP]
-        ups = [u for u in ups if inside(u) or sums["under", u][3] < len(found)] or ups[-1:]
-        around = max((ratio(("under", u)) for u in ups), default=ratio(path))
-        score[path] = (ratio(path) + 2 * around) / 3 * (1 if inside(path) or not marked else 0.1)
-    least = share * max(score.values(), default=0.0)
-    return "\n".join(b.text for b in found if score[b.path] >= least and score[b.path] > 0)
+    kept = [b for b in found if b.penalty == 1]
+    marked = 3 * sum(len(b.text) for b in kept if inside(b.path)) >= max(1, sum(len(b.text) for b in kept))
+    score: dict[tuple[tuple[str, ...], int], float] = {}
+    for path, outer in {(b.path, b.outer) for b in found}:
+        ups = [path[:i] for i in range(1, len(path)) if set(path[:i]) not in _TOP and ("under", path[:i]) in sums]
+        ups = [u for u in ups if inside(u) or sums["under", u][3] < len(kept)] or ups[-1:]
+        own = ratio((path, outer))
+        around = max((ratio(("under", u)) for u in ups), default=own)
+        score[path, outer] = (own + 2 * around) / 3 * (1 if inside(path) or not marked else 0.1)
+    scores = [score[b.path, b.outer] * b.penalty for b in found]
+    least = share * max(scores, default=0.0)
+    return "\n".join(b.text for b, x in zip(found, scores, strict=True) if x >= least and x > 0)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

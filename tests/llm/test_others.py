@@ -169,3 +169,29 @@ def test_html_attributes_are_read_one_after_another():
     for gone in ("hidden", "HIDDEN=''", "class='x'hidden", "data-a=b hidden", "style='color:red; Display : none'", "role=Menu", "id=comments", "class = 'x ad'"):
         assert content(f"<div {gone}><p>{long}</p></div><p>{rest}</p>") == rest, gone
     assert html.attributes(" a=1 A=2 b='x y'c=\"d\" /e f = g=h") == {"a": "1", "b": "x y", "c": "d", "e": "", "f": "g=h"}
+
+
+def test_html_names_weigh_and_do_not_remove():
+    from emberlens.llm.html import content
+
+    body = "".join(f"<p>Paragraph {i} of the article, with commas, and a full stop. It goes on, for a while, and ends.</p>" for i in range(4))
+    text = content(f"<div>{body}</div>")
+    assert text.count("\n") == 3
+    for attrs in ("class='page has-sidebar'", "class='content with-sidebar'", "id=wrap class=nav-open", "class=notice-text", "class='sidebar'", "id=comments", "class='widget ad'"):
+        for tag in ("div", "section"):
+            assert content(f"<{tag} {attrs}>{body}</{tag}><p>By someone.</p>").startswith(text), attrs  # most of the text
+            assert content(f"<{tag} {attrs}><h1>Its title</h1>{body}</{tag}><div><p>Another text, of some length.</p></div>").startswith("Its title\n" + text), attrs
+    for wrapper in ("<form>", "<div class=sidebar>", "<div role=form>", "<span class=ad>"):
+        assert content(f"{wrapper}<article>{body}</article></div></form></span>") == text, wrapper
+    # Names on parts of an article.
+    for part in ("<p class=discussion>", "<section class=discussion><p>", "<section class=notice-text><p>", "<div class=has-sidebar><p>", "<p class=comment>"):
+        assert "The part, which is in the article" in content(f"<div>{body}{part}The part, which is in the article, with its commas. It ends here.</p></section></div>"), part
+    code = "<pre>x = 1 <span class='token comment'># a remark</span>, y = 2, and so on, for a while.</pre>"
+    assert "# a remark" in content(f"<div>{body}{code}</div>")
+    # What stands around it still goes, also where it is the longer text, or is made of articles.
+    remark = "<p>Nice, I liked it, a lot. Thanks, author! I would read more of it, any time.</p>"
+    for named in ("id=comments", "class=comments-area", "class=comment-list", "class='x related-posts'", "class=widget-2", "class=site-sidebar", "class=cookie-notice", "class=ad"):
+        assert content(f"<div class=body>{body}</div><div {named}>{remark}</div>") == text, named
+        assert content(f"<article>{body}</article><div {named}>{remark * 9}</div>") == text, named
+        assert content(f"<article>{body}</article><div {named}><article>{remark}</article><article>{remark}</article></div>") == text, named
+    assert content(f"<div>{body}<p class=ad>Buy now, cheap, and a lot of it!</p><p><span class=ad>Buy now, cheap!</span></p></div>") == text
