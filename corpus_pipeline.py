@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,15 +18,20 @@ from emberlens.llm.repeats import remove_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Rows of one id are kept if one of them is."""
-    kept = quality_rules(docs).filter("kept").select(F.col("doc_id").alias("of")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
+    """Rows that the quality rules keep. A verdict is the text's and the source's, so rows are found again by these and the id, the text by its hash."""
+    key = F.struct("doc_id", "source", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))
+    kept = quality_rules(docs.select(key.alias("key"), "source", "text"), id_col="key").filter("kept").select(F.col("key").alias("of")).distinct()
+    same = [F.col(f"of.{f}").eqNullSafe(c) for f, c in (("doc_id", F.col("doc_id")), ("source", F.col("source")), ("h", F.xxhash64("text")), ("n", F.octet_length("text")))]
+    return docs.join(kept, reduce(and_, same), "left_semi")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of n-gram Jaccard links: the one of the class's id, its smallest. Of equal rows of one id all stay."""
-    first = jaccard_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("of")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
+    """One row of each class of n-gram Jaccard links: of the rows of its smallest id, the one of the smallest hash. Of equal rows one stays."""
+    keyed = staged(docs.withColumn("row_key", F.monotonically_increasing_id()))  # written once, so that a row keeps its key
+    of = jaccard_components(keyed, id_col="row_key").select(F.col("row_key").alias("of"), "component_id")
+    ids = keyed.select("doc_id", F.xxhash64(*docs.columns).alias("h"), "row_key").join(of, F.col("row_key") == F.col("of"))
+    kept = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "h", "row_key")).alias("first")).select(F.col("first.row_key").alias("of"))
+    return keyed.join(kept, F.col("row_key") == F.col("of"), "left_semi").select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

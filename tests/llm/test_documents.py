@@ -279,3 +279,20 @@ def test_pipeline(spark, docs, rows, tmp_path):
             assert {r[0]: r[1] or "" for r in after} == want
         assert {r[0] for r in after} <= {i for i, _ in kept}
     assert p.run(spark, str(tmp_path)).count() > 0
+
+
+def test_pipeline_takes_rows_not_ids(spark, tmp_path):
+    import corpus_pipeline as p
+
+    r = random.Random(11)
+    prose = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(80))
+    twice, one, other, copied = prose(), prose(), prose(), prose()
+    rows = [(1, twice), (1, twice), (2, one), (2, other), (3, "short"), (3, prose()), (5, copied), (4, copied), (4, copied), (6, None), (None, prose()), (None, prose())]
+    docs = spark.createDataFrame([(i, t, "en", "web", 0) for i, t in rows], SCHEMA).repartition(3)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    now = p.quality(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
+    assert found(now, "doc_id", "text") == sorted(((i, t) for i, t in rows if t and t != "short"), key=repr)  # of id 3 only the row that passes
+    now = p.near_duplicates(spark, now, str(tmp_path))
+    whole = [(1, twice), (2, one), (2, other), (4, copied), *((i, t) for i, t in rows[5:] if i in (3, None))]
+    assert found(now, "doc_id", "text") == sorted(whole, key=repr)  # one row of each class
+    assert found(p.repeats(spark, now, str(tmp_path)), "doc_id", "text") == sorted(whole, key=repr)  # and so nothing repeats
