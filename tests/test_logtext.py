@@ -75,3 +75,16 @@ def test_rebuild_from_the_driver(spark, tmp_path):
     assert tasks[0].status == "succeeded" and tasks[0].duration_ms == 950 and tasks[1].status == "failed"
     stages = {r.stage_attempt: r for r in L.rebuilt_stages(events).collect()}
     assert stages[0].failed and not stages[1].failed and stages[1].num_tasks == 1
+
+
+def test_readme_tells_how_many_kinds_are_there():
+    from pathlib import Path
+
+    from emberlens.operators import cluster, logtext
+
+    text = (Path(__file__).resolve().parent.parent / "README.md").read_text()
+    tables = {"O-112": (logtext.HEADERS, 5), "O-114": (logtext.LINE_KINDS, 34), "O-119": (logtext.DRIVER_LINES, 23), "O-121": (logtext.TASK_LINES, 17), "O-145": (cluster.KNOWN_SETTINGS, 35)}
+    for name, (rows, whole) in tables.items():
+        assert f"({name}) {len(rows)} of {whole}" in text, name
+    missing = text[text.index("## Not built yet") :]
+    assert all(name in missing for name in ("O-41", "O-53", "O-88", "O-89", "O-105", "O-117", "O-127", "O-128", "O-133"))
