@@ -14,96 +14,115 @@ from .common import staged
 
 #: Scores are cut into digits of so many bits, from the highest.
 DIGIT = 10
+#: A vector takes part if its scaled squared norm is below, so that all inner products, and their distances to the lowest one, fit into 64 bits.
+MOST = float(1 << 61)
+_NO_ID = (1 << 63) - 1
 
 
-def quantised(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """id, dim and vector of floor(scale * x) as long; without vectors that are null or hold null or non-finite components. Of rows of one id, the smallest vector stays."""
+def quantised(embeddings: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
+    """row (a number of its own), id, asked, vector of floor(scale * x) as long, its squared norm and dim of each row that takes part."""
     v = F.col("v")
     finite = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False)))
-    rows = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & v.isNotNull() & finite)
-    return rows.select("id", F.transform(v, lambda x: F.floor(x * F.lit(float(scale))).cast("long")).alias("vector")).groupBy("id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
+    rows = embeddings.select(F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("asked"), F.col(vector_col).cast("array<double>").alias("v")).filter(v.isNotNull() & finite)
+    scaled = rows.withColumn("v", F.transform(v, lambda x: x * F.lit(float(scale))))
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    small = scaled.withColumn("norm", norm).filter(F.col("norm") < MOST)
+    return small.select(F.monotonically_increasing_id().alias("row"), "id", "asked", F.transform("v", lambda x: F.floor(x).cast("long")).alias("vector"), "norm").withColumn("dim", F.size("vector"))
 
 
 def blocks(vectors: DataFrame, per_block: int, rows: int) -> DataFrame:
-    """dim, block, ids and flattened vectors of about per_block rows each."""
+    """dim, block, and row numbers, ids (without one, the largest long) and flattened vectors of about per_block rows each."""
     n = max(1, -(-rows // per_block))
-    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    packed = dealt.groupBy("dim", "block").agg(F.collect_list(F.struct("id", "vector")).alias("rows"))
-    return packed.select("dim", "block", F.col("rows.id").alias("ids"), F.flatten("rows.vector").alias("data"))
+    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n)).cast("int"))
+    packed = dealt.groupBy("dim", "block").agg(F.collect_list(F.struct("row", F.coalesce("id", F.lit(_NO_ID)).alias("id"), "vector")).alias("rows"))
+    return packed.select("dim", "block", F.col("rows.row").alias("rows"), F.col("rows.id").alias("ids"), F.flatten("rows.vector").alias("data"))
 
 
-def _scores(qids: np.ndarray, q: np.ndarray, cids: np.ndarray, c: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Integer inner products, and which count: all but those of one id."""
-    q, c = q.reshape(len(qids), dim), c.reshape(len(cids), dim)
+def grid(q: DataFrame, c: DataFrame, tasks: int) -> DataFrame:
+    """Each query block with each candidate block of its dimension. Both are repeated, so that a pair of (block, lane) is a key of its own, of at least about tasks keys where there are as many pairs."""
+    per = c.groupBy("dim").agg(F.collect_list("block").alias("blocks"))
+    lanes = F.greatest(F.lit(1), F.ceil(F.lit(tasks) / F.size("blocks"))).cast("int")
+    sizes = per.select(F.col("dim").alias("of_dim"), "blocks", lanes.alias("lanes"))
+    left = q.join(sizes, F.col("dim") == F.col("of_dim")).withColumn("block", F.explode("blocks")).withColumn("lane", F.pmod(F.xxhash64("q_block"), F.col("lanes")).cast("int"))
+    right = c.join(sizes.select("of_dim", "lanes"), F.col("dim") == F.col("of_dim")).withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1))).drop("of_dim", "lanes")
+    return left.drop("of_dim", "blocks", "lanes").join(right, ["dim", "block", "lane"])
+
+
+def _scores(q_rows: np.ndarray, q: np.ndarray, c_rows: np.ndarray, c: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Integer inner products, and which count: all but those of a row with itself."""
+    q, c = q.reshape(len(q_rows), dim), c.reshape(len(c_rows), dim)
     most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, dim)
     s = (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64) if most < 2**53 else q @ c.T
-    return s, qids[:, None] != cids[None, :]
+    return s, q_rows[:, None] != c_rows[None, :]
 
 
-def top_k(embeddings: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, queries_per_block: int = 512, candidates_per_block: int = 4096) -> DataFrame:
-    """query_id, rank, vec_id and score: each query's k highest integer inner products, ties to the smaller id.
+def top_k(
+    embeddings: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, queries_per_block: int = 512, candidates_per_block: int = 4096, tasks: int = 64
+) -> DataFrame:
+    """query_id, rank, vec_id and score: each query row's k highest integer inner products with other rows, ties to the smaller id.
 
-    Every query block meets every candidate block. A round sums, per query, a histogram of one digit of the scores that
-    still share the prefix of the kth; the digits that lead to the kth value are fixed, and after the last round the scores at or
-    above it are filtered and ranked. A histogram has 2**DIGIT cells and is summed in tasks before it is shuffled. Queries with fewer than k candidates
-    return all. Vectors that are null or hold null or non-finite components take no part; vectors of another length aren't compared;
-    repeated ids count once (smallest vector).
+    Every query block meets every candidate block, each pair under a key of its own. A round sums, per query row, a histogram of one
+    digit of the scores that still share the prefix of the kth; the digits that lead to the kth value are fixed, and after the last round the scores
+    at or above it are filtered and ranked. A histogram has 2**DIGIT cells and is summed in tasks before it is shuffled. Queries with fewer than k
+    candidates return all. Vectors that are null, hold null or non-finite components, or have a scaled squared norm of 2**61 or more (a score might
+    not fit into 64 bits) take no part; vectors of another length aren't compared. Rows of one id are rows like others: each query row has its own
+    ranks, and a row of its id is a candidate. A row without an id is a candidate that loses ties, and a query where is_query holds.
     """
-    vectors = staged(quantised(embeddings, id_col, vector_col, scale))
-    asked = vectors.join(embeddings.filter(is_query).select(F.col(id_col).cast("long").alias("id")).distinct(), "id", "left_semi")
-    sizes = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.expr("aggregate(vector, 0D, (a, x) -> greatest(a, abs(cast(x as double))))")).alias("top"), F.max("dim").alias("dim")).first()
-    q = staged(blocks(asked, queries_per_block, asked.count())).select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q"))
+    vectors = staged(quantised(embeddings, is_query, id_col, vector_col, scale))
+    sizes = vectors.agg(F.count(F.lit(1)).alias("n"), F.count_if("asked").alias("asked"), F.max("norm").alias("norm"), F.max("dim").alias("dim")).first()
+    q = staged(blocks(vectors.filter("asked"), queries_per_block, sizes["asked"])).select("dim", F.col("block").alias("q_block"), F.col("rows").alias("q_rows"), F.col("ids").alias("q_ids"), F.col("data").alias("q"))
     c = staged(blocks(vectors, candidates_per_block, sizes["n"]))
-    pairs = c.join(q, "dim")  # blocks, not rows
-    bound = int((sizes["top"] or 0) ** 2) * max(1, sizes["dim"] or 0) + 1  # scores lie between -bound and bound
+    # A floor moves each component by less than one, so no score is further from 0 than this.
+    bound = int(((sizes["norm"] or 0.0) ** 0.5 + (sizes["dim"] or 0) ** 0.5 + 1) ** 2) + 1
     digits = -(-(2 * bound + 1).bit_length() // DIGIT)
 
     def histogram(shift: int):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 for r in f.itertuples():
-                    s, other = _scores(np.asarray(r.q_ids), np.asarray(r.q), np.asarray(r.ids), np.asarray(r.data), r.dim)
+                    s, other = _scores(np.asarray(r.q_rows), np.asarray(r.q), np.asarray(r.rows), np.asarray(r.data), r.dim)
                     s = s + bound
                     fits = other if r.prefixes is None else other & (s >> (shift + DIGIT) == np.asarray(r.prefixes)[:, None])
                     at, _ = np.nonzero(fits)
                     cell, n = np.unique((at << DIGIT) | ((s[fits] >> shift) & ((1 << DIGIT) - 1)), return_counts=True)
-                    yield pd.DataFrame({"query_id": np.asarray(r.q_ids)[cell >> DIGIT], "digit": cell & ((1 << DIGIT) - 1), "n": n})
+                    yield pd.DataFrame({"query": np.asarray(r.q_rows)[cell >> DIGIT], "digit": cell & ((1 << DIGIT) - 1), "n": n})
 
         return run
 
     found = None  # per query: the prefix of its kth score so far, and how many of its candidates are wanted below that prefix's start
     for d in reversed(range(digits)):
         shift = d * DIGIT
-        asked_now = pairs.withColumn("prefixes", F.lit(None).cast("array<long>")) if found is None else pairs.join(prefix_lists(q, found), ["dim", "q_block"])
-        cells = asked_now.mapInPandas(histogram(shift), "query_id long, digit long, n long").groupBy("query_id", "digit").agg(F.sum("n").alias("n"))
-        above = F.sum("n").over(W.partitionBy("query_id").orderBy(F.desc("digit")))
+        asked_now = q.withColumn("prefixes", F.lit(None).cast("array<long>")) if found is None else q.join(prefix_lists(q, found), ["dim", "q_block"])
+        cells = grid(asked_now, c, tasks).mapInPandas(histogram(shift), "query long, digit long, n long").groupBy("query", "digit").agg(F.sum("n").alias("n"))
+        above = F.sum("n").over(W.partitionBy("query").orderBy(F.desc("digit")))
         if found is None:
             cells = cells.withColumn("prefix", F.lit(0).cast("long")).withColumn("wanted", F.lit(k).cast("long"))
         else:
-            cells = cells.join(found, "query_id")
+            cells = cells.join(found, "query")
         # With fewer than wanted, the lowest cell that has candidates is the last.
-        total = F.sum("n").over(W.partitionBy("query_id"))
+        total = F.sum("n").over(W.partitionBy("query"))
         ranked = cells.withColumn("above", above - F.col("n")).withColumn("goal", F.least(F.col("wanted"), total))
         hit = ranked.filter((F.col("above") < F.col("goal")) & (F.col("above") + F.col("n") >= F.col("goal")))
-        found = staged(hit.select("query_id", (F.col("prefix") * (1 << DIGIT) + F.col("digit")).alias("prefix"), (F.col("goal") - F.col("above")).alias("wanted")))
+        found = staged(hit.select("query", (F.col("prefix") * (1 << DIGIT) + F.col("digit")).alias("prefix"), (F.col("goal") - F.col("above")).alias("wanted")))
 
     def kept(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples():
-                s, other = _scores(np.asarray(r.q_ids), np.asarray(r.q), np.asarray(r.ids), np.asarray(r.data), r.dim)
+                s, other = _scores(np.asarray(r.q_rows), np.asarray(r.q), np.asarray(r.rows), np.asarray(r.data), r.dim)
                 at, to = np.nonzero(other & (s + bound >= np.asarray(r.prefixes)[:, None]))
-                out = pd.DataFrame({"query_id": np.asarray(r.q_ids)[at], "vec_id": np.asarray(r.ids)[to], "score": s[at, to]})
+                out = pd.DataFrame({"query": np.asarray(r.q_rows)[at], "query_id": np.asarray(r.q_ids)[at], "vec_id": np.asarray(r.ids)[to], "score": s[at, to]})
                 # Ties at the kth score can be many: of one block, the k best of a query are enough.
-                out = out.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-                yield out.groupby("query_id").head(k)
+                out = out.sort_values(["query", "score", "vec_id"], ascending=[True, False, True])
+                yield out.groupby("query").head(k)
 
-    best = pairs.join(prefix_lists(q, found), ["dim", "q_block"]).mapInPandas(kept, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = grid(q.join(prefix_lists(q, found), ["dim", "q_block"]), c, tasks).mapInPandas(kept, "query long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    known = lambda x: F.when(F.col(x) != _NO_ID, F.col(x)).alias(x)
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select(known("query_id"), "rank", known("vec_id"), "score")
 
 
 def prefix_lists(q: DataFrame, found: DataFrame) -> DataFrame:
-    """dim, q_block and the prefixes of the block's queries, in the order of its ids; -1 if a query has no candidate."""
-    ids = q.select("dim", "q_block", F.posexplode("q_ids").alias("pos", "query_id")).join(found, "query_id", "left")
-    ordered = ids.groupBy("dim", "q_block").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("prefix", F.lit(1 << 62)).alias("prefix")))).alias("x"))
+    """dim, q_block and the prefixes of the block's queries, in the order of its rows; a query without a candidate has one that no score reaches."""
+    ids = q.select("dim", "q_block", F.posexplode("q_rows").alias("pos", "query")).join(found, "query", "left")
+    ordered = ids.groupBy("dim", "q_block").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("prefix", F.lit(_NO_ID)).alias("prefix")))).alias("x"))
     return ordered.select("dim", "q_block", F.col("x.prefix").alias("prefixes"))

@@ -103,15 +103,19 @@ def test_top_k(spark, blocks):
     rows = [(i, [float(x) for x in np.round(r.normal(size=6), 1)], 0) for i in range(120)]
     rows[7:20] = [(i, rows[50][1], 0) for i in range(7, 20)]  # ties
     rows += [(200, None, 0), (250, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (300, [float("nan")] * 6, 0), (350, [float("inf")] * 6, 0), (400, [1.0, 2.0], 0), (450, [], 0), (50, rows[50][1], 0)]
+    rows += [(50, rows[3][1], 0), (None, rows[4][1], 0), (None, rows[50][1], 0), (500, [1e16] * 6, 0), (550, [1e30, 0.0, 0.0, 0.0, 0.0, 0.0], 0), (600, [-3e38] * 6, 0), (650, [1e5, -1e5, 0.0, 0.0, 0.0, 0.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
-    out = sorted(tuple(x) for x in top_k(df, F.col("vec_id") % 50 == 0, queries_per_block=blocks[0], candidates_per_block=blocks[1]).collect())
-    ok = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v, _ in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    out = [tuple(x) for x in top_k(df, F.col("vec_id") % 50 == 0, queries_per_block=blocks[0], candidates_per_block=blocks[1]).collect()]
+    # Brute force over rows: a repeated id is another row, vectors whose scores might not fit into 64 bits take no part.
+    scaled = [(i, [256 * float(np.float32(x)) for x in v]) for i, v, _ in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, [math.floor(x) for x in v]) for i, v in scaled if sum(x * x for x in v) < 2**61]
+    assert {500, 550, 600}.isdisjoint(i for i, _ in ok) and 650 in [i for i, _ in ok]
     want = []
-    for q, v in ok.items():
-        if q % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in ok.items() if i != q and len(w) == len(v))[:5]
-            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert out == sorted(want)
+    for a, (q, v) in enumerate(ok):
+        if q is not None and q % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), i is None, i or 0) for b, (i, w) in enumerate(ok) if a != b and len(w) == len(v))[:5]
+            want += [(q, k + 1, None if none else i, -s) for k, (s, none, i) in enumerate(best)]
+    assert sorted(map(repr, out)) == sorted(map(repr, want))
     assert top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
