@@ -13,10 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""",
-    re.S,
-)
+_OPENS = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_IN_TAG = re.compile(r"""[>"']""")
 #: One attribute: a name after white space, a slash or the value before it, and its value, if any. Read one after another, so no name is found within a value.
 _ATTR = re.compile(r"""[\s/]*+(=?[^\s/>=]++|=)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 #: Elements of running text; all others begin and end a block.
@@ -50,34 +48,96 @@ _NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 
 
+class Token(NamedTuple):
+    """A tag and the text before it; the last has no tag."""
+
+    text: str
+    closing: bool = False
+    tag: str = ""
+    attrs: str = ""
+
+
+def tokens(page: str) -> Iterator[Token]:
+    """Tags in order, without comments and declarations. A tag ends at the first > outside of quotes or, where a quote is never closed, at the first >.
+
+    Each quote that turns out to lead nowhere is remembered, so that the whole page is read a fixed number of times, however broken it is.
+    """
+    last, lost = page.rfind(">"), set()
+    start = at = 0
+    while m := _OPENS.search(page, at):
+        if m[2] is None:
+            end = page.find("-->", m.end()) + 3 if m[0] == "<!--" else page.find(">", m.end()) + 1
+            yield Token(page[start : m.start()])
+            start = at = end if end > 2 or m[0] != "<!--" and end else len(page)
+            continue
+        if m.end() > last:
+            at = m.end()
+            continue
+        here, met = m.end(), []
+        while True:
+            q = _IN_TAG.search(page, here)
+            if not q or q[0] == ">":
+                end = q.start() if q else -1
+                break
+            met.append(q.start())
+            here = -1 if q.start() in lost else page.find(q[0], q.end()) + 1
+            if here <= 0:
+                end = -1
+                break
+        if end < 0:
+            lost.update(met)
+            end = page.find(">", m.end())
+        yield Token(page[start : m.start()], bool(m[1]), m[2].lower(), page[m.end() : end])
+        start = at = end + 1
+        if not m[1] and m[2].lower() in RAW:
+            close = re.compile(rf"</{re.escape(m[2])}\b[^>]*>?", re.I).search(page, at)
+            start = at = close.end() if close else len(page)
+    yield Token(page[start:])
+
+
+class Path:
+    """A path of block elements from the root: its parent path, its own name, and what its blocks add up to."""
+
+    __slots__ = ("best", "children", "depth", "inside", "name", "own", "parent", "plain", "under")
+
+    def __init__(self, parent: Path | None, tag: str, name: str) -> None:
+        self.parent, self.name = parent, name
+        self.depth = parent.depth + 1 if parent else 0
+        self.inside = bool(parent) and (parent.inside or tag in ("article", "main"))  # of an article or main element
+        self.plain = not parent or parent.plain and tag in ("html", "body")  # nothing but the page itself
+        self.children: dict[str, Path] = {}
+        self.own: dict[int, list[int]] = {}  # by outer, as in Block
+        self.under = [0, 0, 0, 0]
+        self.best: float | None = None
+
+
 class Block(NamedTuple):
-    """A run of text between two block boundaries."""
+    """A run of text between two block boundaries. outer: how many elements of its path stand outside the outermost whose name tells that it stands around
+    an article, all if none does; penalty: what such names leave of its ratio."""
 
-    path: tuple[str, ...]
+    path: Path
     text: str
     linked: int
-    outer: int = 0
+    outer: int
     penalty: float = 1.0
 
 
-class Open(NamedTuple):
-    """An open element: its tag, its name in paths, whether it is dropped, and its entry if its name tells that it stands around an article."""
+class Named:
+    """An element that by its name stands around an article, or a main or article element itself: what it holds. Elements know the one around them, and the next that isn't inline."""
 
-    tag: str
-    name: str
-    dropped: bool
-    entry: _Named | None
+    __slots__ = ("around", "block", "chars", "counts", "depth", "holds", "inline", "longest", "outer", "penalised", "penalty", "within")
 
+    def __init__(self, around: Named | None, block: Named | None, penalty: float, depth: int, inline: bool) -> None:
+        self.around, self.block, self.penalty, self.depth, self.inline = around, block, penalty, depth, inline
+        self.penalised = penalty < 1 or bool(around) and around.penalised
+        self.chars = 0
+        self.holds = self.longest = False
 
-class _Named:
-    """An element that by its name stands around an article, or a main or article element itself: what it holds."""
 
-    def __init__(self, penalty: float) -> None:
-        self.penalty = penalty
-        self.chars = 0
-        self.holds = False
-        self.articles: list[_Named] = []
+class Open:
+    """An open element. What is true of all within it is passed on to them, so that nothing has to look through the stack."""
 
+    __slots__ = ("article", "dropped", "link", "named", "named_block", "named_inline", "path", "tag")
 
 
 def attributes(attrs: str) -> dict[str, str]:
@@ -88,22 +148,21 @@ def attributes(attrs: str) -> dict[str, str]:
     return out
 
 
-def _is_around(tag: str, attrs: str, inside: list[Open]) -> bool:
-    if tag in DROPPED or tag == "header" and not any(e.tag in ("article", "main") for e in inside):
+def _is_around(tag: str, named: dict[str, str], in_article: bool) -> bool:
+    if tag in DROPPED or tag == "header" and not in_article:
         return True
-    if tag in ("html", "body", "article", "main") or not attrs:
+    if tag in ("html", "body", "article", "main") or not named:
         return False
-    named = attributes(attrs)
     return "hidden" in named or named.get("role", "").strip().lower() in _ROLES or bool(_NOT_SHOWN.search(named.get("style", "")))
 
 
-def name_penalty(tag: str, attrs: str) -> float:
+def name_penalty(tag: str, named: dict[str, str]) -> float:
     """What the element's name leaves of its paths' ratios: less than 1 if a whole token of its class or its id consists of words of _AROUND, neutral words and numbers aside."""
     if tag == "form":
         return NAMED
-    if not attrs or tag in ("html", "body", "article", "main"):
+    if not named or tag in ("html", "body", "article", "main"):
         return 1.0
-    named, least = attributes(attrs), 1.0
+    least = 1.0
     if named.get("role", "").strip().lower() == "form":
         return NAMED
     for token in f"{named.get('class', '')} {named.get('id', '')}".lower().split():
@@ -114,87 +173,83 @@ def name_penalty(tag: str, attrs: str) -> float:
     return least
 
 
-def _named(tag: str, attrs: str) -> str:
-    """An element's name in paths: its tag, and its class and id, which tell siblings of one tag apart."""
-    if not attrs or tag in INLINE or tag in ("html", "body"):
-        return tag
-    return ".".join([tag, *(v for k, v in attributes(attrs).items() if k in ("class", "id"))])
+def _implied(tag: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """The open elements that a start tag closes, and those beyond which it doesn't look for them."""
+    closes = ("p",) if tag in _CLOSES_P else {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ())
+    return closes, {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}.get(tag, ("td", "th", "button", "table"))
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, without elements that never hold an article's text, each with the path of block elements from the root to it.
 
-    outer: how many of these are outside the outermost element whose name tells that it stands around an article, all if none does; penalty: what such
-    names leave of the block's ratio. A name doesn't count if its element holds main, a heading of the first level, the longest article or,
-    if no article or main stands outside of such elements, over half of the page's text. Unclosed and misnested elements are closed where their parents end.
+    A name doesn't count if its element holds main, a heading of the first level, the longest article or, if no article or main stands outside of such
+    elements, over half of the page's text. Unclosed and misnested elements are closed where their parents end.
     """
+    root = Path(None, "", "")
+    base = Open()
+    base.tag, base.path, base.dropped, base.link, base.article = "", root, False, False, False
+    base.named = base.named_block = base.named_inline = None
+    stack: list[Open] = [base]
+    opened: dict[str, int] = defaultdict(int)
     out: list[Block] = []
-    stack: list[Open] = []
+    within: list[Named | None] = []  # per block, the innermost named element around it
+    plain: dict[int, list[tuple[Named, int]]] = {}  # per block, named inline elements and their letters in it
+    everyone: list[Named] = []
     words: list[str] = []
-    links = linked = 0
-    within: list[list[tuple[int, _Named]]] = []  # per block, the named elements around it and their depth
-    plain: dict[int, list[tuple[_Named, int]]] = {}  # per block, named inline elements and their letters in it
-    inserted: list[tuple[_Named, int]] = []
-    articles: list[_Named] = []
-    outside: list[_Named] = []  # main and article elements that no named one is around
+    inserted: list[tuple[Named, int]] = []
+    articles: list[Named] = []
+    outside: list[Named] = []  # main and article elements that no named one is around
+    linked = 0
 
     def text(raw: str) -> None:
         nonlocal linked
-        if raw and not any(e.dropped for e in stack):
+        top = stack[-1]
+        if raw and not top.dropped:
             words.append(raw)
-            if links:
+            if top.link:
                 linked += len(raw)
-            for e in stack:
-                if e.entry and e.tag in INLINE:
-                    inserted.append((e.entry, len(raw)))
-                    break
+            if top.named_inline:
+                inserted.append((top.named_inline, len(raw)))
 
     def flush() -> None:
         nonlocal linked
         if words:
             if joined := " ".join(entities.unescape("".join(words)).split()):
-                around = []
-                path = []
-                for e in stack:
-                    if e.tag in INLINE:
-                        continue
-                    if e.entry:
-                        e.entry.chars += len(joined)
-                        if e.entry.penalty < 1:
-                            around.append((len(path), e.entry))
-                    path.append(e.name)
+                top = stack[-1]
+                if top.named_block:
+                    top.named_block.chars += len(joined)
                 if inserted:
                     plain[len(out)] = inserted.copy()
                     for entry, n in inserted:
                         entry.chars += n
-                out.append(Block(tuple(path), joined, linked, len(path)))
-                within.append(around)
+                out.append(Block(top.path, joined, linked, top.path.depth))
+                within.append(top.named_block)
             words.clear()
         inserted.clear()
         linked = 0
 
-    at = 0
-    while m := _TOKEN.search(page, at):
-        text(page[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
+    def close(upto: int) -> None:
+        for e in stack[upto:]:
+            opened[e.tag] -= 1
+        del stack[upto:]
+
+    for token in tokens(page):
+        text(token.text)
+        tag = token.tag
         if not tag:
             continue
-        closing, tag, attrs = m[1] or m[4], tag.lower(), (m[3] or m[6] or "")
-        if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    if tag not in INLINE:
-                        flush()
-                    links -= sum(e.tag == "a" for e in stack[i:])
-                    del stack[i:]
-                    break
-                if tag in INLINE and stack[i].tag not in INLINE:
-                    break  # it was closed with its block
+        if token.closing:
+            if opened[tag]:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        if tag not in INLINE:
+                            flush()
+                        close(i)
+                        break
+                    if tag in INLINE and stack[i].tag not in INLINE:
+                        break  # it was closed with its block
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else len(page)
             if tag not in INLINE:
                 flush()
             continue
@@ -203,54 +258,74 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag not in INLINE:
             flush()
-            opened = [e.tag for e in stack]
-            implied = ("p",) if tag in _CLOSES_P else ("li",) if tag == "li" else ("dt", "dd") if tag in ("dt", "dd") else ("tr",) if tag == "tr" else ("td", "th") if tag in ("td", "th") else ("option",) if tag == "option" else ()
-            barrier = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}.get(tag, ("td", "th", "button", "table"))
-            for i in range(len(opened) - 1, -1, -1):
-                if opened[i] in implied:
-                    links -= opened[i:].count("a")
-                    del stack[i:]
-                    break
-                if opened[i] in barrier:
-                    break
-        if tag not in VOID:
-            around = _is_around(tag, attrs, stack)
-            left = 1.0 if around else name_penalty(tag, attrs)
-            entry = _Named(left) if left < 1 or tag in ("article", "main") else None
-            stack.append(Open(tag, _named(tag, attrs), around, entry))
-            links += tag == "a"
-            if tag in ("article", "main", "h1") and not any(e.dropped for e in stack):
-                if tag == "article":
-                    articles.append(entry)
-                if tag != "h1" and not any(e.entry and e.entry.penalty < 1 for e in stack):
-                    outside.append(entry)
-                for e in stack:
-                    if e.entry and tag == "article":
-                        e.entry.articles.append(entry)
-                    elif e.entry:
-                        e.entry.holds = True
-    text(page[at:])
+            closes, barrier = _implied(tag)
+            if any(opened[x] for x in closes):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag in closes:
+                        close(i)
+                        break
+                    if stack[i].tag in barrier:
+                        break
+        if tag in VOID:
+            continue
+        top, e = stack[-1], Open()
+        named = attributes(token.attrs) if token.attrs else {}
+        around = _is_around(tag, named, top.article)
+        left = 1.0 if around else name_penalty(tag, named)
+        inline = tag in INLINE
+        e.tag, e.dropped, e.link, e.article = tag, top.dropped or around, top.link or tag == "a", top.article or tag in ("article", "main")
+        e.path, e.named, e.named_block, e.named_inline = top.path, top.named, top.named_block, top.named_inline
+        if not inline:
+            name = tag if tag in ("html", "body") else ".".join([tag, *(named[k] for k in named if k in ("class", "id"))])
+            e.path = top.path.children.get(name) or top.path.children.setdefault(name, Path(top.path, tag, name))
+        if left < 1 or tag in ("article", "main"):
+            entry = Named(top.named, top.named_block, left, top.path.depth, inline)
+            everyone.append(entry)
+            e.named = entry
+            if inline:
+                e.named_inline = top.named_inline or entry
+            else:
+                e.named_block = entry
+        stack.append(e)
+        opened[tag] += 1
+        if tag in ("article", "main", "h1") and not e.dropped:
+            if tag == "article":
+                articles.append(e.named)
+            elif e.named:
+                e.named.holds = True
+            if tag != "h1" and not (top.named and top.named.penalised):
+                outside.append(e.named)
     flush()
+
+    for x in reversed(everyone):  # what an element holds, those around it hold as well
+        if x.around:
+            x.around.holds |= x.holds
+        if x.block and not x.inline:
+            x.block.chars += x.chars
     total = sum(len(b.text) for b in out)
     longest = max(articles, key=lambda x: x.chars, default=None)
-
+    while longest:
+        longest.longest, longest = True, longest.around
     most = total if any(x.chars for x in outside) else total / 2
-
-    def counts(x: _Named) -> bool:
-        return not (x.holds or x.chars > most or longest is not None and longest in x.articles)
-
-    for i, (b, around) in enumerate(zip(out, within, strict=True)):
-        named = [(depth, x.penalty) for depth, x in around if counts(x)]
-        penalty = min((p for _, p in named), default=1.0)
-        for x, n in plain.get(i, ()):
-            if counts(x):
-                penalty *= 1 - (1 - x.penalty) * min(1.0, n / len(b.text))
+    for x in everyone:
+        x.counts = x.penalty < 1 and not (x.holds or x.chars > most or x.longest)
+        x.within, x.outer = (x.block.within, x.block.outer) if x.block else (1.0, None)
+        if x.counts and not x.inline:
+            x.within = min(x.within, x.penalty)
+            x.outer = x.depth if x.outer is None else x.outer
+    for i, (b, x) in enumerate(zip(out, within, strict=True)):
+        penalty, outer = (x.within, x.outer) if x else (1.0, None)
+        for y, n in plain.get(i, ()):
+            if y.counts:
+                penalty *= 1 - (1 - y.penalty) * min(1.0, n / len(b.text))
         if penalty < 1:
-            out[i] = b._replace(outer=min((d for d, _ in named), default=len(b.path)), penalty=penalty)
+            out[i] = b._replace(outer=b.outer if outer is None else outer, penalty=penalty)
     return out
 
 
-_TOP = ({"html"}, {"body"}, {"html", "body"}, set())
+def _ratio(sums: list[int]) -> float:
+    chars, marks, linked, n = sums
+    return (chars / n) * (1 + log1p(marks / n)) * max(0.0, 1 - linked / max(1, chars)) ** 2
 
 
 def content(page: str, share: float = 0.12) -> str:
@@ -261,32 +336,58 @@ def content(page: str, share: float = 0.12) -> str:
     headings and short paragraphs go with the text around them; elements that hold the whole page tell nothing and don't count. Where article or main elements hold a third of the text, what is outside
     them counts a tenth. In elements that by class or id stand around an article, and in forms, a path's ratio counts NAMED or MAYBE_NAMED times, and isn't in the ratios of what is around
     them. Paths under share of the highest ratio are left out, as are elements that by their tag, role or state never hold an article's text.
+    Sums go up the tree of paths once, so a page takes time in proportion to its length, however deep it is nested.
     """
     found = blocks(page)
-    sums: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+    paths: list[Path] = []
+    seen: set[Path] = set()
     for b in found:
         row = (len(b.text), len(_PUNCTUATION.findall(b.text)), min(b.linked, len(b.text)), 1)
-        for key in [(b.path, b.outer), *(("under", b.path[:i]) for i in range(len(b.path)) if b.outer == len(b.path) or i > b.outer)]:
-            s = sums[key]
-            for i, x in enumerate(row):
-                s[i] += x
-
-    def ratio(key: tuple) -> float:
-        chars, marks, linked, n = sums[key]
-        return (chars / n) * (1 + log1p(marks / n)) * max(0.0, 1 - linked / max(1, chars)) ** 2
-
-    def inside(path: tuple[str, ...]) -> bool:
-        return any(p.split(".", 1)[0] in ("article", "main") for p in path)
-
+        own = b.path.own.setdefault(b.outer, [0, 0, 0, 0])
+        for i, x in enumerate(row):
+            own[i] += x
+        p = b.path
+        while p and p not in seen:
+            seen.add(p)
+            paths.append(p)
+            p = p.parent
+    paths.sort(key=lambda p: p.depth)
+    above: dict[Path, dict[int, list[int]]] = {}  # what a path's blocks add to the elements around it, by where that ends
+    for p in reversed(paths):
+        got = above.pop(p, {})
+        for outer, s in got.items():
+            if outer < p.depth:
+                for i, x in enumerate(s):
+                    p.under[i] += x
+        if p.parent:
+            up = above.setdefault(p.parent, {})
+            for source in (got, {(-1 if outer == p.depth else outer): s for outer, s in p.own.items()}):
+                for outer, s in source.items():
+                    if outer < p.parent.depth:
+                        have = up.setdefault(outer, [0, 0, 0, 0])
+                        for i, x in enumerate(s):
+                            have[i] += x
     kept = [b for b in found if b.penalty == 1]
-    marked = 3 * sum(len(b.text) for b in kept if inside(b.path)) >= max(1, sum(len(b.text) for b in kept))
-    score: dict[tuple[tuple[str, ...], int], float] = {}
-    for path, outer in {(b.path, b.outer) for b in found}:
-        ups = [path[:i] for i in range(1, len(path)) if set(path[:i]) not in _TOP and ("under", path[:i]) in sums]
-        ups = [u for u in ups if inside(u) or sums["under", u][3] < len(kept)] or ups[-1:]
-        own = ratio((path, outer))
-        around = max((ratio(("under", u)) for u in ups), default=own)
-        score[path, outer] = (own + 2 * around) / 3 * (1 if inside(path) or not marked else 0.1)
+    marked = 3 * sum(len(b.text) for b in kept if b.path.inside) >= max(1, sum(len(b.text) for b in kept))
+    around: dict[Path, tuple[float | None, float | None]] = {}  # of the elements around a path: the highest ratio, and that of the innermost if none may count
+    for p in paths:
+        best, nearest = around[p.parent] if p.parent else (None, None)
+        around[p] = (best, nearest)
+        if p.parent is None:
+            continue
+        if not p.plain and p.under[3]:
+            mine = _ratio(p.under)
+            if p.inside or p.under[3] < len(kept):
+                around[p] = (mine if best is None else max(best, mine), mine)
+            else:
+                around[p] = (best, mine)
+    score: dict[tuple[Path, int], float] = {}
+    for p in paths:
+        best, nearest = around[p.parent] if p.parent else (None, None)
+        for outer, s in p.own.items():
+            own = _ratio(s)
+            near = own if best is None and nearest is None else nearest if best is None else best
+            score[p, outer] = (own + 2 * near) / 3 * (1 if p.inside or not marked else 0.1)
     scores = [score[b.path, b.outer] * b.penalty for b in found]
     least = share * max(scores, default=0.0)
     return "\n".join(b.text for b, x in zip(found, scores, strict=True) if x >= least and x > 0)

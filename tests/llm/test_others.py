@@ -199,3 +199,49 @@ def test_html_names_weigh_and_do_not_remove():
         assert content(f"<article>{body}</article><div {named}>{remark * 9}</div>") == text, named
         assert content(f"<article>{body}</article><div {named}><article>{remark}</article><article>{remark}</article></div>") == text, named
     assert content(f"<div>{body}<p class=ad>Buy now, cheap, and a lot of it!</p><p><span class=ad>Buy now, cheap!</span></p></div>") == text
+
+
+def test_html_takes_time_in_proportion_to_the_page():
+    import time
+
+    from emberlens.llm.html import content
+
+    n = 5000
+    for page in (
+        "<div>text, here." * n, "<div class=ad>text, here." * n, "<article>text, here." * n, "<p title=\"it's>" * n, "<p title='x>" * n + '"', "<a " * n, "<!-- " * n, "<b><li>x" * n,
+        "<ul><li>x" * n, "</div>x" * n, "<span class=ad>x, y." * n, "<table><tr><td>x" * n, "<script>" * n, "&amp" * n, "<" * n, "<div id=comments><article>x, y." * n,
+    ):
+        began = time.time()
+        assert isinstance(content(page), str)
+        assert time.time() - began < 2, page[:30]
+    assert content("<div>text, here." * 300).count("text, here.") == 300
+
+
+def layouts():
+    """Pages around one article, and the article's blocks: each layout has furniture that must go."""
+    menu = "<ul>" + "".join(f"<li><a href='/{i}'>Part {i}</a></li>" for i in range(8)) + "</ul>"
+    remark = "<p>Nice, I liked it, a lot. Thanks, author! I would read more of it, any time.</p>"
+    ad = "<p>Buy now, cheap!</p>"
+    wrappers = ("<div>{}</div>", "<article>{}</article>", "<main><div class='post-body'>{}</div></main>", "<div class='widget'>{}</div>", "<section class='story share-enabled'>{}</section>", "<table><tr><td>{}</td></tr></table>",
+                "<div><div><div><div>{}</div></div></div></div>", "<div id=content class='col-8 has-sidebar'>{}", "<form action=/><div>{}</div></form>", "<div>" * 40 + "{}")
+    pages = (
+        "<body><nav>" + menu + "</nav>{}<footer>All rights, reserved.</footer></body>",
+        "<body><header><h2>Site</h2>" + menu + "</header>{}<aside>" + remark + "</aside>",
+        "<div class='cookie-notice'>" + ad + "</div>{}<div class='ad'>" + ad + "</div>",
+        "<div class=top>" + menu + "</div>{}<section id='comments'>" + remark * 3 + "</section>",
+        "<script>var a = '<p>no, never.</p>'</script><style>p{{}}</style>{}<form>Name, please: <input><button>Send</button></form><noscript>Turn, it on.</noscript>",
+    )
+    for k, wrapper in enumerate(wrappers):
+        blocks = [f"A {k} headline"] + [f"Paragraph {k}.{i} of the article, with commas, and a full stop. It goes on, for a while & ends." for i in range(3 + k % 3)]
+        body = f"<h1>{blocks[0]}</h1>" + "".join("<p>" + b.replace("&", "&amp;").replace("article", "<b>article</b>") + ("" if k % 2 else "</p>") for b in blocks[1:])
+        for page in pages:
+            yield page.format(wrapper.format(body)), "\n".join(blocks)
+
+
+def test_html_on_fifty_pages():
+    from emberlens.llm.html import content
+
+    pages = list(layouts())
+    assert len(pages) == 50
+    wrong = [(p, content(p), want) for p, want in pages if content(p) != want]
+    assert not wrong, (len(wrong), wrong[0])
