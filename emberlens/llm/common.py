@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,12 +12,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, as in tests, one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir. Executors must share it, so none is made up where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share: intermediate tables are written there")
     return path
 
 
@@ -32,3 +29,17 @@ def staged(df: DataFrame) -> DataFrame:
 def utf8(text: str | Column) -> Column:
     """The text's bytes; null is empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")
+
+
+def salted_join(rows: DataFrame, by: DataFrame, keys: dict[str, str], how: str = "inner", salts: int = 16) -> DataFrame:
+    """rows joined with by on keys (column of rows: column of by), null being a key like others, each key's rows in up to salts tasks.
+
+    by must have one row per key; it is repeated salts times, rows isn't. rows should be read from a written table: a row's salt is its place there.
+    """
+    left = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    right = by.withColumn("__of", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    match = F.col("__salt") == F.col("__of")
+    for a, b in keys.items():
+        match = match & F.col(a).eqNullSafe(F.col(b))
+    out = left.join(right, match, how)
+    return out.drop("__salt", "__of")

@@ -161,9 +161,12 @@ def test_jaccard(docs, rows, empty, block, monkeypatch):
 
 
 def test_mixing(docs, rows, empty):
+    from pyspark.sql import functions as F
+
     from emberlens.llm.mixing import mix
 
-    out = mix(docs).join(docs.select("doc_id", "source").distinct(), "doc_id").distinct().toPandas()
+    out = mix(docs.withColumn("doc_id", F.struct("doc_id", "source"))).toPandas()
+    out["source"] = [x["source"] for x in out["doc_id"]]
     sizes = defaultdict(int)
     for _, t, _, s, _ in rows:
         sizes[s] += len(WORD.findall(t or ""))
@@ -191,6 +194,19 @@ def test_mixing(docs, rows, empty):
     assert all_rows.columns == docs.columns and mix(empty).count() == 0
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_mixing_of_tied_ids(spark, same):
+    from emberlens.llm.mixing import mix
+
+    texts = [" ".join(f"w{0 if same else i}" for _ in range(6)) for i in range(1000)]
+    rows = [(None, t, "en", "b", 0) for t in texts] + [(7, t, "en", "a", 0) for t in texts[:300]] + [(i, "x y z", "en", None, 0) for i in range(50)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    out = mix(docs).groupBy("source_size").agg({"taken": "sum", "target": "max", "repeats": "max"}).toPandas()
+    assert len(out) == 3 and ((out["sum(taken)"] - out["max(target)"]).abs() <= 3).all() and out["max(repeats)"].max() <= 2
+    assert mix(docs, copies=True).count() == mix(docs).agg({"repeats": "sum"}).first()[0]
+    assert sorted(map(repr, mix(docs).collect())) == sorted(map(repr, mix(docs).collect()))
+
+
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 
