@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, utf8
+from .common import salted_join, staged, utf8
 
 SPACES = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
@@ -103,6 +103,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "sour
     """
     rules = staged(with_rules(document_counts(docs, id_col, host_col, text_col)))
     hosts = host_verdicts(rules, max_host_rate).select(F.col("host").alias("of"), "host_rate", "host_rejected")
-    return rules.join(hosts, F.col("host").eqNullSafe(F.col("of"))).select(
+    # A host may hold a third of all rows.
+    return salted_join(rules, hosts, {"host": "of"}).select(
         F.col("id").alias(id_col), *COUNTS, "base_failed", (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"), "host_rate"
     )
