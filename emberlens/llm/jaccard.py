@@ -10,8 +10,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import staged, utf8
+from .common import salted_join, staged, utf8
 
 _U = np.uint64
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -19,6 +20,8 @@ _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 SHARE = 4e-6
 #: Documents of a bundle that one task compares with as many others.
 BLOCK = 1000
+#: Members of a large bundle that all others are compared with first.
+HEADS = 16
 _CELLS = 16
 
 
@@ -179,12 +182,61 @@ def cell_counts(tokens: np.ndarray) -> np.ndarray:
     return np.bincount((tokens >> _U(60)).astype(np.int64), minlength=_CELLS).astype("<i4")
 
 
-def dealt(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """rows(k, pivot, ...) with own, i and j: a bundle's members are dealt to blocks, and each goes to all pairs of blocks that its own is in."""
-    sizes = rows.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
-    own = rows.join(sizes, "pivot").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
-    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return other.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other")
+def dealt(rows: DataFrame, block: int) -> DataFrame:
+    """rows(k, pivot, label) with own, i and j: a bundle's members are dealt to groups of about block of one label, or of none, and each goes to all pairs of
+    groups that its own is in, but for pairs of one label: their members are linked already."""
+    sized = rows.groupBy("pivot", "label").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("n"))
+    one = F.transform(F.sequence(F.lit(0), F.col("x.n") - 1), lambda b: F.struct(F.col("x.label").isNull().alias("free"), F.coalesce("x.label", F.lit(0)).alias("label"), b.alias("b"), F.col("x.n").alias("n")))
+    groups = sized.select(F.col("pivot").alias("of"), F.struct("label", "n").alias("x")).select("of", F.explode(one).alias("g"))
+    groups = groups.groupBy("of").agg(F.array_sort(F.collect_list("g")).alias("groups"))
+    placed = salted_join(rows, groups, {"pivot": "of"})
+    free, label = F.col("label").isNull(), F.coalesce("label", F.lit(0))
+    mine = F.filter(F.transform("groups", lambda g, at: F.when((g["free"] == free) & (g["label"] == label) & (g["b"] == F.pmod(F.xxhash64("k"), g["n"])), at)), lambda at: at.isNotNull())
+    others = F.filter(F.transform("groups", lambda g, at: F.when(g["free"] | free | (g["label"] != label), at)), lambda at: at.isNotNull())
+    own = placed.withColumn("own", F.get(mine, F.lit(0))).withColumn("other", F.explode(others))
+    return own.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("of", "groups", "other", "label")
+
+
+def heads_of(members: DataFrame, sets: DataFrame, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """members(k, pivot) of large bundles -> label of those that link to one of their bundle's first HEADS members, and edges to these.
+
+    A bundle may be one large group of near copies, whose pairs would grow with its square. Each block of members meets its bundle's
+    heads only; members of one label are linked through them and needn't meet.
+    """
+    blocks = members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    first = F.row_number().over(W.partitionBy("pivot").orderBy("k"))
+    heads = members.withColumn("place", first).filter(F.col("place") <= HEADS).join(blocks, "pivot").select("k", "pivot", F.lit(True).alias("head"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    others = salted_join(members, blocks.withColumnRenamed("pivot", "of"), {"pivot": "of"}).select("k", "pivot", F.lit(False).alias("head"), F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int").alias("block"))
+    places = heads.unionByName(others).groupBy("k").agg(F.collect_list(F.struct("pivot", "head", "block")).alias("places")).withColumnRenamed("k", "of_k")
+    rows = sets.select("k", "tokens").join(places, F.col("k") == F.col("of_k")).withColumn("x", F.explode("places")).select("k", "tokens", "x.*")
+
+    def nearest(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("head", "descending"), ("k", "ascending")])
+        k, n = table["k"].to_numpy(), int(np.count_nonzero(table["head"].to_numpy(zero_copy_only=False)))
+        tokens = [np.frombuffer(x, _U) for x in table["tokens"].to_pylist()]
+        sizes = np.array([len(t) for t in tokens])
+        both = overlaps(tokens, np.arange(n))
+        link = 100 * both >= percent * (np.add.outer(sizes[:n], sizes) - both)
+        root = np.arange(n)  # heads that link to each other share one; every block finds the same
+        while True:
+            new = np.minimum(root, np.where(link[:, :n], root[None, :], n).min(axis=1, initial=n))
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        at, of = np.nonzero(link[:, n:])
+        least = np.full(len(k) - n, n)
+        np.minimum.at(least, of, root[at])
+        edges = np.unique(np.stack([k[n:][of], k[root[at]]]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
+        far = least < n
+        out_k, label = k[n:][far], k[np.minimum(least[far], n - 1)]
+        pivot = np.full(len(out_k), table["pivot"][0].as_py() if table.num_rows else 0)
+        return pa.concat_tables(
+            [pa.table({"k": out_k, "pivot": pivot, "label": label, "to": pa.nulls(len(out_k), pa.int64())}), pa.table({"k": edges[0], "pivot": np.full(edges.shape[1], pivot[0] if len(pivot) else 0), "label": pa.nulls(edges.shape[1], pa.int64()), "to": edges[1]})]
+        )
+
+    found = staged(rows.groupBy("pivot", "block").applyInArrow(nearest, "k long, pivot long, label long, to long"))
+    return found.filter("label is not null").select("k", "pivot", "label").distinct(), found.filter("to is not null").select(F.col("k").alias("a"), F.col("to").alias("b"))
 
 
 def _members(table: pa.Table) -> tuple[pa.Table, np.ndarray, int]:
@@ -202,11 +254,11 @@ def components(edges: DataFrame) -> DataFrame:
     last = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumnRenamed("a", "of")
+        large = salted_join(both, low, {"a": "of"}).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))  # a node may have very many neighbours
+        large = staged(large.filter("a <> b").distinct())
+        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "of")
+        small = salted_join(large, low, {"a": "of"}).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("of").alias("a"), F.col("m").alias("b")))
         edges = staged(small.filter("a <> b").distinct())
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last:
@@ -214,21 +266,24 @@ def components(edges: DataFrame) -> DataFrame:
         last = state
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """n_shingles and component_id of every row: the smallest id reachable by links of Jaccard similarity of percent or more.
 
     Equal sets are one node. A node's prefix is its first n-grams in a global order from rare to common; two sets that link share
     an n-gram of their prefixes. All nodes that share one are bundled under that n-gram's smallest node, its pivot, so
-    every candidate pair meets in a bundle, and no pair becomes a row: a task takes two blocks of a bundle, filters by length,
-    position and suffix, and hands on the members that may link. Only their sets are fetched and dealt to bundles again, where what the
-    filters leave is verified once and at most one edge per member handed on. Large bundles are cut into blocks, each pair of which is
-    a group of its own.
-
-    Null or empty texts have an empty set and their own id; equal ids share what any of their rows links to only if their sets link; an
-    empty table gives an empty one; other columns aren't read.
+    every candidate pair meets in a bundle, and no pair becomes a row: a task filters a bundle's pairs by length, position and
+    suffix, and hands on the members that may link. Only their sets are fetched and dealt to bundles again, where what the
+    filters leave is verified once and at most one edge per member handed on. The members of a bundle of more than block are first compared with a
+    few of them; what isn't linked through these is cut into blocks, each pair of which is a group of its own.
+
+    Null or empty texts have an empty set and their own id. Rows count by themselves, whatever their ids: rows of equal ids share what any of them links
+    to only if their sets link, and a row without an id links others, takes the id that it reaches, and is null only where none is reached. An
+    empty table gives an empty one; other columns aren't read. Sets are told apart by 64-bit hashes: of N different sets, about N**2 / 2**65 pairs
+    are expected to count as equal, less than one for 6 billion.
     """
     common = common_words(docs, text_col)
-    kept = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
+    # A row is found again by its id and its text's hash.
+    kept = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     id_type = kept.schema["id"].dataType.simpleString()
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,10 +300,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 h.append(s[: prefix_length(len(s), percent)].view(np.int64) if first else None)
                 cells.append(cell_counts(s).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size, pa.int64()), pa.array(key, pa.int64()), pa.array(h, pa.list_(pa.int64())), pa.array(cells, pa.binary())], names=["id", "n", "k", "prefix", "cells"]
+                [b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(key, pa.int64()), pa.array(h, pa.list_(pa.int64())), pa.array(cells, pa.binary())], names=["id", "th", "n", "k", "prefix", "cells"]
             )
 
-    nodes = staged(kept.mapInArrow(keyed, f"id {id_type}, n long, k long, prefix array<long>, cells binary"))
+    nodes = staged(kept.mapInArrow(keyed, f"id {id_type}, th long, n long, k long, prefix array<long>, cells binary"))
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows in the order of h and k: those whose h has several k, with the smallest. The first row of a gram is held back until the next."""
@@ -280,33 +335,39 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # One shuffle of hash and key; a gram's rows are streamed in order, with one key held.
     grams = nodes.filter("prefix is not null").select(F.explode("prefix").alias("h"), "k").repartition("h").sortWithinPartitions("h", "k")
     pairs = grams.mapInArrow(shared, "k long, h long, pivot long").groupBy("k").agg(F.collect_set("h").alias("shared"), F.array_sort(F.collect_set("pivot")).alias("pivots"))
-    one = nodes.filter("k is not null").groupBy("k").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("cells").alias("cells"))
+    row = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))
+    one = nodes.filter("k is not null").groupBy("k").agg(row.alias("at"), F.first("n").alias("n"), F.first("cells").alias("cells"))
     members = staged(pairs.join(one, "k"))
 
     def likely(table: pa.Table) -> pa.Table:
         p = table["pivot"][0].as_py()
-        table, k, split = _members(table)
+        table, k, _ = _members(table.append_column("own", pa.array(np.zeros(table.num_rows, np.int32))))
         maybe = candidates(
             table["n"].to_numpy(), [np.asarray(x, np.int64) for x in table["shared"].to_pylist()], np.stack([np.frombuffer(x, "<i4") for x in table["cells"].to_pylist()]),
-            split, table["pivots"].to_pylist(), p, percent,
+            0, table["pivots"].to_pylist(), p, percent,
         )
         k = k[maybe.any(axis=0) | maybe.any(axis=1)]
         return pa.table({"k": k, "pivot": np.full(len(k), p)})
 
-    rows = dealt(members.select("k", "n", "shared", "cells", "pivots", F.explode("pivots").alias("pivot")))
-    some = rows.groupBy("pivot", "i", "j").applyInArrow(likely, "k long, pivot long").groupBy("k").agg(F.array_sort(F.collect_set("pivot")).alias("pivots"))
-    wanted = staged(some.join(members.select("k", "id", "shared"), "k")).select(F.col("id").alias("of"), "k", "pivots", "shared")
+    each = members.select("k", "n", "shared", "cells", "pivots", F.explode("pivots").alias("pivot"))
+    large = staged(each.groupBy("pivot").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > block).select(F.col("pivot").alias("of")))
+    some = salted_join(each, large, {"pivot": "of"}, "left_anti").groupBy("pivot").applyInArrow(likely, "k long, pivot long")
+    some = some.unionByName(salted_join(each, large, {"pivot": "of"}, "left_semi").select("k", "pivot"))
+    some = some.groupBy("k").agg(F.array_sort(F.collect_set("pivot")).alias("pivots"))
+    wanted = some.join(members.select("k", "at", "shared"), "k").select(F.col("at.id").alias("of"), F.col("at.th").alias("of_th"), "k", "pivots", "shared")
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words, seen = Words(), set()
         for b in batches:
             sets = [rare_first(x.as_py(), words, common, n) for x in b.column(3)]
-            same = pa.array([node_key(s) == k.as_py() for s, k in zip(sets, b.column(0), strict=True)], pa.bool_())  # not so for another row of an equal id
+            keys = b.column(0).to_pylist()
+            same = [node_key(s) == k and k not in seen for s, k in zip(sets, keys, strict=True)]
+            seen.update(keys)
             out = pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([s.tobytes() for s in sets], pa.binary())], names=["k", "pivots", "shared", "tokens"])
-            yield out.filter(same)
+            yield out.filter(pa.array(same, pa.bool_()))
 
-    texts = kept.join(wanted, F.col("id") == F.col("of")).select("k", "pivots", "shared", "text")
-    sets = texts.mapInArrow(with_sets, "k long, pivots array<long>, shared array<long>, tokens binary")
+    texts = kept.join(wanted, F.col("id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th"))).select("k", "pivots", "shared", "text")
+    sets = staged(texts.mapInArrow(with_sets, "k long, pivots array<long>, shared array<long>, tokens binary"))
 
     def links(table: pa.Table) -> pa.Table:
         p = table["pivot"][0].as_py()
@@ -318,13 +379,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         far = label != np.arange(len(k))
         return pa.table({"a": k[far], "b": k[label[far]]})
 
-    # Blocks are counted before the texts are fetched.
-    bundles = dealt(wanted.select("k", F.explode("pivots").alias("pivot"))).groupBy("k").agg(F.collect_list(F.struct("pivot", "own", "i", "j")).alias("bundles")).withColumnRenamed("k", "of_k")
+    bundled = sets.select("k", F.explode("pivots").alias("pivot"))
+    edges = None
+    if large.take(1):
+        labels, edges = heads_of(salted_join(bundled, large, {"pivot": "of"}, "left_semi"), sets, percent, block)
+        labels = labels.select(F.col("k").alias("l_k"), F.col("pivot").alias("l_pivot"), "label")
+        bundled = staged(bundled.join(labels, (F.col("k") == F.col("l_k")) & (F.col("pivot") == F.col("l_pivot")), "left").select("k", "pivot", "label"))
+    else:
+        bundled = bundled.withColumn("label", F.lit(None).cast("long"))
+    bundles = dealt(bundled, block).groupBy("k").agg(F.collect_set(F.struct("pivot", "own", "i", "j")).alias("bundles")).withColumnRenamed("k", "of_k")
     ready = sets.join(bundles, F.col("k") == F.col("of_k")).withColumn("x", F.explode("bundles")).select("k", "pivots", "shared", "tokens", "x.*")
-    edges = ready.groupBy("pivot", "i", "j").applyInArrow(links, "a long, b long")
-    roots = components(edges)
-    every = nodes.select("id", "n", "k").join(roots.withColumnRenamed("a", "of"), F.col("k") == F.col("of"), "left").withColumn("c", F.coalesce("root", "k"))
-    least = every.filter("c is not null").groupBy("c").agg(F.min("id").alias("component_id")).withColumnRenamed("c", "of_c")
-    return every.select("id", "n", "c").join(least, F.col("c") == F.col("of_c"), "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
-    )
+    verified = ready.groupBy("pivot", "i", "j").applyInArrow(links, "a long, b long")
+    roots = components(verified if edges is None else verified.unionByName(edges))
+    # A set, and so a class, may hold a third of all rows.
+    every = staged(salted_join(nodes.select("id", "n", "k"), roots.withColumnRenamed("a", "of"), {"k": "of"}, "left").select("id", "n", F.coalesce("root", "k").alias("c")))
+    least = every.filter("c is not null").groupBy("c").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(F.col("c").alias("of"), "component_id")
+    return salted_join(every, least, {"c": "of"}, "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

@@ -146,20 +146,45 @@ def links(rows, percent=80):
     least = defaultdict(list)
     for i, r in enumerate(rows):
         least[top(i)].append(r[0])
-    return [(r[0], len(s), min(least[top(i)])) for i, (r, s) in enumerate(zip(rows, sets, strict=True))]
+    return [(r[0], len(s), min((x for x in least[top(i)] if x is not None), default=None)) for i, (r, s) in enumerate(zip(rows, sets, strict=True))]
 
 
 @pytest.mark.parametrize("block", [1000, 4])
-def test_jaccard(docs, rows, empty, block, monkeypatch):
+def test_jaccard(docs, rows, empty, block):
     from emberlens.llm import jaccard
 
-    real = jaccard.dealt
-    monkeypatch.setattr(jaccard, "dealt", lambda rows, b=block: real(rows, b))
-    assert found(jaccard.jaccard_components(docs), "doc_id", "n_shingles", "component_id") == sorted(links(rows), key=repr)
+    assert found(jaccard.jaccard_components(docs, block=block), "doc_id", "n_shingles", "component_id") == sorted(links(rows), key=repr)
     if block == 1000:
         assert jaccard.jaccard_components(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [1000, 20])
+def test_jaccard_of_null_and_repeated_ids_and_a_large_group(spark, block):
+    from emberlens.llm import jaccard
+
+    r = random.Random(5)
+    words = lambda n: ["".join(r.choice("abcdefghijkl") for _ in range(6)) for _ in range(n)]
+    base = words(150)
+
+    def near(text, cuts):
+        text = list(text)
+        for at in cuts:
+            text[at] = "x" + str(r.randrange(10**9))
+        return text
+
+    # 1 and 2 link to the third row, which has no id, and not to each other.
+    mid = words(100)
+    texts = [(1, near(mid, [20])), (2, near(mid, [70])), (None, mid), (7, near(mid, [5, 50, 95])), (None, words(40)), (None, None), (None, "")]
+    texts += [(7, words(60)), (8, None), (8, words(60))]
+    group = [near(base, r.sample(range(150), r.choice([0, 1, 1, 2, 2, 3, 9]))) for _ in range(150)]
+    texts += [(i % 60 + 100 if i % 9 else None, t) for i, t in enumerate(group)] + [(i + 300, base) for i in range(40)]
+    head = words(12)
+    texts += [(500 + i, head + words(30)) for i in range(50)]  # what they share doesn't make them link
+    rows = [(i, t if t is None or isinstance(t, str) else " ".join(t), "en", "s", 0) for i, t in texts]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    assert found(jaccard.jaccard_components(docs, block=block), "doc_id", "n_shingles", "component_id") == sorted(links(rows), key=repr)
+
+
 def test_mixing(docs, rows, empty):
     from pyspark.sql import functions as F
 
