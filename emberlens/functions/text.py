@@ -122,19 +122,29 @@ def data_folder(path: Column) -> Column:
     return F.regexp_replace(folder, r"(/[^/=]+=[^/]*)+$", "")
 
 
+#: Phrases of Spark and YARN that tell why an executor went, in lower case, in the order in which the kinds are tried, and the exit codes of a memory kill.
+REMOVALS = {
+    "memory-kill": ("exceeding physical memory", "exceeding memory limits", "exceeding virtual memory", "outofmemory"),
+    "decommissioned": ("decommission",),
+    "killed-by-driver": ("killed by driver", "requested by driver"),
+    "idle": ("idle",),
+    "lost": ("heartbeat", "lost node", "*lost*", "disconnected", "bad node"),
+}
+MEMORY_EXITS = ("137", "-104")
+
+
 def removal_kind(reason: Column) -> Column:
-    """Why an executor went, in the order in which the words decide."""
-    low = F.lower(F.coalesce(reason, F.lit("")))
-    code = F.regexp_extract(low, r"exit (?:code|status)[: ]+(-?\d+)", 1)
-    has = lambda *xs: F.greatest(*[low.contains(x) for x in xs]) if len(xs) > 1 else low.contains(xs[0])
-    return (
-        F.when(has("memory limits", "out of memory", "oom", "outofmemory") | code.isin("137", "143", "52") & has("killed", "oom"), "memory-kill")
-        .when(has("decommission"), "decommissioned")
-        .when(has("killed by driver"), "killed-by-driver")
-        .when(has("idle"), "idle")
-        .when(has("lost", "disassociated", "heartbeat", "exited", "unregistered") | (code != ""), "lost")
-        .otherwise("other")
-    )
+    """Why an executor went: the first kind of REMOVALS one of whose phrases the reason has. Some exit codes alone tell of a memory kill, any other of a loss; null without a reason."""
+    low = F.lower(reason)
+    code = F.regexp_extract(low, r"exit(?:ed with)? (?:code|status)[:\s]+(-?[0-9]+)", 1)
+    out = F.lit("other")
+    for kind, phrases in reversed(REMOVALS.items()):
+        told = F.lit(False)
+        for p in phrases:
+            told = told | low.contains(p)
+        told = told | code.isin(*MEMORY_EXITS) if kind == "memory-kill" else told | (code != "") if kind == "lost" else told
+        out = F.when(told, kind).otherwise(out)
+    return F.when(low != "", out)
 
 
 def short_error(text: Column) -> Column:

@@ -120,7 +120,7 @@ def test_text_functions(spark):
     assert one(T.host_key, "IP-10-0-0-1.ec2.internal", "10.0.0.1", "127.0.0.1", "LOCALHOST") == ["ip-10-0-0-1", "ip-10-0-0-1", "localhost", "localhost"]
     assert one(T.call_site, "count at /home/x/job.py:3", "count at Job.scala:4") == ["count at job.py:3", "count at Job.scala:4"]
     assert one(T.data_folder, "s3://b/t/day=1/h=2/part-0.parquet", "s3://b/t/_temporary/0/x/part-0", "/a/b/.staging/x/y") == ["s3://b/t", "s3://b/t", "/a/b"]
-    assert one(T.removal_kind, "Container killed by YARN for exceeding memory limits", "Executor decommission: spot", "Executor killed by driver.", "worker lost", "Command exited with code 1", None) == ["memory-kill", "decommissioned", "killed-by-driver", "lost", "lost", "other"]
+    assert one(T.removal_kind, "Container killed by YARN for exceeding memory limits", "Executor decommission: spot", "Executor killed by driver.", "worker lost node ip-1", "Command exited with code 1", "Command exited with code 137", "Executor exit code 137", "Exit status: -104.", "requested by driver", "worker in room 4 gone", "Executor heartbeat timed out", "Executor idle", None) == ["memory-kill", "decommissioned", "killed-by-driver", "lost", "lost", "memory-kill", "memory-kill", "memory-kill", "killed-by-driver", "other", "lost", "idle", None]
     assert one(T.template, "task 12 of 3") == ["task # of #"]
     assert one(T.clean, "a\x00b‮c\td") == ["abc\td"]
     assert one(T.row_key_bytes, "\\x00a\\xFF") == ["0061FF"]
