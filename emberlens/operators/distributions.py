@@ -14,13 +14,16 @@ from pyspark.sql import Window as W
 
 
 def dist_summary(df: DataFrame, keys: Sequence[str], v: str, probs: Sequence[float] = (0.5, 0.95)) -> DataFrame:
-    """n, total, lo, hi and nearest-rank quantiles p50, p95, ... of v per key; negative values count as 0."""
-    x = F.greatest(F.col(v), F.lit(0))
-    kind = df.schema[v].dataType.simpleString()
-    quantiles = [F.expr(f"percentile_disc({p!r}) within group (order by greatest({v}, 0))").cast(kind).alias(f"p{round(p * 100):d}") for p in probs]
-    return df.filter(F.col(v).isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(x).alias("total"), F.min(x).alias("lo"), F.max(x).alias("hi"), *quantiles
-    )
+    """n, total, lo, hi and nearest-rank quantiles p50, p95, ... of v per key; negative values count as 0.
+
+    Equal values of a key are counted first, in tasks and after the shuffle, so what is sorted per key are its different values.
+    """
+    w = W.partitionBy(*keys)
+    counts = df.filter(F.col(v).isNotNull()).groupBy(*keys, F.greatest(F.col(v), F.lit(0)).cast(df.schema[v].dataType).alias("__x")).agg(F.count(F.lit(1)).alias("__n"))
+    ranked = counts.withColumns({"__upto": F.sum("__n").over(w.orderBy("__x").rowsBetween(W.unboundedPreceding, 0)), "__all": F.sum("__n").over(w)})
+    rank = lambda p: F.greatest(F.lit(1), F.col("__all") - F.floor(F.col("__all") - F.col("__all") * F.lit(p)))
+    quantiles = [F.min(F.when(F.col("__upto") >= rank(p), F.col("__x"))).alias(f"p{round(p * 100):d}") for p in probs]
+    return ranked.groupBy(*keys).agg(F.sum("__n").alias("n"), F.sum(F.col("__x") * F.col("__n")).alias("total"), F.min("__x").alias("lo"), F.max("__x").alias("hi"), *quantiles)
 
 
 def log_bucket(v: Column) -> Column:
