@@ -101,3 +101,10 @@ def slow_rows(df: DataFrame, keys: Sequence[str], v: str, times: float = 2.0, mo
     mid = df.filter(F.col(v).isNotNull()).groupBy(*keys).agg(F.expr(f"percentile({v}, 0.5)").alias("median"))
     slow = (F.col(v) >= F.col("median") * times) & (F.col(v) - F.col("median") >= more)
     return df.join(mid, list(keys)).filter(slow)
+
+
+def straggler_levels(df: DataFrame, keys: Sequence[str], v: str) -> DataFrame:
+    """p50, p95, top and level per key with a median above 0: 3, 2 or 1 where p95 is 5, 3 or 2 times the median or more."""
+    d = dist_summary(df, keys, v, (0.5, 0.95)).filter("p50 > 0")
+    level = F.when(F.col("p95") >= 5 * F.col("p50"), 3).when(F.col("p95") >= 3 * F.col("p50"), 2).when(F.col("p95") >= 2 * F.col("p50"), 1).otherwise(0)
+    return d.select(*keys, "p50", "p95", F.col("hi").alias("top"), level.alias("level"))

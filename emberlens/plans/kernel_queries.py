@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import cluster as C
 from ..operators import distributions as D
 from ..operators import intervals as I
 from ..operators import timesplit as S
+from ..sources import eventlog as E
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -276,10 +278,20 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.first_match(F.col("text"), LINE_RULES).alias("rule"))
 
 
-@query(r"SELECT doc_id, regexp_replace(text, '([A-Za-z0-9._]+)@([A-Za-z0-9.]+)', '#', 'g') AS text FROM documents WHERE contains(text, '@')")
+_SECRET = "|".join(n.replace(".", "[._-]?") for n in T.SENSITIVE)
+
+
+@query(
+    rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?i)([A-Za-z0-9_.\-]*(?:{_SECRET})[A-Za-z0-9_.\-]*[ \t]*[=:][ \t]*)("[^"]*"|''[^'']*''|[^\s,;&)\]}}\[][^\s,;&)\]}}]*)', '\1[redacted]', 'g'),
+    '([A-Za-z][A-Za-z0-9+.\-]*://[^\s/:@]+:)([^\s/@]+)(@)', '\1[redacted]\3', 'g'), '\b(?:AKIA|ASIA)[A-Z0-9]{{16}}\b', '[redacted]', 'g') AS text FROM documents"""
+)
+def masked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.redact_text(F.col("text")).alias("text"))
+
+
+@query(r"SELECT doc_id, regexp_replace(text, '([A-Za-z0-9._]+)@([A-Za-z0-9.]+)', '#', 'g') AS text FROM documents")
 def masked_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter(F.col("text").contains("@"))
-    return docs.select("doc_id", F.regexp_replace("text", LINE_RULES[0].regex, "#").alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", LINE_RULES[0].regex, "#").alias("text"))
 
 
 @query(
@@ -316,10 +328,11 @@ def split_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.fitted_parts(items, "run", ["a", "b", "c"], "other").drop("run")
 
 
-@query("SELECT event_type, field, count(*) AS n FROM (SELECT event_type, unnest(json_keys(props)) AS field FROM events) GROUP BY ALL")
+@query("""SELECT event_type AS event, field, count(*) AS n, min(event_id) AS first_line FROM (SELECT event_type, event_id, unnest(json_keys(props)) AS field FROM events) WHERE NOT (event_type = 'click' AND field = 'k') GROUP BY ALL""")
 def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.select("event_type", F.explode(F.json_object_keys("props")).alias("field")).groupBy("event_type", "field").agg(F.count(F.lit(1)).alias("n"))
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("event"), F.lit("events").alias("file"), F.col("event_id").alias("line"), F.col("props").alias("value"))
+    known = spark.createDataFrame([("click", "k")], "event string, field string")
+    return E.unknown_fields(e, known).select("event", "field", "n", F.col("first.line").alias("first_line"))
 
 
 @query(
@@ -330,13 +343,51 @@ def page_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT event_type AS action, count(*) AS calls, count(*) FILTER (value < 10) AS errors, count(DISTINCT user_id) AS callers, CAST(max(floor(epoch(ts))) AS BIGINT) AS last FROM events GROUP BY 1"""
+    """SELECT 's' || (user_id % 3) AS service, event_type AS action, count(*) AS calls, count(*) FILTER (event_type IN ('error', 'signup')) AS errors, count(*) FILTER (event_type = 'error') AS refused,
+    array_to_string(list_sort(list_distinct(list('r' || (user_id % 7)) FILTER (event_type = 'error'))), ' ') AS resources FROM events GROUP BY 1, 2"""
 )
 def audit_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.groupBy(F.col("event_type").alias("action")).agg(
-        F.count(F.lit(1)).alias("calls"), F.count_if(F.col("value") < 10).alias("errors"), F.count_distinct("user_id").alias("callers"), F.max(seconds("ts")).alias("last")
-    )
+    code = F.when(F.col("event_type") == "error", "AccessDeniedException").when(F.col("event_type") == "signup", "Throttling")
+    rows = table(spark, sf_dir, "events").select(F.expr("concat('s', user_id % 3)").alias("service"), F.col("event_type").alias("action"), code.alias("error_code"), F.array(F.expr("concat('r', user_id % 7)")).alias("resources"))
+    joined = C.audit_calls(rows)
+    return joined.withColumn("resources", F.when(F.size("resources") > 0, F.array_join("resources", " ")))
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_size WHEN 1 THEN p_size * 1024 WHEN 2 THEN p_size * 1048576 WHEN 3 THEN p_size * 1610612736::BIGINT WHEN 4 THEN p_size * 1048576 ELSE -1 END::BIGINT AS bytes FROM part"""
+)
+def part_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes written in several units; 1.5 GiB each in one of them, and a word that is none."""
+    text = F.expr("CASE p_partkey % 6 WHEN 0 THEN concat(p_size, 'b') WHEN 1 THEN concat(p_size, ' KiB') WHEN 2 THEN concat(' ', p_size) WHEN 3 THEN concat(p_size * 3 / 2, 'GB') WHEN 4 THEN concat(p_size, 'm') ELSE concat(p_size, ' x') END")
+    return table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 6 == 2, T.size_to_bytes(text, "m")).otherwise(T.size_to_bytes(text)).alias("bytes"))
+
+
+@query(
+    """SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'ip-10-0-' || (page_id % 7) || '-9' WHEN page_id % 4 = 1 THEN 'localhost' ELSE split_part(lower(regexp_extract(url, '://([^/?#]*)', 1)), '.', 1) END AS key FROM pages"""
+)
+def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = F.expr("CASE WHEN page_id % 4 = 0 THEN concat('10.0.', page_id % 7, '.9') WHEN page_id % 4 = 1 THEN if(page_id % 8 = 1, '127.0.0.1', 'LOCALHOST') ELSE regexp_extract(url, '://([^/?#]*)', 1) END")
+    return table(spark, sf_dir, "pages").select("page_id", T.host_key(host).alias("key"))
+
+
+@query(
+    """WITH e AS (SELECT event_id, [0, 1, 52, 137, 143, 127, -104, -100, 130, 77][event_id % 10 + 1] AS code FROM events)
+    SELECT event_id, CASE code WHEN 0 THEN 'finished' WHEN 1 THEN 'failed' WHEN 52 THEN 'out of heap' WHEN 137 THEN 'signal 9' WHEN 143 THEN 'signal 15' WHEN 127 THEN 'command not found' WHEN -104 THEN 'over physical memory' WHEN -100 THEN 'container released'
+    WHEN 130 THEN 'signal 2' ELSE 'status 77' END AS meaning, CASE WHEN code IN (0, 143) THEN 'info' WHEN code IN (52, 137, -104) THEN 'critical' ELSE 'warning' END AS severity FROM e"""
+)
+def exit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.element_at(F.array(*map(F.lit, (0, 1, 52, 137, 143, 127, -104, -100, 130, 77))), F.expr("cast(event_id % 10 + 1 as int)"))
+    meaning, severity = C.exit_meaning(code)
+    return table(spark, sf_dir, "events").select("event_id", meaning.alias("meaning"), severity.alias("severity"))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'OFF_HEAP' ELSE (CASE WHEN p_partkey % 2 = 0 AND p_size % 2 = 0 THEN 'MEMORY_AND_DISK' WHEN p_partkey % 2 = 0 THEN 'MEMORY_ONLY' WHEN p_size % 2 = 0 THEN 'DISK_ONLY' ELSE 'NONE' END)
+    || CASE WHEN p_partkey % 2 = 0 AND p_size % 5 > 0 THEN '_SER' ELSE '' END END || CASE WHEN p_size % 7 = 0 THEN '_2' ELSE '' END AS level FROM part"""
+)
+def storage_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = F.expr("struct(p_size % 2 = 0 AS disk, p_partkey % 2 = 0 AS memory, p_size % 3 = 0 AS off_heap, p_size % 5 = 0 AS deserialized, if(p_size % 7 = 0, 2, 1) AS replication)")
+    return table(spark, sf_dir, "part").select("p_partkey", T.level_name(flags).alias("level"))
 
 
 @query(
@@ -360,6 +411,4 @@ def fleet_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def straggler_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "lineitem").select("l_suppkey", F.floor("l_extendedprice").alias("q"))
-    d = D.dist_summary(q, ["l_suppkey"], "q", (0.5, 0.95)).filter("p50 > 0")
-    level = F.when(F.expr("p95 >= 5 * p50"), 3).when(F.expr("p95 >= 3 * p50"), 2).when(F.expr("p95 >= 2 * p50"), 1).otherwise(0)
-    return d.select("l_suppkey", "p50", "p95", F.col("hi").alias("top"), level.alias("level"))
+    return D.straggler_levels(q, ["l_suppkey"], "q")
