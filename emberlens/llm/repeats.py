@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, utf8
+from .common import salted_join, staged, utf8
 
 _U = np.uint64
 _GRAM = 32
@@ -185,10 +185,10 @@ def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
         for b in batches:
             key, digest, of, start, size, inner = [], [], [], [], [], []
             for i, (t, text) in enumerate(zip(b.column(0).to_pylist(), b.column(2), strict=True)):
-                if t in seen:
-                    continue
-                seen.add(t)
                 data = text.as_py()
+                if (t, len(data)) in seen:
+                    continue
+                seen.add((t, len(data)))
                 k, s, n, within = regions(data, length)
                 view = memoryview(data)
                 digest.append(np.fromiter((xxhash.xxh3_64_intdigest(view[a:e]) for a, e in zip(s.tolist(), (s + n).tolist(), strict=True)), _U, len(s)))
@@ -208,10 +208,12 @@ def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
     inner = F.max(F.col("place").bitwiseAND(F.lit(1))) == 1
     keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), (F.min("digest") != F.max("digest")).alias("differ"), inner.alias("inner"))
     keys = keys.filter("c > 1 or inner").select("key", (F.col("differ") | F.col("inner")).alias("mixed"))
-    shared = staged(rows.join(keys, "key"))
+    # A passage may be in a third of all texts: keys and regions are joined by salt as well.
+    shared = staged(salted_join(rows, keys.withColumnRenamed("key", "of"), {"key": "of"}).drop("of"))
     each = staged(shared.groupBy("key", "digest", "mixed").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("t", "n", "place")).alias("one")))
     start, size = F.shiftright("place", 16), F.shiftright(F.col("place").bitwiseAND(F.lit(0xFFFF)), 1)
-    whole = shared.join(each.filter("c > 1").select("key", "digest"), ["key", "digest"], "left_semi").select("t", "n", start.alias("start"), (start + size).alias("end"))
+    again = each.filter("c > 1").select(F.col("key").alias("of"), F.col("digest").alias("of_digest"))
+    whole = salted_join(shared, again, {"key": "of", "digest": "of_digest"}, "left_semi").select("t", "n", start.alias("start"), (start + size).alias("end"))
 
     # Keys with several different regions: their bytes go to an index, or string by string if there are too many.
     mixed = each.filter("mixed").select("key", "c", "one.*")
@@ -226,13 +228,13 @@ def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
         for b in batches:
             out = []
             for t, n, text, rows in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if t in done:
+                if (t, n) in done:
                     continue
-                done.add(t)
+                done.add((t, n))
                 for r in rows:
                     a, e = r["start"], r["start"] + r["size"]
                     if r["hot"]:
-                        out += [(xxhash.xxh3_64_intdigest(text[x : x + length]) - (1 << 63), True, r["once"], t, n, x, None) for x in range(a, e - length + 1)]
+                        out += [(r["key"], True, r["once"], t, n, x, xxhash.xxh3_128_digest(text[x : x + length])) for x in range(a, e - length + 1)]
                     else:
                         out.append((r["key"], False, r["once"], t, n, a, text[a:e]))
             cols = list(zip(*out, strict=True)) if out else [[]] * 7
@@ -241,9 +243,9 @@ def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
 
     fetched = texts.join(by_text, ["t", "n"]).select("t", "n", "text", "rows").mapInArrow(fetch, "key long, hot boolean, once boolean, t long, n long, start long, bytes binary")
     fetched = staged(fetched)
-    hot = fetched.filter("hot").select("key", "once", "t", "n", "start")
-    again = hot.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    counted = hot.filter("once").join(again, "key", "left_semi").select("t", "n", "start", (F.col("start") + length).alias("end"))
+    hot = fetched.filter("hot").select(F.col("bytes").alias("string"), "once", "t", "n", "start")  # a string by its 128-bit hash
+    twice = hot.groupBy("string").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("string").alias("of"))
+    counted = salted_join(hot.filter("once"), twice, {"string": "of"}, "left_semi").select("t", "n", "start", (F.col("start") + length).alias("end"))
 
     def indexed(table: pa.Table) -> pa.Table:
         table = table.sort_by([("t", "ascending"), ("start", "ascending")])
@@ -274,7 +276,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     included. Strings are dealt by their smallest hash of 32 bytes, so equal ones meet, and each start is in one region of
     text. Keys met once can't repeat. Regions met twice or more are removed whole; different regions of one key go to run-length
     indexes of about SHARD bytes, whose matching statistics mark what repeats; keys with over HOT different regions are
-    counted string by string. A null text is empty; texts under length bytes keep all; equal texts of at least length
+    counted string by string, by 128-bit hashes. Texts are told apart by their length and a 64-bit hash, regions of one key by another one: of N different
+    texts of one length, about N**2 / 2**65 pairs are expected to count as copies. A null text is empty; texts under length bytes keep all; equal texts of at least length
     bytes lose all, under whatever ids; an empty table gives an empty one. The added columns take the place of columns of docs of those names.
     """
     added = ("n_bytes", "n_removed", "n_spans", "spans", "kept")
@@ -285,7 +288,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = keys.groupBy("t", "n").agg(F.count(F.lit(1)).alias("c")).filter(f"c > 1 and n >= {length}").select("t", "n", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
     spans = repeated_spans(keys.filter(F.col("n") >= length), length).unionByName(copies)
     by_text = staged(spans.groupBy("t", "n").agg(F.collect_set(F.struct("start", "end")).alias("spans"))).withColumnRenamed("t", "of_t").withColumnRenamed("n", "of_n")
-    joined = rows.join(by_text, (F.col("t") == F.col("of_t")) & (F.col("n") == F.col("of_n")), "left").drop("t", "of_t", "of_n")
+    joined = salted_join(rows, by_text, {"t": "of_t", "n": "of_n"}, "left", salts=8).drop("t", "of_t", "of_n")  # a text may have very many copies
     carried = joined.select(*own.values(), F.col("n").alias("n_bytes"), "bytes", "spans")
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
