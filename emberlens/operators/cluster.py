@@ -30,13 +30,16 @@ def exit_meaning(code: Column) -> tuple[Column, Column]:
 
 
 def join_instances(hosts: DataFrame, instances: DataFrame, apps: DataFrame) -> DataFrame:
-    """hosts(app_id, attempt, host, ...) with its instance's id, type, role and market: by DNS name first, then by address. Instances that were up during a run but hold nothing of it are added."""
-    by_name = instances.select(F.col("id").alias("instance_id"), "type", "role", "market", "created", "ended", host_key(F.col("private_dns")).alias("key"))
+    """hosts(app_id, attempt, host, ...) with its instance's id, type, role and market: by DNS name first, then by address. Instances of the run's cluster that were up during it but hold
+    nothing of it are added: apps and instances are joined by cluster_id, a null one being that of a single cluster."""
+    cluster = F.col("cluster_id") if "cluster_id" in instances.columns else F.lit(None).cast("string")
+    of_run = F.col("cluster_id") if "cluster_id" in apps.columns else F.lit(None).cast("string")
+    by_name = instances.select(cluster.cast("string").alias("of_cluster"), F.col("id").alias("instance_id"), "type", "role", "market", "created", "ended", host_key(F.col("private_dns")).alias("key"))
     by_address = instances.select(F.col("id").alias("instance_id2"), F.col("type").alias("type2"), F.col("role").alias("role2"), F.col("market").alias("market2"), host_key(F.col("private_ip")).alias("key2"))
     keyed = hosts.withColumn("key", host_key(F.col("host")))
-    out = keyed.join(by_name.drop("created", "ended"), "key", "left").join(by_address, keyed["key"] == F.col("key2"), "left")
+    out = keyed.join(by_name.drop("created", "ended", "of_cluster"), "key", "left").join(by_address, keyed["key"] == F.col("key2"), "left")
     known = out.select(*hosts.columns, F.coalesce("instance_id", "instance_id2").alias("instance_id"), *[F.coalesce(c, f"{c}2").alias(c) for c in ("type", "role", "market")], F.lit(True).alias("used"))
-    up = apps.select(*KEY, "started", F.col("ended").alias("run_end")).join(by_name, (F.col("created") <= F.col("run_end")) & (F.col("ended").isNull() | (F.col("ended") >= F.col("started"))))
+    up = apps.select(*KEY, of_run.cast("string").alias("in_cluster"), "started", F.col("ended").alias("run_end")).join(by_name, F.col("in_cluster").eqNullSafe(F.col("of_cluster")) & (F.col("created") <= F.col("run_end")) & (F.col("ended").isNull() | (F.col("ended") >= F.col("started"))))
     idle = up.join(known.select(*KEY, "instance_id").filter("instance_id is not null").distinct(), [*KEY, "instance_id"], "left_anti")
     rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in hosts.schema.fields if f.name not in (*KEY, "host")]
     added = idle.select(*KEY, F.col("key").alias("host"), *rest, "instance_id", "type", "role", "market", F.lit(False).alias("used"))

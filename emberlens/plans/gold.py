@@ -10,9 +10,15 @@ from ..sources import eventlog as E
 from .rules import Thresholds, findings
 
 
-def gold_tables(events: DataFrame, thresholds: Thresholds | None = None) -> dict[str, DataFrame]:
-    """Every table, by name. events is read once for each kind of event: write it partitioned by event first where it is large."""
+def gold_tables(events: DataFrame, thresholds: Thresholds | None = None, store: str | None = None) -> dict[str, DataFrame]:
+    """Every table, by name. With store, a folder that all executors share, lines are numbered, named and written there once by event, and finished tasks, from which
+    most tables are summed, once as columns; without it each table reads the lines anew."""
+    if store:
+        events = E.stored_events(events, f"{store}/events")
     tasks, starts = X.task_ends(events), X.task_starts(events)
+    if store:
+        tasks.write.mode("overwrite").parquet(f"{store}/tasks")
+        tasks = events.sparkSession.read.schema(tasks.schema).parquet(f"{store}/tasks")
     jobs = S.jobs(X.job_starts(events), X.job_ends(events))
     counts = E.event_counts(events)
     apps = S.applications(X.app_starts(events), X.app_ends(events), jobs, counts)

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cluster as C
 from ..operators import extract as X
 from ..operators import logtext as G
+from ..operators import memory as M
 from ..operators import sqlplans as P
 from ..operators import stages as S
+from ..operators import summary as U
 from ..sources import eventlog as E
+from ..sources.shared import shared_dir
 from . import fleet as L
 from .fleet import BLOCKS_SQL, JOBS_SQL, TASKS_SQL
+from .gold import gold_tables
 from .kernel_queries import query
 from .rules import findings
 
@@ -325,7 +331,7 @@ def log_file_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("file", F.unix_millis("first").alias("first"), F.unix_millis("last").alias("last"), "lines")
 
 
-_RULES_SQL = f"""{_EXEC_SQL}, w AS (SELECT app_id, stage_id, {_SUMS}, CAST(sum(pk * 10) AS BIGINT) AS input_bytes, CAST(sum(p) AS BIGINT) AS duration_ms, count(*) FILTER (x % 4 >= 2) AS far FROM t GROUP BY 1, 2),
+_RULES_SQL = f"""{_EXEC_SQL}, w AS (SELECT app_id, stage_id, {_SUMS}, CAST(sum(pk * 10) AS BIGINT) AS input_bytes, CAST(sum(p) AS BIGINT) AS duration_ms, count(*) FILTER (x % 4 >= 2) AS far FROM t WHERE ln % 3 > 0 GROUP BY 1, 2),
     g AS (SELECT app_id, sum(run_ms) AS run_ms, sum(disk_spill) AS spill, sum(shuffle_write_bytes) AS wrote, sum(speculative) AS spec, sum(scheduler_delay_ms) AS delay, sum(duration_ms) AS took FROM w GROUP BY 1),
     late AS (SELECT DISTINCT app_id, task_id FROM t WHERE ln % 3 > 0),
     f AS (SELECT j.app_id, 'job-failed' AS rule, CASE WHEN apps.state = 'failed' THEN 'critical' ELSE 'warning' END AS severity FROM j JOIN apps USING (app_id) WHERE s = 'P' QUALIFY row_number() OVER (PARTITION BY j.app_id ORDER BY job_id) <= 5
@@ -345,11 +351,113 @@ _RULES_SQL = f"""{_EXEC_SQL}, w AS (SELECT app_id, stage_id, {_SUMS}, CAST(sum(p
     SELECT DISTINCT app_id, rule, severity FROM f"""
 )
 def log_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = L.item_rows(spark, sf_dir)
-    tasks, executors = _tasks(spark, sf_dir), _executors(spark, sf_dir)
-    ends = X.task_ends(L.task_end_lines(items.filter("ln % 3 > 0")))
-    tables = {
-        "jobs": _jobs(spark, sf_dir)[1], "applications": _apps(spark, sf_dir), "stage_totals": S.stage_totals(tasks), "executors": executors, "exclusions": X.exclusions(L.exclusion_lines(items)),
-        "running_tasks": S.running_tasks(X.task_starts(L.task_start_lines(items)), ends), "settings": X.settings(L.environment_lines(L.order_rows(spark, sf_dir))),
-    }
-    return findings(tables).filter(F.col("rule") != "large-results").select("app_id", "rule", "severity").distinct()
+    """All lines stored once by event, as a fleet's logs are, and the tables behind the rules computed from these."""
+    items, orders = L.item_rows(spark, sf_dir), L.order_rows(spark, sf_dir)
+    lines = L.task_end_lines(items.filter("ln % 3 > 0"))
+    for x in (L.task_start_lines(items), L.job_lines(orders), L.app_lines(orders), L.executor_lines(items), L.exclusion_lines(items), L.environment_lines(orders)):
+        lines = lines.unionByName(x)
+    tables = gold_tables(lines, store=f"{shared_dir(spark)}/events-{uuid.uuid4().hex}")
+    wanted = {k: v for k, v in tables.items() if k in ("jobs", "applications", "stage_totals", "executors", "exclusions", "running_tasks", "settings")}
+    return findings(wanted).filter(F.col("rule") != "large-results").select("app_id", "rule", "severity").distinct()
+
+
+@query(
+    f"""WITH {_ENV_SQL} SELECT app_id, (n % 3 + 1) * 1073741824 AS heap, greatest(402653184, CAST(floor(0.1::DOUBLE * ((n % 3 + 1) * 1073741824)) AS BIGINT)) AS overhead, (n % 3 + 1) * 1073741824 + greatest(402653184, CAST(floor(0.1::DOUBLE * ((n % 3 + 1) * 1073741824)) AS BIGINT)) AS container,
+    CAST(floor(((n % 3 + 1) * 1073741824 - 314572800) * 0.6::DOUBLE) AS BIGINT) AS unified FROM a"""
+)
+def log_memory_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.memory_config(X.settings(L.environment_lines(L.order_rows(spark, sf_dir)))).select("app_id", "heap", "overhead", "container", "unified")
+
+
+@query(
+    f"""WITH {TASKS_SQL}, {_ENV_SQL}, e AS (SELECT app_id, executor_id, max(p * 1000) AS peak_heap, sum(q * 9) AS gc, sum(p // 2) AS run FROM t GROUP BY ALL)
+    SELECT e.app_id, executor_id, peak_heap, (n % 3 + 1) * 1073741824 AS heap, CASE WHEN peak_heap > 0 THEN round(peak_heap / ((n % 3 + 1) * 1073741824), 9) END AS heap_share, CASE WHEN run > 0 THEN round(gc / run, 6) ELSE 0 END AS gc_share FROM e LEFT JOIN a USING (app_id)"""
+)
+def log_memory_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    peaks = S.executor_peaks(X.peak_samples(L.task_end_lines(L.item_rows(spark, sf_dir))))
+    config = M.memory_config(X.settings(L.environment_lines(L.order_rows(spark, sf_dir))))
+    out = M.memory_use(peaks, S.executor_totals(_tasks(spark, sf_dir)), config)
+    return out.select("app_id", "executor_id", "peak_heap", "heap", F.round("heap_share", 9).alias("heap_share"), F.round("gc_share", 6).alias("gc_share"))
+
+
+@query(
+    f"""WITH {TASKS_SQL}, w AS (SELECT app_id, stage_id, CAST(sum(q * 7) AS BIGINT) AS mem_spill, CAST(sum(CASE WHEN d > 6 THEN q * 1000 ELSE 0 END) AS BIGINT) AS disk_spill, CAST(sum(p * 3) AS BIGINT) AS shuffle_write_bytes FROM t GROUP BY ALL)
+    SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY disk_spill DESC, stage_id) AS place FROM w WHERE mem_spill > 0 OR disk_spill > 0"""
+)
+def log_stage_spill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.stage_spill(S.stage_totals(_tasks(spark, sf_dir))).drop("attempt", "stage_attempt")
+
+
+@query(
+    f"""WITH {_EXEC_SQL}, c AS (SELECT app_id, cores, row_number() OVER (PARTITION BY app_id ORDER BY count(*) DESC, cores DESC) AS r FROM ex GROUP BY app_id, cores)
+    SELECT app_id, count(*) AS started, count(*) FILTER (kind = 'memory-kill') AS memory_kill, count(*) FILTER (kind = 'lost') AS lost, count(*) FILTER (kind = 'idle') AS idle, any_value(c.cores) AS cores FROM ex JOIN c USING (app_id) WHERE r = 1 GROUP BY app_id"""
+)
+def log_exec_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.exec_summary(_executors(spark, sf_dir)).select("app_id", "started", "memory_kill", "lost", "idle", "cores")
+
+
+@query(f"WITH {TASKS_SQL} SELECT app_id, host, count(*) AS tasks, count(*) FILTER (status = 'failed') AS failed, count(DISTINCT executor_id) AS executors, CAST(sum(p) AS BIGINT) AS duration_ms, CAST(sum(pk * 10) AS BIGINT) AS input_bytes FROM t GROUP BY ALL")
+def log_host_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.host_totals(_tasks(spark, sf_dir)).select("app_id", "host", "tasks", "failed", "executors", "duration_ms", "input_bytes")
+
+
+@query(f"WITH {TASKS_SQL} SELECT app_id, CAST(sum(pk * 10) AS BIGINT) AS input_bytes, CAST(sum(q) AS BIGINT) AS input_records, CAST(sum(p * 2) AS BIGINT) AS shuffle_remote_bytes, CAST(sum(q) AS BIGINT) AS shuffle_write_records FROM t GROUP BY ALL")
+def log_io_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.io_totals(S.stage_totals(_tasks(spark, sf_dir))).select("app_id", "input_bytes", "input_records", "shuffle_remote_bytes", "shuffle_write_records")
+
+
+@query(
+    f"""WITH {TASKS_SQL}, e AS (SELECT app_id, stage_id, executor_id, CAST(sum(p) AS BIGINT) AS v FROM t GROUP BY ALL), m AS (SELECT app_id, stage_id, quantile_cont(v, 0.5) AS middle FROM e GROUP BY ALL)
+    SELECT app_id, stage_id, executor_id, v, middle, CASE WHEN middle > 0 THEN round(v / middle, 6) END AS times FROM e JOIN m USING (app_id, stage_id)"""
+)
+def log_executor_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.executor_heat(S.stage_executor(_tasks(spark, sf_dir)), "duration_ms").select("app_id", "stage_id", "executor_id", "v", "middle", F.round("times", 6).alias("times"))
+
+
+@query(
+    f"""WITH {TASKS_SQL}, {_APPS_SQL}, bb AS (SELECT t.app_id, greatest(0, launched - started) AS a, greatest(0, launched + p - started) AS z FROM t JOIN apps USING (app_id)), k AS (SELECT app_id, a // 3600000 AS bucket FROM bb UNION SELECT app_id, z // 3600000 FROM bb)
+    SELECT app_id, bucket, CAST(sum(greatest(0, least(z, 3600000 * (bucket + 1)) - greatest(a, 3600000 * bucket))) AS BIGINT) AS busy, count(*) FILTER (a < 3600000 * (bucket + 1) AND z >= 3600000 * (bucket + 1)) AS running FROM k JOIN bb USING (app_id) GROUP BY ALL"""
+)
+def log_tasks_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.tasks_over_time(_tasks(spark, sf_dir), _apps(spark, sf_dir), 3_600_000).drop("attempt")
+
+
+@query(
+    f"""WITH {_EXEC_SQL}, e AS (SELECT app_id, launched + p AS t, 'task-failed' AS kind, stage_id FROM t WHERE status = 'failed' UNION ALL SELECT app_id, added, 'executor-added', NULL FROM ex UNION ALL SELECT app_id, removed, 'executor-' || kind, NULL FROM ex WHERE removed IS NOT NULL)
+    SELECT app_id, t // 1000 AS second, kind, stage_id, count(*) AS n FROM e GROUP BY ALL"""
+)
+def log_run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.run_events(_tasks(spark, sf_dir), _executors(spark, sf_dir)).drop("attempt")
+
+
+@query(f"WITH {JOBS_SQL} SELECT app_id, 'read' AS access, 'db.t' || (job_id % 5) AS name, count(*) AS times, row_number() OVER (PARTITION BY app_id ORDER BY 'db.t' || (job_id % 5)) AS place FROM j GROUP BY app_id, job_id % 5")
+def log_data_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = L.plan_lines(L.order_rows(spark, sf_dir))
+    plans = S.latest_plans(X.sql_starts(lines), X.sql_adaptive(lines))
+    return U.data_refs(P.plan_data_refs(S.plan_nodes(plans.drop("plan_text")), plans)).select("app_id", "access", "name", "times", "place")
+
+
+@query(
+    f"""WITH {TASKS_SQL}, {JOBS_SQL}, w AS (SELECT app_id, stage_id, sum(CASE WHEN d > 6 THEN q ELSE 0 END) AS spill, count(*) FILTER (status = 'failed') AS failed FROM t GROUP BY ALL),
+    g AS (SELECT j.app_id, job_id AS stage_id, completed - submitted AS wall_ms, CAST(CASE WHEN s = 'P' THEN 0 WHEN coalesce(spill, 0) > 0 OR coalesce(failed, 0) > 0 THEN 2 ELSE 3 END AS INTEGER) AS "group" FROM j LEFT JOIN w ON w.app_id = j.app_id AND w.stage_id = j.job_id)
+    SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY "group", wall_ms DESC NULLS LAST, stage_id) AS place FROM g"""
+)
+def log_worth_a_look(spark: SparkSession, sf_dir: str) -> DataFrame:
+    totals = S.stage_totals(_tasks(spark, sf_dir))
+    lines, _ = _jobs(spark, sf_dir)
+    stages = S.stages(X.stage_events(lines), totals, X.app_ends(L.app_lines(L.order_rows(spark, sf_dir))))
+    return U.worth_a_look(stages, totals).select("app_id", "stage_id", "wall_ms", "group", "place")
+
+
+@query(
+    f"""WITH {TASKS_SQL}, w AS (SELECT app_id, stage_id, CAST(sum(pk * 10 + p * 6) AS BIGINT) AS moved, CAST(sum(CASE WHEN d > 6 THEN q * 1000 ELSE 0 END) AS BIGINT) AS spill FROM t GROUP BY ALL),
+    o AS (SELECT app_id, stage_id, max(p) - quantile_disc(p, 0.5) AS over FROM t WHERE status = 'succeeded' GROUP BY ALL HAVING count(*) >= 3), h AS (SELECT app_id, host, CAST(sum(p) AS BIGINT) AS took FROM t GROUP BY ALL),
+    n AS (SELECT app_id, 'mover' AS note, 'stage ' || stage_id || '.0' AS what, moved AS value FROM w UNION ALL SELECT app_id, 'spill', 'stage ' || stage_id || '.0', spill FROM w UNION ALL SELECT app_id, 'straggler', 'stage ' || stage_id || '.0', over FROM o WHERE over >= 1000
+    UNION ALL SELECT app_id, 'busiest-host', host, took FROM h) SELECT app_id, note, what, value FROM n WHERE value > 0 QUALIFY row_number() OVER (PARTITION BY app_id, note ORDER BY value DESC, what) = 1"""
+)
+def log_run_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks = _tasks(spark, sf_dir)
+    lines, _ = _jobs(spark, sf_dir)
+    totals = S.stage_totals(tasks)
+    stages = S.stages(X.stage_events(lines), totals, X.app_ends(L.app_lines(L.order_rows(spark, sf_dir))))
+    return U.run_notes(stages, totals, S.stage_dist(tasks), U.host_totals(tasks)).filter("note <> 'longest-stage'").select("app_id", "note", "what", "value")

@@ -71,18 +71,26 @@ def event_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def line_quality(events: DataFrame) -> DataFrame:
-    """Per file: lines, events, malformed lines with the first one's number, and whether the last line is cut off, which isn't malformed."""
-    bad = F.col("event").isNull() & (F.trim("value") != "")
-    last = F.max("line").over(W.partitionBy("file"))
-    marked = events.withColumn("bad", bad).withColumn("cut", bad & (F.col("line") == last))
-    malformed = F.col("bad") & ~F.col("cut")
-    return marked.groupBy("file").agg(
+    """Per file: lines, events, malformed lines with the first one's number, and whether the last line is cut off, which isn't malformed. A line is an event if it is JSON with an event's name."""
+    bad = (F.col("event").isNull() | F.try_parse_json("value").isNull()) & (F.trim("value") != "")
+    sums = events.withColumn("bad", bad).groupBy("file").agg(
         F.count(F.lit(1)).alias("lines"),
-        F.count("event").alias("events"),
-        F.count_if(malformed).alias("malformed"),
-        F.min(F.when(malformed, F.col("line"))).alias("first_malformed"),
-        F.bool_or("cut").alias("truncated"),
+        F.count_if(~F.col("bad") & F.col("event").isNotNull()).alias("events"),
+        F.count_if("bad").alias("bad"),
+        F.min(F.when(F.col("bad"), F.col("line"))).alias("first"),
+        F.max_by("bad", "line").alias("truncated"),
+        F.max("line").alias("last"),
     )
+    first = F.when(F.col("bad") > F.col("truncated").cast("int"), F.col("first"))  # the cut line is the last, so it isn't the first of several
+    return sums.select("file", "lines", "events", (F.col("bad") - F.col("truncated").cast("int")).alias("malformed"), first.alias("first_malformed"), "truncated")
+
+
+def stored_events(events: DataFrame, path: str) -> DataFrame:
+    """events written under path, partitioned by event, and read again: each extractor then reads its own event's files only, and lines are numbered and files joined once."""
+    named = events.withColumn("event", F.coalesce("event", F.lit("")))
+    named.repartition("event", F.pmod(F.xxhash64("app_id", "line"), F.lit(64))).write.mode("overwrite").partitionBy("event").parquet(path)
+    back = events.sparkSession.read.schema(named.schema).parquet(path)
+    return back.withColumn("event", F.nullif("event", F.lit(""))).select(*events.columns)
 
 
 def event_counts(events: DataFrame) -> DataFrame:
