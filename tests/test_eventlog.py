@@ -28,12 +28,12 @@ def logs(tmp_path_factory):
 
 
 @pytest.fixture(scope="module")
-def gold(spark, logs):
+def gold(spark, logs, tmp_path_factory):
     from emberlens.plans.gold import gold_tables
     from emberlens.sources.eventlog import event_lines
 
     events = event_lines(spark, str(logs[0])).cache()
-    return events, gold_tables(events)
+    return events, gold_tables(events, store=str(tmp_path_factory.mktemp("gold")))
 
 
 def mine(df):
