@@ -183,17 +183,17 @@ def cell_counts(tokens: np.ndarray) -> np.ndarray:
 
 
 def dealt(rows: DataFrame, block: int) -> DataFrame:
-    """rows(k, pivot, label) with own, i and j: a bundle's members are dealt to groups of about block of one label, or of none, and each goes to all pairs of
-    groups that its own is in, but for pairs of one label: their members are linked already."""
+    """rows(k, pivot, label, ...) with own, i and j: a bundle's members are dealt to groups of about block of one label, or of none, and each goes to all pairs of
+    groups that its own is in, but for pairs of one label: their members are linked already. Bundles of one group without a label stay as they are."""
     sized = rows.groupBy("pivot", "label").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("n"))
-    one = F.transform(F.sequence(F.lit(0), F.col("x.n") - 1), lambda b: F.struct(F.col("x.label").isNull().alias("free"), F.coalesce("x.label", F.lit(0)).alias("label"), b.alias("b"), F.col("x.n").alias("n")))
-    groups = sized.select(F.col("pivot").alias("of"), F.struct("label", "n").alias("x")).select("of", F.explode(one).alias("g"))
-    groups = groups.groupBy("of").agg(F.array_sort(F.collect_list("g")).alias("groups"))
-    placed = salted_join(rows, groups, {"pivot": "of"})
+    several = sized.groupBy("pivot").agg(F.collect_list(F.struct("label", "n")).alias("x"), F.sum("n").alias("groups")).filter("groups > 1 or exists(x, y -> y.label is not null)")
+    one = F.transform(F.sequence(F.lit(0), F.col("y.n") - 1), lambda b: F.struct(F.col("y.label").isNull().alias("free"), F.coalesce("y.label", F.lit(0)).alias("label"), b.alias("b"), F.col("y.n").alias("n")))
+    groups = several.select(F.col("pivot").alias("of"), F.explode("x").alias("y")).select("of", F.explode(one).alias("g")).groupBy("of").agg(F.array_sort(F.collect_list("g")).alias("groups"))
+    placed = salted_join(rows, groups, {"pivot": "of"}, "left")
     free, label = F.col("label").isNull(), F.coalesce("label", F.lit(0))
     mine = F.filter(F.transform("groups", lambda g, at: F.when((g["free"] == free) & (g["label"] == label) & (g["b"] == F.pmod(F.xxhash64("k"), g["n"])), at)), lambda at: at.isNotNull())
     others = F.filter(F.transform("groups", lambda g, at: F.when(g["free"] | free | (g["label"] != label), at)), lambda at: at.isNotNull())
-    own = placed.withColumn("own", F.get(mine, F.lit(0))).withColumn("other", F.explode(others))
+    own = placed.withColumn("own", F.coalesce(F.get(mine, F.lit(0)), F.lit(0))).withColumn("other", F.explode(F.coalesce(others, F.array(F.lit(0)))))
     return own.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("of", "groups", "other", "label")
 
 
@@ -266,15 +266,15 @@ def components(edges: DataFrame) -> DataFrame:
         last = state
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block: int = BLOCK, heads_from: int = 16) -> DataFrame:
     """n_shingles and component_id of every row: the smallest id reachable by links of Jaccard similarity of percent or more.
 
     Equal sets are one node. A node's prefix is its first n-grams in a global order from rare to common; two sets that link share
     an n-gram of their prefixes. All nodes that share one are bundled under that n-gram's smallest node, its pivot, so
     every candidate pair meets in a bundle, and no pair becomes a row: a task filters a bundle's pairs by length, position and
     suffix, and hands on the members that may link. Only their sets are fetched and dealt to bundles again, where what the
-    filters leave is verified once and at most one edge per member handed on. The members of a bundle of more than block are first compared with a
-    few of them; what isn't linked through these is cut into blocks, each pair of which is a group of its own.
+    filters leave is verified once and at most one edge per member handed on. A bundle of more than block members is cut into blocks, each pair of which is
+    a group of its own; in one of over heads_from blocks, all members are first compared with a few of them, and only those that aren't linked through these meet.
 
     Null or empty texts have an empty set and their own id. Rows count by themselves, whatever their ids: rows of equal ids share what any of them links
     to only if their sets link, and a row without an id links others, takes the id that it reaches, and is null only where none is reached. An
@@ -341,21 +341,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def likely(table: pa.Table) -> pa.Table:
         p = table["pivot"][0].as_py()
-        table, k, _ = _members(table.append_column("own", pa.array(np.zeros(table.num_rows, np.int32))))
+        table, k, split = _members(table)
         maybe = candidates(
             table["n"].to_numpy(), [np.asarray(x, np.int64) for x in table["shared"].to_pylist()], np.stack([np.frombuffer(x, "<i4") for x in table["cells"].to_pylist()]),
-            0, table["pivots"].to_pylist(), p, percent,
+            split, table["pivots"].to_pylist(), p, percent,
         )
         k = k[maybe.any(axis=0) | maybe.any(axis=1)]
         return pa.table({"k": k, "pivot": np.full(len(k), p)})
 
-    each = members.select("k", "n", "shared", "cells", "pivots", F.explode("pivots").alias("pivot"))
-    large = staged(each.groupBy("pivot").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > block).select(F.col("pivot").alias("of")))
-    some = salted_join(each, large, {"pivot": "of"}, "left_anti").groupBy("pivot").applyInArrow(likely, "k long, pivot long")
-    some = some.unionByName(salted_join(each, large, {"pivot": "of"}, "left_semi").select("k", "pivot"))
-    some = some.groupBy("k").agg(F.array_sort(F.collect_set("pivot")).alias("pivots"))
-    wanted = some.join(members.select("k", "at", "shared"), "k").select(F.col("at.id").alias("of"), F.col("at.th").alias("of_th"), "k", "pivots", "shared")
-
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = Words(), set()
         for b in batches:
@@ -366,8 +359,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             out = pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([s.tobytes() for s in sets], pa.binary())], names=["k", "pivots", "shared", "tokens"])
             yield out.filter(pa.array(same, pa.bool_()))
 
-    texts = kept.join(wanted, F.col("id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th"))).select("k", "pivots", "shared", "text")
-    sets = staged(texts.mapInArrow(with_sets, "k long, pivots array<long>, shared array<long>, tokens binary"))
+    def sets_of(bundled: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """k, pivots, shared and tokens of bundled(k, pivot); and bundled without repeated rows."""
+        pivots = bundled.groupBy("k").agg(F.array_sort(F.collect_set("pivot")).alias("pivots"))
+        wanted = staged(pivots.join(members.select("k", "at", "shared"), "k").select(F.col("at.id").alias("of"), F.col("at.th").alias("of_th"), "k", "pivots", "shared"))
+        texts = kept.join(wanted, F.col("id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th"))).select("k", "pivots", "shared", "text")
+        return texts.mapInArrow(with_sets, "k long, pivots array<long>, shared array<long>, tokens binary"), wanted.select("k", F.explode("pivots").alias("pivot"))
 
     def links(table: pa.Table) -> pa.Table:
         p = table["pivot"][0].as_py()
@@ -379,15 +376,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         far = label != np.arange(len(k))
         return pa.table({"a": k[far], "b": k[label[far]]})
 
-    bundled = sets.select("k", F.explode("pivots").alias("pivot"))
-    edges = None
-    if large.take(1):
-        labels, edges = heads_of(salted_join(bundled, large, {"pivot": "of"}, "left_semi"), sets, percent, block)
+    each = members.select("k", "n", "shared", "cells", "pivots", F.explode("pivots").alias("pivot"))
+    huge = staged(each.groupBy("pivot").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > heads_from * block).select(F.col("pivot").alias("of")))
+    labels = edges = None
+    if huge.take(1):
+        sets, bundled = sets_of(salted_join(each.select("k", "pivot"), huge, {"pivot": "of"}, "left_semi"))
+        labels, edges = heads_of(bundled, staged(sets), percent, block)
         labels = labels.select(F.col("k").alias("l_k"), F.col("pivot").alias("l_pivot"), "label")
-        bundled = staged(bundled.join(labels, (F.col("k") == F.col("l_k")) & (F.col("pivot") == F.col("l_pivot")), "left").select("k", "pivot", "label"))
-    else:
-        bundled = bundled.withColumn("label", F.lit(None).cast("long"))
-    bundles = dealt(bundled, block).groupBy("k").agg(F.collect_set(F.struct("pivot", "own", "i", "j")).alias("bundles")).withColumnRenamed("k", "of_k")
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        if labels is None:
+            return rows.withColumn("label", F.lit(None).cast("long"))
+        return rows.join(labels, (F.col("k") == F.col("l_k")) & (F.col("pivot") == F.col("l_pivot")), "left").drop("l_k", "l_pivot")
+
+    some = dealt(labelled(each), block).groupBy("pivot", "i", "j").applyInArrow(likely, "k long, pivot long")
+    sets, bundled = sets_of(some)
+    # Blocks are counted before the texts are fetched.
+    bundles = dealt(labelled(bundled), block).groupBy("k").agg(F.collect_set(F.struct("pivot", "own", "i", "j")).alias("bundles")).withColumnRenamed("k", "of_k")
     ready = sets.join(bundles, F.col("k") == F.col("of_k")).withColumn("x", F.explode("bundles")).select("k", "pivots", "shared", "tokens", "x.*")
     verified = ready.groupBy("pivot", "i", "j").applyInArrow(links, "a long, b long")
     roots = components(verified if edges is None else verified.unionByName(edges))
