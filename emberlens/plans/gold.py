@@ -11,21 +11,25 @@ from .rules import Thresholds, findings
 
 
 def gold_tables(events: DataFrame, thresholds: Thresholds | None = None, store: str | None = None) -> dict[str, DataFrame]:
-    """Every table, by name. With store, a folder that all executors share, lines are numbered, named and written there once by event, and finished tasks, from which
-    most tables are summed, once as columns; without it each table reads the lines anew."""
+    """Every table, by name. With store, a folder that all executors share, lines are numbered, named and written there once by event, finished tasks, from which
+    most tables are summed, once as columns, and so are the tables that others are made of; without it each table reads the lines anew."""
+
+    def kept(name: str, df: DataFrame) -> DataFrame:
+        if not store:
+            return df
+        df.write.mode("overwrite").parquet(f"{store}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{store}/{name}")
+
     if store:
         events = E.stored_events(events, f"{store}/events")
-    tasks, starts = X.task_ends(events), X.task_starts(events)
-    if store:
-        tasks.write.mode("overwrite").parquet(f"{store}/tasks")
-        tasks = events.sparkSession.read.schema(tasks.schema).parquet(f"{store}/tasks")
-    jobs = S.jobs(X.job_starts(events), X.job_ends(events))
+    tasks, starts = kept("tasks", X.task_ends(events)), X.task_starts(events)
+    jobs = kept("jobs", S.jobs(X.job_starts(events), X.job_ends(events)))
     counts = E.event_counts(events)
-    apps = S.applications(X.app_starts(events), X.app_ends(events), jobs, counts)
-    totals = S.stage_totals(tasks)
-    executors = S.executors(X.executors_added(events), X.executors_removed(events), apps)
+    apps = kept("applications", S.applications(X.app_starts(events), X.app_ends(events), jobs, counts))
+    totals = kept("stage_totals", S.stage_totals(tasks))
+    executors = kept("executors", S.executors(X.executors_added(events), X.executors_removed(events), apps))
     stage_events = X.stage_events(events)
-    stages = S.stages(stage_events, totals, X.app_ends(events))
+    stages = kept("stages", S.stages(stage_events, totals, X.app_ends(events)))
     plans = S.latest_plans(X.sql_starts(events), X.sql_adaptive(events))
     nodes = S.plan_nodes(plans.drop("plan_text"))
     updates = X.block_updates(events)
