@@ -163,7 +163,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", pieces_per_group: int = 100_000) -> DataFrame:
     """Packs the pieces of every row's tokens into sequences of at most capacity: sequence_id and offset of each piece.
 
-    Pieces are dealt by a hash of id and piece to groups of about pieces_per_group, however many rows share an id or a
+    Pieces are dealt by a hash of id, piece and place to groups of about pieces_per_group, however many rows share an id or a
     source; each group is packed by itself by the sum-of-squares rule, in descending length. A group's last sequences may be
     open, which is a part of about capacity / pieces_per_group of all. Null and empty texts are one piece of the end id; repeated
     rows are packed each; an empty table gives an empty one; other columns aren't read.
@@ -178,7 +178,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str
         bins, offsets = sum_of_squares(f["length"].to_numpy(), capacity)
         return f.assign(sequence_id=bins * groups + group, offset=offsets)
 
-    salt = F.xxhash64("id", "piece", "start", "ids_crc32")  # repeated rows stay together: there are few
+    salt = F.xxhash64("id", "piece", F.monotonically_increasing_id())  # of a written table, so it stays; repeated rows are dealt apart
     dealt = pieces.withColumn("group", F.pmod(salt, F.lit(groups)).cast("int"))
     out = dealt.groupBy("group").applyInPandas(packed, schema)
     return out.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
