@@ -132,8 +132,13 @@ TASK_LINES = (
     Pattern("stored", "stored as", r"^Block (\S+) stored as (?:values|bytes) in memory \(estimated size ([\d.]+ [KMGT]?i?B), free ([\d.]+ [KMGT]?i?B)\)", ("name", "size", "free")),
     Pattern("read", "path:", r"^(?:Reading File|TID: \d+ - Reading current file:)\s*path: (\S+?),", ("name",)),
     Pattern("commit", "committed", r"committed.*?Elapsed time: (\d+) ms", ("ms",)),
+    Pattern("broadcast-start", "Started reading broadcast", r"^Started reading broadcast variable (\d+) with (\d+) pieces \(estimated total size ([\d.]+ [KMGT]?i?B)\)", ("name", "n", "size")),
+    Pattern("drop", "After dropping", r"^After dropping (\d+) blocks, free memory is ([\d.]+ [KMGT]?i?B)", ("n", "free")),
+    Pattern("no-room", "Not enough space to cache", r"^Not enough space to cache (\S+) in memory!(?: \(computed ([\d.]+ [KMGT]?i?B) so far\))?", ("name", "size")),
+    Pattern("result-too-big", "larger than maxResultSize", r"^Finished task (\d+)\.(\d+) in stage (\d+)\.(\d+) \(TID (\d+)\)\. Result is larger than maxResultSize \(([\d.]+ [KMGT]?i?B) >", ("partition", "task_attempt", "stage", "stage_attempt", "task", "size")),
+    Pattern("output", "Saved output of task", r"^Saved output of task '[^']*' to (\S+)", ("name",)),
 )
-_OPENS, _CLOSES = ("start",), ("finish", "fail", "kill")
+_OPENS, _CLOSES = ("start",), ("finish", "fail", "kill", "result-too-big")
 
 
 def task_steps(headed: DataFrame) -> DataFrame:
@@ -177,6 +182,15 @@ DRIVER_LINES = (
     Pattern("task-lost", "Lost task", r"^Lost task (\d+)\.(\d+) in stage (\d+)\.(\d+) \(TID (\d+)\)", ("index", "attempt", "stage", "stage_attempt", "task")),
     Pattern("executor-registered", "Registered executor", r"Registered executor .* \(([\d.:]+)\) with ID (\S+?),", ("host", "executor")),
     Pattern("executor-lost", "Lost executor", r"^Lost executor (\S+) on ([^:]+): (.*)", ("executor", "host", "reason")),
+    Pattern("map-stage-start", "Got map stage job", r"^Got map stage job (\d+) \((.*)\) with (\d+) output partitions", ("job", "name", "n")),
+    Pattern("job-over", "is finished", r"^Job (\d+) is finished\.", ("job",)),
+    Pattern("parents", "Parents of final stage", r"^Parents of final stage: List\((.*)\)", ("name",)),
+    Pattern("spark-version", "Running Spark version", r"^Running Spark version (\S+)", ("name",)),
+    Pattern("app-name", "Submitted application", r"^Submitted application: (.*)$", ("name",)),
+    Pattern("container-launched", "Launching container", r"^Launching container (\S+) on host (\S+) for executor with ID (\d+)", ("name", "host", "executor")),
+    Pattern("container-over", "Completed container", r"^Completed container (\S+) on host: (\S+) \(state: (\w+), exit status: (-?\d+)\)", ("name", "host", "type", "n")),
+    Pattern("block-manager", "Registering block manager", r"^Registering block manager \S+ with ([\d.]+ [KMGT]?i?B) RAM, BlockManagerId\(([^,]+), ([^,]+),", ("name", "executor", "host")),
+    Pattern("executor-idle", "idle", r"^Executors? ([\d,]+) (?:is |are |was |were )?removed due to idle timeout", ("name",)),
     Pattern("executor-target", "executors", r"^Requesting \d+ new executors? because tasks are backlogged \(new desired total will be (\d+)", ("n",)),
 )
 
