@@ -228,9 +228,12 @@ def paired_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.pair_next(user_intervals(spark, sf_dir), ["user_id"], "a", "event_type", "signup", "purchase").fillna(-1)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE e AS ({_EV}), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY a, event_id) AS r FROM e), w AS (SELECT user_id, event_id, r, [b] AS ends, CAST(0 AS BIGINT) AS slot FROM o WHERE r = 1
+    UNION ALL SELECT user_id, event_id, r, list_concat(ends[1 : k - 1], [b], ends[k + 1 :]), CAST(k - 1 AS BIGINT) FROM (SELECT o.*, w.ends, coalesce(list_position(list_transform(w.ends, lambda x: x <= o.a), true), len(w.ends) + 1) AS k
+    FROM w JOIN o ON o.user_id = w.user_id AND o.r = w.r + 1)) SELECT user_id, event_id, slot FROM w"""
+)
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No SQL: a slot depends on all before it. Tests hold it against brute force."""
     return I.slot_pack(user_intervals(spark, sf_dir), ["user_id"], "event_id", "a", "b")
 
 
