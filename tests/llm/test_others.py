@@ -245,3 +245,28 @@ def test_html_on_fifty_pages():
     assert len(pages) == 50
     wrong = [(p, content(p), want) for p, want in pages if content(p) != want]
     assert not wrong, (len(wrong), wrong[0])
+
+
+def test_fit_reaches_a_point_where_no_weight_lowers_the_loss():
+    from emberlens.llm.toxicity import fit
+
+    r = np.random.default_rng(4)
+    dims, m, l1, swap = 6, 80, 2e-3, 1.0
+    texts = [np.flatnonzero(r.random(dims) < 0.5) for _ in range(m)]
+    flat, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
+    y = np.array([int(0 in t) if r.random() < 0.8 else 1 - int(0 in t) for t in texts])
+    pairs = np.array([[1, 2], [3, dims], [1, 2]])
+    w, b = fit(flat, sizes, y, pairs, dims, l1, swap, steps=6000)
+
+    def loss(w, b):
+        full = np.append(w, 0.0)
+        z = np.array([w[t].sum() for t in texts]) + b
+        return np.mean(np.log1p(np.exp(-np.where(y == 1, z, -z)))) + swap * np.mean((full[pairs[:, 0]] - full[pairs[:, 1]]) ** 2) + l1 * np.abs(w).sum()
+
+    best = loss(w, b)
+    for k in range(dims):  # by finite differences, so by the loss alone
+        for step in (1e-2, -1e-2):
+            moved = w.copy()
+            moved[k] += step
+            assert loss(moved, b) > best - 1e-6, (k, step)
+    assert min(loss(w, b + 1e-2), loss(w, b - 1e-2)) > best - 1e-6
