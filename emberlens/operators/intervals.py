@@ -87,17 +87,31 @@ def union_length(df: DataFrame, keys: Sequence[str], start: str, end: str) -> Da
     return rows.groupBy(*keys).agg(F.sum(new).cast("long").alias("covered"))
 
 
+#: The fewest aligned ranges of 2^k whole numbers that make up lo to hi: at each k at most one at the left and one at the right.
+_PARTS = """inline(filter(flatten(transform(sequence(0, cast(floor(log2(hi - lo + 1)) as int) + 1), k -> transform(
+    array(named_struct('l', shiftright(lo + shiftleft(1L, k) - 1, k), 'r', shiftright(hi + 1, k))), x -> array(
+        if(x.l < x.r and (x.l & 1) = 1, named_struct('_k', k, '_part', x.l), null),
+        if(x.l + (x.l & 1) < x.r and (x.r & 1) = 1, named_struct('_k', k, '_part', x.r - 1), null)))[0])), x -> x is not null))"""
+
+
 def latest_containing(points: DataFrame, intervals: DataFrame, keys: Sequence[str], t: str, point_id: str, start: str, end: str, carry: Sequence[str]) -> DataFrame:
-    """Each point with carry of the interval of its key that holds it and started last, ties to the smallest carry; null if none does."""
-    here = points.alias("p")
-    there = intervals.alias("i")
-    match = (F.col(f"i.{start}") <= F.col(f"p.{t}")) & (F.col(f"p.{t}") <= F.coalesce(F.col(f"i.{end}"), F.col(f"p.{t}")))
-    for k in keys:
-        match = match & (F.col(f"p.{k}") == F.col(f"i.{k}"))
-    held = here.join(there, match).groupBy(F.col(f"p.{point_id}").alias(point_id)).agg(
-        F.min(F.struct((-F.col(f"i.{start}")).alias("late"), *[F.col(f"i.{c}").alias(c) for c in carry])).alias("best")
-    )
-    return points.join(held, point_id, "left").select(*points.columns, *[F.col(f"best.{c}").alias(c) for c in carry])
+    """Each point with carry of the interval of its key that holds it and started last, ties to the smallest carry; null if none does. Times are whole numbers.
+
+    An interval is cut into aligned ranges of powers of two, the best interval of each range is kept, and a point looks up the one range of each power that
+    holds it. So no pairs of a key are formed and work grows with rows times powers. Of intervals without an end, which hold all that comes after, the last counts.
+    """
+    of = F.struct(*[F.col(c) for c in carry])
+    begun = intervals.filter(F.col(start).isNotNull()).dropna(subset=list(keys)).select(*keys, F.col(start).cast("long").alias("lo"), F.col(end).cast("long").alias("hi"), of.alias("of"))
+    ranked = F.struct((-F.col("lo")).alias("late"), "of").alias("best")
+    parts = begun.filter("hi >= lo").select(*keys, ranked, F.expr(_PARTS)).groupBy(*keys, "_k", "_part").agg(F.min("best").alias("best"))
+    at = points.dropna(subset=list(keys)).select(*keys, F.col(point_id).alias("_id"), F.col(t).cast("long").alias("_t"))
+    top = begun.filter("hi >= lo").agg(F.max(F.expr("cast(floor(log2(hi - lo + 1)) as int) + 1")).alias("top"))  # one row
+    ups = at.crossJoin(F.broadcast(top)).select(*keys, "_id", F.expr("inline(transform(sequence(0, top), k -> named_struct('_k', k, '_part', shiftright(_t, k))))"))
+    ended = ups.join(parts, [*keys, "_k", "_part"]).select("_id", "best")
+    lasting = begun.filter("hi is null").groupBy(*keys, "lo").agg(F.min("of").alias("of")).select(*keys, "lo", ranked)
+    open_ = latest_before(at, lasting, keys, "_t", "lo", ["best"]).filter("best is not null").select("_id", "best")
+    held = ended.unionByName(open_).groupBy("_id").agg(F.min("best").alias("_best"))
+    return points.join(held.withColumnRenamed("_id", point_id), point_id, "left").select(*points.columns, *[F.col(f"_best.of.{c}").alias(c) for c in carry])
 
 
 def latest_before(points: DataFrame, facts: DataFrame, keys: Sequence[str], t: str, fact_t: str, carry: Sequence[str]) -> DataFrame:
@@ -193,11 +207,29 @@ def slot_pack(df: DataFrame, keys: Sequence[str], id_col: str, start: str, end:
 
 
 def overlap_join(a: DataFrame, b: DataFrame, keys: Sequence[str], start: str, end: str, slack: int = 0) -> DataFrame:
-    """Pairs of equal keys whose intervals touch within slack; columns of a and b as structs a and b. Both tables have the same key, start and end names."""
-    left = a.select(*keys, F.struct(*a.columns).alias("a"))
-    right = b.select(*keys, F.struct(*b.columns).alias("b"))
-    near = (F.col(f"a.{start}") <= F.col(f"b.{end}") + slack) & (F.col(f"a.{end}") >= F.col(f"b.{start}") - slack)
-    return left.join(right, list(keys)).filter(near)
+    """Pairs of equal keys whose intervals touch within slack; columns of a and b as structs a and b. Both tables have the same key, start and end names.
+
+    Times are whole numbers. An interval's level is the power of four that it fits into, and it lies in one or two slots of each such width. A pair meets at the higher of its
+    levels, in the slot of its later start, so that intervals far apart never meet, however many rows a key has and however long some intervals are.
+    """
+
+    def spans(df: DataFrame, name: str, more: int) -> DataFrame:
+        lo, hi = F.least(start, end).cast("long") - more, F.greatest(start, end).cast("long") + more
+        rows = df.filter(F.col(start).isNotNull() & F.col(end).isNotNull()).select(*keys, *[F.col(c).alias(f"_{name}_{c}") for c in df.columns], lo.alias("_lo"), hi.alias("_hi"))
+        return rows.withColumn("_home", (F.ceil(F.log2(F.col("_hi") - F.col("_lo") + 1) / 2) * 2).cast("int"))
+
+    def dealt(rows: DataFrame, other: DataFrame, name: str) -> DataFrame:
+        levels = other.agg(F.collect_set("_home").alias("_levels"))  # one row of at most 32 levels
+        slots = """inline(flatten(transform(array_union(array(_home), filter(_levels, l -> l > _home)), l ->
+            transform(sequence(shiftright(_lo, l), shiftright(_hi, l)), s -> named_struct('_level', l, '_slot', s)))))"""
+        return rows.crossJoin(F.broadcast(levels)).select(*keys, *[c for c in rows.columns if c.startswith(f"_{name}_")], F.col("_lo").alias(f"_lo_{name}"), F.col("_home").alias(f"_home_{name}"), F.expr(slots))
+
+    left, right = spans(a, "a", slack), spans(b, "b", 0)
+    met = dealt(left, right, "a").join(dealt(right, left, "b"), [*keys, "_level", "_slot"])
+    once = F.expr("_level = greatest(_home_a, _home_b) and _slot = shiftright(greatest(_lo_a, _lo_b), _level)")
+    near = (F.col(f"_a_{start}") <= F.col(f"_b_{end}") + slack) & (F.col(f"_a_{end}") >= F.col(f"_b_{start}") - slack)
+    structs = [F.struct(*[F.col(f"_{name}_{c}").alias(c) for c in df.columns]).alias(name) for name, df in (("a", a), ("b", b))]
+    return met.filter(once & near).select(*keys, *structs)
 
 
 def open_at_end(starts: DataFrame, ends: DataFrame, keys: Sequence[str]) -> DataFrame:

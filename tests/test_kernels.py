@@ -134,3 +134,34 @@ def test_llm_may_be_missing():
     for p in (Path(__file__).parent.parent / "emberlens").rglob("*.py"):
         if "llm" not in p.parts:
             assert "llm" not in p.read_text()
+
+
+def test_containing_and_overlap_match_all_pairs(spark):
+    """Long, short, open, inverted and null intervals, negative times, null keys and ties."""
+    from pyspark.sql import functions as F
+
+    from emberlens.operators import intervals as I
+
+    r = random.Random(5)
+
+    def rows(n):
+        out = []
+        for i in range(n):
+            a = r.randint(-3000, 3000)
+            out.append((r.choice(["x", "x", "x", "y", None]), i, a, r.choice([a, a + 7, a + 255, a + 256, a + 2500, a - 4, None, a + r.randint(0, 900)])))
+        return [*out, ("x", n, None, 5), ("y", n + 1, 0, 2**41)]
+
+    schema = "k string, id long, s long, e long"
+    ra, rb = rows(150), rows(120)
+    a, b = spark.createDataFrame(ra, schema), spark.createDataFrame(rb, schema)
+    for slack in (0, 11):
+        got = sorted((x.a.id, x.b.id) for x in I.overlap_join(a, b, ["k"], "s", "e", slack).collect())
+        full = [[x for x in t if None not in x] for t in (ra, rb)]
+        assert got == sorted((x[1], y[1]) for x in full[0] for y in full[1] if x[0] == y[0] and x[2] <= y[3] + slack and x[3] >= y[2] - slack)
+    points = a.select("k", "id", F.col("s").alias("t"))
+    got = {x.id: x.of for x in I.latest_containing(points, b.withColumnRenamed("id", "of"), ["k"], "t", "id", "s", "e", ["of"]).collect()}
+    for k, i, t, _ in ra:
+        held = [(-s, of) for key, of, s, e in rb if key == k and None not in (k, t, s) and s <= t and (e is None or t <= e)]
+        assert got[i] == (min(held)[1] if held else None), (k, i, t)
+    assert I.latest_containing(points, b.limit(0).withColumnRenamed("id", "of"), ["k"], "t", "id", "s", "e", ["of"]).filter("of is not null").count() == 0
+    assert I.overlap_join(a, b.limit(0), ["k"], "s", "e").count() == 0
