@@ -70,4 +70,18 @@ a AS (SELECT c.doc_id, size, crc, shard, grown_shard, ((((CAST(c.doc_id AS HUGEI
 SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY part, doc_id, crc, size) - 1 AS slot, grown_shard FROM a
 """
 
-SQL = {"op2_quality_rules": OP2, "op5_mixing": OP5, "op6_ngram_jaccard_join": OP6, "op7_exact_topk": OP7, "op10_sharding": OP10}
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d)),
+g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS p FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 5) x(k))),
+f AS (SELECT lang, k, p, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k AS m, p, f AS a, string_split(p, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+x AS (SELECT c.*, j, l.f AS l, r.f AS r, CAST(2000000::HUGEINT * a // (l.f + r.f) AS BIGINT) AS score FROM (SELECT c.*, unnest(range(1, m)) AS j FROM c) c
+    JOIN f l ON l.lang = c.lang AND l.p = array_to_string(c.w[1 : j], ' ') JOIN f r ON r.lang = c.lang AND r.p = array_to_string(c.w[j + 1 :], ' ')),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+o AS (SELECT b.lang, b.p, b.a, b.l, b.r, b.score FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.m > b.m AND 100 * c.a >= 80 * b.a AND contains(' ' || c.p || ' ', ' ' || b.p || ' ')))
+SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, encode(p)) AS rank, p AS phrase, a, l, r, n, score FROM o JOIN n ON n.lang = o.lang QUALIFY rank <= 2000
+"""
+
+SQL = {"op2_quality_rules": OP2, "op5_mixing": OP5, "op6_ngram_jaccard_join": OP6, "op7_exact_topk": OP7, "op10_sharding": OP10, "op13_phrases": OP13}

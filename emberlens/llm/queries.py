@@ -12,6 +12,7 @@ from .jaccard import jaccard_components
 from .licences import scan_licences
 from .mixing import mix
 from .packing import pack
+from .phrases import mine_phrases
 from .quality import quality_rules
 from .repeats import remove_repeats
 from .sharding import shard_by_key
@@ -80,8 +81,12 @@ def op11_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_quality_rules, op3_url_filters, op4_suffix_array_dedup, op5_mixing, op6_ngram_jaccard_join, op7_exact_topk, op8_html_extraction, op9_best_fit_packing, op10_sharding, op11_licences)
+    own = (op1_toxicity, op2_quality_rules, op3_url_filters, op4_suffix_array_dedup, op5_mixing, op6_ngram_jaccard_join, op7_exact_topk, op8_html_extraction, op9_best_fit_packing, op10_sharding, op11_licences, op13_phrases)
     return {f.__name__: f for f in own}
 
 
