@@ -70,18 +70,50 @@ a AS (SELECT c.doc_id, size, crc, shard, grown_shard, ((((CAST(c.doc_id AS HUGEI
 SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY part, doc_id, crc, size) - 1 AS slot, grown_shard FROM a
 """
 
+
+
+def _op12(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Codebooks and assignments, round by round."""
+    steps = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"x AS MATERIALIZED (SELECT row, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS x FROM v, range({parts}) r(p))",
+        f"c0 AS MATERIALIZED (SELECT p, e, x AS c FROM x JOIN (SELECT row, row_number() OVER (ORDER BY vec_id, v) - 1 AS e FROM v QUALIFY e < {entries}) USING (row))",
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"a{r} AS MATERIALIZED (SELECT row, p, x, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT row, x.p, x, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM x JOIN c{r} c ON c.p = x.p) GROUP BY ALL)"
+        )
+        if r < rounds:
+            steps.append(
+                f"m{r} AS (SELECT p, e, list(m ORDER BY i) AS c FROM (SELECT p, e, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS m FROM (SELECT p, e, x, unnest(range(1, len(x) + 1)) AS i FROM a{r}) GROUP BY p, e, i) GROUP BY p, e)"
+            )
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.c, c.c) AS c FROM c{r} c LEFT JOIN m{r} m ON m.p = c.p AND m.e = c.e)")
+    return (
+        "WITH "
+        + ",\n".join(steps)
+        + f""",
+k AS (SELECT row, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY row),
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS s FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256 FROM v JOIN k USING (row), h
+"""
+    )
+
+
+OP12 = _op12()
+
 OP13 = r"""
 WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d)),
 g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS p FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 5) x(k))),
-f AS (SELECT lang, k, p, count(*) AS f FROM g GROUP BY ALL),
+f AS MATERIALIZED (SELECT lang, k, p, count(*) AS f FROM g GROUP BY ALL),
 n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
-c AS (SELECT lang, k AS m, p, f AS a, string_split(p, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
-x AS (SELECT c.*, j, l.f AS l, r.f AS r, CAST(2000000::HUGEINT * a // (l.f + r.f) AS BIGINT) AS score FROM (SELECT c.*, unnest(range(1, m)) AS j FROM c) c
-    JOIN f l ON l.lang = c.lang AND l.p = array_to_string(c.w[1 : j], ' ') JOIN f r ON r.lang = c.lang AND r.p = array_to_string(c.w[j + 1 :], ' ')),
+c AS MATERIALIZED (SELECT lang, k AS m, p, f AS a, string_split(p, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+u AS MATERIALIZED (SELECT lang, m, p, a, j, array_to_string(w[1 : j], ' ') AS lp, array_to_string(w[j + 1 :], ' ') AS rp FROM (SELECT *, unnest(range(1, m)) AS j FROM c)),
+x AS (SELECT u.lang, m, u.p, a, j, l.f AS l, r.f AS r, CAST(2000000::HUGEINT * a // (l.f + r.f) AS BIGINT) AS score FROM u JOIN f l ON l.lang = u.lang AND l.p = lp JOIN f r ON r.lang = u.lang AND r.p = rp),
 b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
 o AS (SELECT b.lang, b.p, b.a, b.l, b.r, b.score FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.m > b.m AND 100 * c.a >= 80 * b.a AND contains(' ' || c.p || ' ', ' ' || b.p || ' ')))
 SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, encode(p)) AS rank, p AS phrase, a, l, r, n, score FROM o JOIN n ON n.lang = o.lang QUALIFY rank <= 2000
 """
 
-SQL = {"op2_quality_rules": OP2, "op5_mixing": OP5, "op6_ngram_jaccard_join": OP6, "op7_exact_topk": OP7, "op10_sharding": OP10, "op13_phrases": OP13}
+SQL = {"op2_quality_rules": OP2, "op5_mixing": OP5, "op6_ngram_jaccard_join": OP6, "op7_exact_topk": OP7, "op10_sharding": OP10, "op12_vector_codes": OP12, "op13_phrases": OP13}

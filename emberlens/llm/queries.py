@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .codes import compress
 from .html import extract_text
 from .jaccard import jaccard_components
 from .licences import scan_licences
@@ -81,12 +82,16 @@ def op11_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(_table(spark, sf_dir, "embeddings")).drop("label")
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_phrases(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_quality_rules, op3_url_filters, op4_suffix_array_dedup, op5_mixing, op6_ngram_jaccard_join, op7_exact_topk, op8_html_extraction, op9_best_fit_packing, op10_sharding, op11_licences, op13_phrases)
+    own = (op1_toxicity, op2_quality_rules, op3_url_filters, op4_suffix_array_dedup, op5_mixing, op6_ngram_jaccard_join, op7_exact_topk, op8_html_extraction, op9_best_fit_packing, op10_sharding, op11_licences, op12_vector_codes, op13_phrases)
     return {f.__name__: f for f in own}
 
 
