@@ -7,12 +7,16 @@ where a key may hold many rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def _steps(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
@@ -87,31 +91,36 @@ def union_length(df: DataFrame, keys: Sequence[str], start: str, end: str) -> Da
     return rows.groupBy(*keys).agg(F.sum(new).cast("long").alias("covered"))
 
 
-#: The fewest aligned ranges of 2^k whole numbers that make up lo to hi: at each k at most one at the left and one at the right.
-_PARTS = """inline(filter(flatten(transform(sequence(0, cast(floor(log2(hi - lo + 1)) as int) + 1), k -> transform(
-    array(named_struct('l', shiftright(lo + shiftleft(1L, k) - 1, k), 'r', shiftright(hi + 1, k))), x -> array(
-        if(x.l < x.r and (x.l & 1) = 1, named_struct('_k', k, '_part', x.l), null),
-        if(x.l + (x.l & 1) < x.r and (x.r & 1) = 1, named_struct('_k', k, '_part', x.r - 1), null)))[0])), x -> x is not null))"""
+#: The fewest aligned ranges of 16^k whole numbers that make up lo to hi: what a width's whole ranges cover beyond those of the next width.
+_PARTS = """inline(flatten(transform(filter(transform(sequence(0, cast(floor(log2(hi - lo + 1) / 4) as int)), k -> named_struct('k', k,
+    'l', shiftright(lo + shiftleft(1L, 4 * k) - 1, 4 * k), 'r', shiftright(hi + 1, 4 * k),
+    'il', shiftleft(shiftright(lo + shiftleft(1L, 4 * k + 4) - 1, 4 * k + 4), 4), 'ir', shiftleft(shiftright(hi + 1, 4 * k + 4), 4))), x -> x.l < x.r),
+    x -> transform(if(x.il < x.ir, concat(if(x.l < x.il, sequence(x.l, x.il - 1), array()), if(x.ir < x.r, sequence(x.ir, x.r - 1), array())), sequence(x.l, x.r - 1)),
+        part -> named_struct('_k', x.k, '_part', part)))))"""
 
 
-def latest_containing(points: DataFrame, intervals: DataFrame, keys: Sequence[str], t: str, point_id: str, start: str, end: str, carry: Sequence[str]) -> DataFrame:
+def latest_containing(points: DataFrame, intervals: DataFrame, keys: Sequence[str], t: str, start: str, end: str, carry: Sequence[str]) -> DataFrame:
     """Each point with carry of the interval of its key that holds it and started last, ties to the smallest carry; null if none does. Times are whole numbers.
 
-    An interval is cut into aligned ranges of powers of two, the best interval of each range is kept, and a point looks up the one range of each power that
-    holds it. So no pairs of a key are formed and work grows with rows times powers. Of intervals without an end, which hold all that comes after, the last counts.
+    An interval is cut into aligned ranges of powers of 16, the best interval of each range is kept, and a point looks up the one range of each width that
+    holds it. So no pairs of a key are formed and work grows with rows times widths. Of intervals without an end, which hold all that comes after, the last counts.
+    What a point gets is its key's and instant's, so points are looked up once per key and instant, whatever their ids. Points or intervals with a null key or time meet nothing.
     """
     of = F.struct(*[F.col(c) for c in carry])
     begun = intervals.filter(F.col(start).isNotNull()).dropna(subset=list(keys)).select(*keys, F.col(start).cast("long").alias("lo"), F.col(end).cast("long").alias("hi"), of.alias("of"))
     ranked = F.struct((-F.col("lo")).alias("late"), "of").alias("best")
     parts = begun.filter("hi >= lo").select(*keys, ranked, F.expr(_PARTS)).groupBy(*keys, "_k", "_part").agg(F.min("best").alias("best"))
-    at = points.dropna(subset=list(keys)).select(*keys, F.col(point_id).alias("_id"), F.col(t).cast("long").alias("_t"))
-    top = begun.filter("hi >= lo").agg(F.max(F.expr("cast(floor(log2(hi - lo + 1)) as int) + 1")).alias("top"))  # one row
-    ups = at.crossJoin(F.broadcast(top)).select(*keys, "_id", F.expr("inline(transform(sequence(0, top), k -> named_struct('_k', k, '_part', shiftright(_t, k))))"))
-    ended = ups.join(parts, [*keys, "_k", "_part"]).select("_id", "best")
+    at = points.dropna(subset=[*keys, t]).select(*keys, F.col(t).cast("long").alias("_t")).distinct()
+    widths = parts.agg(F.collect_set("_k").alias("_widths"))  # one row of at most 16 widths
+    ups = at.crossJoin(F.broadcast(widths)).select(*keys, "_t", F.expr("inline(transform(_widths, k -> named_struct('_k', k, '_part', shiftright(_t, 4 * k))))"))
+    ended = ups.join(parts, [*keys, "_k", "_part"]).select(*keys, "_t", "best")
     lasting = begun.filter("hi is null").groupBy(*keys, "lo").agg(F.min("of").alias("of")).select(*keys, "lo", ranked)
-    open_ = latest_before(at, lasting, keys, "_t", "lo", ["best"]).filter("best is not null").select("_id", "best")
-    held = ended.unionByName(open_).groupBy("_id").agg(F.min("best").alias("_best"))
-    return points.join(held.withColumnRenamed("_id", point_id), point_id, "left").select(*points.columns, *[F.col(f"_best.of.{c}").alias(c) for c in carry])
+    open_ = latest_before(at, lasting, keys, "_t", "lo", ["best"]).filter("best is not null").select(*keys, "_t", "best")
+    held = ended.unionByName(open_).groupBy(*keys, "_t").agg(F.min("best").alias("_best")).withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    match = F.col(t).cast("long") == F.col("_t")
+    for k in keys:
+        match = match & (F.col(k) == F.col(f"_of_{k}"))
+    return points.join(held, match, "left").select(*points.columns, *[F.col(f"_best.of.{c}").alias(c) for c in carry])
 
 
 def latest_before(points: DataFrame, facts: DataFrame, keys: Sequence[str], t: str, fact_t: str, carry: Sequence[str]) -> DataFrame:
@@ -144,22 +153,41 @@ def fold_within(df: DataFrame, keys: Sequence[str], t: str, gap: int, longest: s
     return marked.withColumn("island", island).groupBy(*keys, "island").agg(F.count(F.lit(1)).alias("n"), F.min(t).alias("first"), F.max(t).alias("last"), *more).drop("island")
 
 
-def anchored_batches(df: DataFrame, keys: Sequence[str], t: str, span: int) -> DataFrame:
-    """n, first and last of each batch: a row over span after its batch's first begins a new one. Each cut depends on the one before it, so a key is one task's work."""
-    instants = df.filter(F.col(t).isNotNull()).groupBy(*keys, F.col(t).cast("long").alias("t")).agg(F.count(F.lit(1)).alias("n"))
+def in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], walk: Callable[[Iterator[tuple]], Iterator[tuple]], schema: T.StructType) -> DataFrame:
+    """What walk makes of the rows, in order and each key's together. Rows are streamed: a key, however large, is one task's time but never held."""
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = walk(row for b in batches for row in zip(*[c.to_pylist() for c in b.columns]))
+        while rows := list(islice(out, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], schema=kinds)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
-    def cut(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("t", ignore_index=True)
-        heads, first = [], None
-        for x in f["t"]:
-            if first is None or x - first > span:
-                first = x
-            heads.append(first)
-        out = f.assign(first=heads).groupby([*keys, "first"], as_index=False, dropna=False).agg(n=("n", "sum"), last=("t", "max"))
-        return out[[*keys, "n", "first", "last"]]
 
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return instants.groupBy(*keys).applyInPandas(cut, f"{kinds}, n long, first long, last long")
+def _with(df: DataFrame, keys: Sequence[str], **more: T.DataType) -> T.StructType:
+    return T.StructType([df.schema[k] for k in keys] + [T.StructField(n, t) for n, t in more.items()])
+
+
+def anchored_batches(df: DataFrame, keys: Sequence[str], t: str, span: int) -> DataFrame:
+    """n, first and last of each batch: a row over span after its batch's first begins a new one. Each cut depends on the one before it, so a key's instants are walked in order."""
+    instants = df.filter(F.col(t).isNotNull()).groupBy(*keys, F.col(t).cast("long").alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
+    width = len(keys)
+
+    def walk(rows: Iterator[tuple]) -> Iterator[tuple]:
+        key = None
+        for row in rows:
+            now, n = row[width:]
+            if key == row[:width] and now - first <= span:
+                total, last = total + n, now
+                continue
+            if key is not None:
+                yield (*key, total, first, last)
+            key, total, first, last = row[:width], n, now, now
+        if key is not None:
+            yield (*key, total, first, last)
+
+    return in_order(instants, keys, ["_t"], walk, _with(df, keys, n=T.LongType(), first=T.LongType(), last=T.LongType()))
 
 
 def pair_next(df: DataFrame, keys: Sequence[str], t: str, kind: str, opens: str, closes: str) -> DataFrame:
@@ -185,25 +213,23 @@ def pair_next(df: DataFrame, keys: Sequence[str], t: str, kind: str, opens: str,
 
 
 def slot_pack(df: DataFrame, keys: Sequence[str], id_col: str, start: str, end: str) -> DataFrame:
-    """slot per row, from 0: in order of start, the lowest one that is free. Rows of a key are one task's work; the slots in use are a heap."""
-    import heapq
-
-    def packed(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["start", "id"], ignore_index=True)
-        busy: list[tuple[int, int]] = []
-        free: list[int] = []
-        slots = []
-        for a, b in zip(f["start"], f["end"], strict=True):
+    """slot per row, from 0: in order of start, the lowest one that is free. A key's rows are walked in order; what is held are the slots in use."""
+    rows = df.select(*keys, F.col(id_col).alias("_id"), F.col(start).cast("long").alias("_start"), F.col(end).cast("long").alias("_end")).dropna(subset=["_start", "_end"])
+    width = len(keys)
+
+    def walk(rows: Iterator[tuple]) -> Iterator[tuple]:
+        key, busy, free = None, [], []
+        for row in rows:
+            if row[:width] != key:
+                key, busy, free = row[:width], [], []
+            of, a, b = row[width:]
             while busy and busy[0][0] <= a:
                 heapq.heappush(free, heapq.heappop(busy)[1])
             slot = heapq.heappop(free) if free else len(busy)
             heapq.heappush(busy, (b, slot))
-            slots.append(slot)
-        return f.assign(slot=slots)[[*keys, "id", "slot"]]
+            yield (*key, of, slot)
 
-    rows = df.select(*keys, F.col(id_col).alias("id"), F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end")).dropna(subset=["start", "end"])
-    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.groupBy(*keys).applyInPandas(packed, f"{kinds}, id {rows.schema['id'].dataType.simpleString()}, slot long").withColumnRenamed("id", id_col)
+    return in_order(rows, keys, ["_start", "_id"], walk, _with(df, keys, **{id_col: rows.schema["_id"].dataType, "slot": T.LongType()}))
 
 
 def overlap_join(a: DataFrame, b: DataFrame, keys: Sequence[str], start: str, end: str, slack: int = 0) -> DataFrame:

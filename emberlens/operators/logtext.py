@@ -124,14 +124,15 @@ TASK_LINES = (
     Pattern("start", "Running task", r"^Running task (\d+)\.(\d+) in stage (\d+)\.(\d+) \(TID (\d+)\)", ("partition", "task_attempt", "stage", "stage_attempt", "task")),
     Pattern("finish", "Finished task", r"^Finished task (\d+)\.(\d+) in stage (\d+)\.(\d+) \(TID (\d+)\)\. (\d+) bytes", ("partition", "task_attempt", "stage", "stage_attempt", "task", "bytes")),
     Pattern("fail", "Exception in task", r"^Exception in task (\d+)\.(\d+) in stage (\d+)\.(\d+) \(TID (\d+)\)", ("partition", "task_attempt", "stage", "stage_attempt", "task")),
-    Pattern("kill", "Executor killed task", r"^Executor killed task (\d+)\.(\d+) in stage (\d+)\.(\d+) \(TID (\d+)\)", ("partition", "task_attempt", "stage", "stage_attempt", "task")),
+    Pattern("kill", "killed task", r"^Executor (?:interrupted and )?killed task (\d+)\.(\d+) in stage (\d+)\.(\d+) \(TID (\d+)\)", ("partition", "task_attempt", "stage", "stage_attempt", "task")),
     Pattern("broadcast", "Reading broadcast variable", r"^Reading broadcast variable (\d+) took (\d+) ms", ("name", "ms")),
     Pattern("blocks", "non-empty blocks", r"^Getting (\d+) \(([\d.]+ [KMGT]?i?B)\) non-empty blocks including .*?(\d+) \(([\d.]+ [KMGT]?i?B)\) remote", ("n", "size", "remote_n", "remote")),
     Pattern("fetch", "remote fetches", r"^Started (\d+) remote fetches in (\d+) ms", ("n", "ms")),
     Pattern("spill", "spilling", r"spilling .*?(?:of|map of) ([\d.]+ [KMGT]?i?B)", ("size",)),
-    Pattern("stored", "stored as", r"^Block (\S+) stored as (?:values|bytes) in memory \(estimated size ([\d.]+ [KMGT]?i?B), free ([\d.]+ [KMGT]?i?B)\)", ("name", "size", "free")),
+    Pattern("stored", "stored as", r"^Block (\S+) stored as (?:values|bytes) in memory \(estimated size ([\d.]+ [KMGT]?i?B),(?: actual size: [\d.]+ [KMGT]?i?B,)? free ([\d.]+ [KMGT]?i?B)\)", ("name", "size", "free")),
     Pattern("read", "path:", r"^(?:Reading File|TID: \d+ - Reading current file:)\s*path: (\S+?),", ("name",)),
-    Pattern("commit", "committed", r"committed.*?Elapsed time: (\d+) ms", ("ms",)),
+    Pattern("commit", "Committed", r"^attempt_\S+: Committed\. Elapsed time: (\d+) ms\.", ("ms",)),
+    Pattern("input", "Input split", r"^Input split: (\S+):\d+\+(\d+)$", ("name", "bytes")),
     Pattern("broadcast-start", "Started reading broadcast", r"^Started reading broadcast variable (\d+) with (\d+) pieces \(estimated total size ([\d.]+ [KMGT]?i?B)\)", ("name", "n", "size")),
     Pattern("drop", "After dropping", r"^After dropping (\d+) blocks, free memory is ([\d.]+ [KMGT]?i?B)", ("n", "free")),
     Pattern("no-room", "Not enough space to cache", r"^Not enough space to cache (\S+) in memory!(?: \(computed ([\d.]+ [KMGT]?i?B) so far\))?", ("name", "size")),

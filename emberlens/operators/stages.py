@@ -122,16 +122,19 @@ def stages(stage_events: DataFrame, totals: DataFrame, app_ended: DataFrame) ->
     """One row per stage attempt with its state: complete, failed, running, incomplete (the application ended first) or skipped."""
     last = F.struct("completed_event", "part", "line")
     facts = stage_events.groupBy(*STAGE).agg(*[F.max_by(c, last).alias(c) for c in ("name", "num_tasks", "parents", "details", "failure")], F.min("submitted").alias("submitted"), F.max("completed").alias("completed"), F.bool_or("completed_event").alias("ended"))
-    rows = facts.join(totals.select(*STAGE, "tasks", "run_ms"), list(STAGE), "left").join(app_ended.select(*KEY, F.lit(True).alias("app_ended")), list(KEY), "left")
+    rows = facts.join(totals.select(*STAGE, "tasks", "run_ms"), list(STAGE), "left").join(app_ended.select(*KEY, F.lit(True).alias("app_ended")).distinct(), list(KEY), "left")
     state = F.when(F.col("failure").isNotNull(), "failed").when(F.col("ended"), "complete").when(F.col("tasks").isNull() & F.col("submitted").isNull(), "skipped").when(F.col("app_ended"), "incomplete").otherwise("running")
     return rows.withColumn("state", state).withColumn("call_site", call_site(F.col("name"))).withColumn("wall_ms", F.col("completed") - F.col("submitted"))
 
 
 def jobs(starts: DataFrame, ends: DataFrame) -> DataFrame:
-    """One row per job with its result; its name is that of its highest stage."""
+    """One row per job with its result; its name is that of its highest stage. Of several starts the first counts, of several ends the last, by line."""
     named = F.expr("element_at(array_sort(transform(stage_infos, x -> struct(x.`Stage ID` as id, x.`Stage Name` as name))), -1).name")
-    rows = starts.withColumn("name", F.when(F.size("stage_infos") > 0, named)).select(*KEY, "job_id", "name", "submitted", "stage_ids", "execution_id", "file", "line")
-    return rows.join(ends.select(*KEY, "job_id", "completed", "result", "message"), [*KEY, "job_id"], "left").withColumn("failed", F.coalesce(F.col("result") != "JobSucceeded", F.lit(False))).withColumn("error", short_error(F.col("message")))
+    began, over = ("name", "submitted", "stage_ids", "execution_id", "file", "line"), ("completed", "result", "message")
+    place = F.struct("part", "line", "file")
+    rows = starts.withColumn("name", F.when(F.size("stage_infos") > 0, named)).groupBy(*KEY, "job_id").agg(F.min_by(F.struct(*began), place).alias("s")).select(*KEY, "job_id", "s.*")
+    last = ends.groupBy(*KEY, "job_id").agg(F.max_by(F.struct(*over), place).alias("e")).select(*KEY, "job_id", "e.*")
+    return rows.join(last, [*KEY, "job_id"], "left").withColumn("failed", F.coalesce(F.col("result") != "JobSucceeded", F.lit(False))).withColumn("error", short_error(F.col("message")))
 
 
 def job_stage(jobs: DataFrame) -> DataFrame:

@@ -172,7 +172,7 @@ def stage_of_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = user_intervals(spark, sf_dir)
     points = e.filter("event_type = 'purchase'").select("event_id", "user_id", F.col("a").alias("t"))
     intervals = e.filter("event_type <> 'purchase'").select("user_id", F.col("event_id").alias("of"), "a", "b")
-    return I.latest_containing(points, intervals, ["user_id"], "t", "event_id", "a", "b", ["of"]).fillna(-1, ["of"])
+    return I.latest_containing(points, intervals, ["user_id"], "t", "a", "b", ["of"]).fillna(-1, ["of"])
 
 
 @query(

@@ -139,3 +139,18 @@ def test_parts_and_attempts(spark):
     attempts = [("a", 1, "a_1"), ("a", 2, "a_2.inprogress"), ("a", 2, "a_2")]
     latest = {r.file for r in E.latest_attempts(spark.createDataFrame(attempts, "app_id string, attempt int, file string")).filter("is_latest").collect()}
     assert latest == {"a_2"}
+
+
+def test_repeated_ends_multiply_nothing(spark):
+    from emberlens.operators import stages as S
+
+    app = "app_id string, attempt int"
+    events = spark.createDataFrame([("a", 1, i, 0, False, 0, i, "count at x.py:1", 2, [0], None, None, 5, None) for i in range(6)], f"{app}, stage_id int, stage_attempt int, completed_event boolean, part long, line long, name string, num_tasks int, parents array<int>, details string, failure string, submitted long, completed long")
+    totals = spark.createDataFrame([("a", 1, 0, 0, 2, 9)], f"{app}, stage_id int, stage_attempt int, tasks long, run_ms long")
+    ended = spark.createDataFrame([("a", 1)] * 5, app)
+    rows = S.stages(events, totals, ended).collect()
+    assert len(rows) == 6 and {x.state for x in rows} == {"incomplete"}
+    starts = spark.createDataFrame([("a", 1, 3, 5, [1], None, "f", n, 0) for n in (7, 4)], f"{app}, job_id int, submitted long, stage_ids array<int>, execution_id long, file string, line long, part long").selectExpr("*", "array(named_struct('Stage ID', 1, 'Stage Name', 'n')) as stage_infos")
+    ends = spark.createDataFrame([("a", 1, 3, 10 + n, "JobSucceeded", None, "f", n, 0) for n in (8, 9)], f"{app}, job_id int, completed long, result string, message string, file string, line long, part long")
+    job = S.jobs(starts, ends).collect()
+    assert [(x.line, x.completed, x.failed, x.name) for x in job] == [(4, 19, False, "n")]

@@ -159,9 +159,56 @@ def test_containing_and_overlap_match_all_pairs(spark):
         full = [[x for x in t if None not in x] for t in (ra, rb)]
         assert got == sorted((x[1], y[1]) for x in full[0] for y in full[1] if x[0] == y[0] and x[2] <= y[3] + slack and x[3] >= y[2] - slack)
     points = a.select("k", "id", F.col("s").alias("t"))
-    got = {x.id: x.of for x in I.latest_containing(points, b.withColumnRenamed("id", "of"), ["k"], "t", "id", "s", "e", ["of"]).collect()}
+    got = {x.id: x.of for x in I.latest_containing(points, b.withColumnRenamed("id", "of"), ["k"], "t", "s", "e", ["of"]).collect()}
     for k, i, t, _ in ra:
         held = [(-s, of) for key, of, s, e in rb if key == k and None not in (k, t, s) and s <= t and (e is None or t <= e)]
         assert got[i] == (min(held)[1] if held else None), (k, i, t)
-    assert I.latest_containing(points, b.limit(0).withColumnRenamed("id", "of"), ["k"], "t", "id", "s", "e", ["of"]).filter("of is not null").count() == 0
+    assert I.latest_containing(points, b.limit(0).withColumnRenamed("id", "of"), ["k"], "t", "s", "e", ["of"]).filter("of is not null").count() == 0
     assert I.overlap_join(a, b.limit(0), ["k"], "s", "e").count() == 0
+    # Ids that repeat across keys, and within one at other instants.
+    same = spark.createDataFrame([("a", 1, 5), ("b", 1, 50), ("a", 1, 60), ("a", None, 5), ("a", 2, 5)], "k string, id long, t long")
+    held = spark.createDataFrame([("a", 10, 0, 9), ("b", 20, 40, 55)], "k string, of long, s long, e long")
+    got = sorted(((x.k, x.id, x.t, x.of) for x in I.latest_containing(same, held, ["k"], "t", "s", "e", ["of"]).collect()), key=str)
+    assert got == sorted([("a", 1, 5, 10), ("b", 1, 50, 20), ("a", 1, 60, None), ("a", None, 5, 10), ("a", 2, 5, 10)], key=str)
+
+
+def test_slots_and_batches_walk_every_key_alone(spark):
+    from emberlens.operators import intervals as I
+
+    r = random.Random(6)
+    rows = [(r.choice(["x", "y", None]), i, t, t + r.randint(0, 30)) for i, t in ((i, r.randint(0, 400)) for i in range(300))] + [("x", 999, None, 3), ("z", 1000, 4, 4)]
+    df = spark.createDataFrame(rows, "k string, id long, s long, e long")
+    got = {(x.k, x.id): x.slot for x in I.slot_pack(df, ["k"], "id", "s", "e").collect()}
+    batches = sorted(((x.k, x.n, x.first, x.last) for x in I.anchored_batches(df, ["k"], "s", 20).collect()), key=str)
+    slots, cut = {}, []
+    for k in ("x", "y", "z", None):
+        ends, head = [], None
+        for _, i, s, e in sorted((x for x in rows if x[0] == k and x[2] is not None), key=lambda x: (x[2], x[1])):
+            free = [n for n, end in enumerate(ends) if end <= s]
+            n = free[0] if free else len(ends)
+            ends[n : n + 1] = [e]
+            slots[k, i] = n
+            if head is None or s - head > 20:
+                head = s
+                cut.append([k, 0, s, s])
+            cut[-1][1] += 1
+            cut[-1][3] = s
+    assert got == slots and batches == sorted(map(tuple, cut), key=str)
+
+
+def test_redaction_takes_time_in_proportion(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from emberlens.functions.text import MASK, redact_text
+
+    long = ["a" * 1_000_000, "a." * 500_000, "x=" * 300_000, "://" * 300_000, "password=" + "b" * 900_000, "token " * 150_000]
+    df = spark.createDataFrame([(x,) for x in ["warm", *long]], "v string").coalesce(1).select(redact_text(F.col("v")).alias("v"))
+    df.limit(1).collect()
+    began = time.time()
+    out = [x.v for x in df.collect()]
+    assert time.time() - began < 10 and out[1] == long[0] and out[5] == "password=" + MASK
+    pairs = {"my.secret.key = abc, x=1": f"my.secret.key = {MASK}, x=1", "api-key:'a b' c": f"api-key:{MASK} c", "s3://u:p@h/x": f"s3://u:{MASK}@h/x", "tokens are here": "tokens are here", 'Password="q w" --access_key=1': f"Password={MASK} --access_key={MASK}"}
+    rows = spark.createDataFrame([(x,) for x in pairs], "v string").select("v", redact_text(F.col("v")).alias("r"), redact_text(redact_text(F.col("v"))).alias("again")).collect()
+    assert all(x.r == pairs[x.v] == x.again for x in rows), rows

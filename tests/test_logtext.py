@@ -110,3 +110,28 @@ def test_one_line_of_each_new_kind(spark):
     for rules, lines in ((L.TASK_LINES, task), (L.DRIVER_LINES, driver)):
         rows = spark.createDataFrame([(k,) for k in lines], "m string").select("m", first_match(F.col("m"), rules).alias("kind")).collect()
         assert {r.m: r.kind for r in rows} == lines
+
+
+def test_lines_of_sparks_own_sources(spark):
+    """Executor.scala, SparkHadoopMapRedUtil.scala, HadoopRDD.scala and MemoryStore.scala of Spark 3.5 and 4.0 write these."""
+    from pyspark.sql import functions as F
+
+    from emberlens.functions.text import first_match, matched_fields
+    from emberlens.operators import logtext as L
+
+    lines = {
+        "Executor killed task 3.0 in stage 1.0 (TID 9), reason: another attempt succeeded": ("kill", {"task": "9"}),
+        "Executor interrupted and killed task 3.0 in stage 1.0 (TID 9), reason: Stage cancelled": ("kill", {"task": "9"}),
+        "attempt_202501020304058392_0004_m_000001_7: Committed. Elapsed time: 12 ms.": ("commit", {"ms": "12"}),
+        "Input split: hdfs://nn:8020/in/a.txt:128+64": ("input", {"name": "hdfs://nn:8020/in/a.txt", "bytes": "64"}),
+        "Block broadcast_1_piece0 stored as bytes in memory (estimated size 4.0 KiB, free 1.1 GiB)": ("stored", {"size": "4.0 KiB", "free": "1.1 GiB"}),
+        "Job committed for everyone": (None, {}),
+    }
+    rows = spark.createDataFrame([(x,) for x in lines], "m string").withColumn("k", first_match(F.col("m"), L.TASK_LINES)).withColumn("f", matched_fields(F.col("m"), F.col("k"), L.TASK_LINES)).collect()
+    for x in rows:
+        kind, fields = lines[x.m]
+        assert x.k == kind and fields.items() <= (x.f or {}).items(), x
+    # A task that was interrupted is over: the next line belongs to the one that still runs.
+    log = ["Running task 0.0 in stage 1.0 (TID 7)", "Running task 1.0 in stage 1.0 (TID 8)", "Executor interrupted and killed task 0.0 in stage 1.0 (TID 7), reason: x", "Reading broadcast variable 3 took 12 ms"]
+    df = spark.createDataFrame([("f", i, m, None) for i, m in enumerate(log)], "file string, line long, value string, t timestamp").withColumn("msg", F.col("value"))
+    assert [x.task_id for x in L.task_steps(df).filter("step = 'broadcast'").collect()] == [8]
