@@ -38,11 +38,11 @@ _PLAIN = frozenset(
     "sidebar nav navbar navigation toolbar masthead footer pager pagination disqus teaser widget copyright".split()
 )
 #: Words that add nothing to a name: a comments-area or a site-sidebar is named as comments or a sidebar is.
-_NEUTRAL = frozenset("area bar block box button buttons container element group icon icons item items link links list main panel post posts primary secondary section site slot top bottom left right unit wrap wrapper".split())
+_NEUTRAL = frozenset("area bar block box button buttons container element group icon icons item items link links list main panel post posts primary secondary section site slot top bottom left right thread unit user users reader readers wrap wrapper".split())
 #: Elements that are text themselves.
 _TEXTS = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre td th dd dt figcaption caption".split())
 #: What is left of a path's ratio in an element whose name tells that it stands around an article, or may tell so.
-NAMED, MAYBE_NAMED = 0.05, 0.3
+NAMED, MAYBE_NAMED = 0.01, 0.3
 _CLOSES_P = frozenset("p div article section header footer nav aside ul ol dl table pre blockquote h1 h2 h3 h4 h5 h6 hr form main figure fieldset address details menu".split())
 _NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
@@ -125,9 +125,10 @@ class Block(NamedTuple):
 class Named:
     """An element that by its name stands around an article, or a main or article element itself: what it holds. Elements know the one around them, and the next that isn't inline."""
 
-    __slots__ = ("around", "block", "chars", "counts", "depth", "holds", "inline", "longest", "outer", "penalised", "penalty", "within")
+    __slots__ = ("around", "block", "chars", "counts", "depth", "holds", "inline", "longest", "outer", "penalised", "penalty", "sure", "within")
 
-    def __init__(self, around: Named | None, block: Named | None, penalty: float, depth: int, inline: bool) -> None:
+    def __init__(self, around: Named | None, block: Named | None, penalty: float, depth: int, inline: bool, sure: bool) -> None:
+        self.sure = sure  # its name, and not just its being a form, tells that it stands around an article
         self.around, self.block, self.penalty, self.depth, self.inline = around, block, penalty, depth, inline
         self.penalised = penalty < 1 or bool(around) and around.penalised
         self.chars = 0
@@ -182,8 +183,8 @@ def _implied(tag: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, without elements that never hold an article's text, each with the path of block elements from the root to it.
 
-    A name doesn't count if its element holds main, a heading of the first level, the longest article or, if no article or main stands outside of such
-    elements, over half of the page's text. Unclosed and misnested elements are closed where their parents end.
+    A name doesn't count if its element holds main, a heading of the first level, the longest article or all of the page's text, nor, where it only may stand around an article or is a form's and no article or
+    main stands outside of such elements, if it holds over half of it. Unclosed and misnested elements are closed where their parents end.
     """
     root = Path(None, "", "")
     base = Open()
@@ -273,13 +274,14 @@ def blocks(page: str) -> list[Block]:
         around = _is_around(tag, named, top.article)
         left = 1.0 if around else name_penalty(tag, named)
         inline = tag in INLINE
-        e.tag, e.dropped, e.link, e.article = tag, top.dropped or around, top.link or tag == "a", top.article or tag in ("article", "main")
+        e.tag, e.dropped, e.link, e.article = tag, top.dropped or around, top.link or tag == "a" and "href" in named, top.article or tag in ("article", "main")
         e.path, e.named, e.named_block, e.named_inline = top.path, top.named, top.named_block, top.named_inline
         if not inline:
             name = tag if tag in ("html", "body") else ".".join([tag, *(named[k] for k in named if k in ("class", "id"))])
             e.path = top.path.children.get(name) or top.path.children.setdefault(name, Path(top.path, tag, name))
         if left < 1 or tag in ("article", "main"):
-            entry = Named(top.named, top.named_block, left, top.path.depth, inline)
+            sure = left <= NAMED and tag != "form" and named.get("role", "").strip().lower() != "form"
+            entry = Named(top.named, top.named_block, left, top.path.depth, inline, sure)
             everyone.append(entry)
             e.named = entry
             if inline:
@@ -308,7 +310,7 @@ def blocks(page: str) -> list[Block]:
         longest.longest, longest = True, longest.around
     most = total if any(x.chars for x in outside) else total / 2
     for x in everyone:
-        x.counts = x.penalty < 1 and not (x.holds or x.chars > most or x.longest)
+        x.counts = x.penalty < 1 and not (x.holds or x.longest or (x.chars >= total if x.sure else x.chars > most))
         x.within, x.outer = (x.block.within, x.block.outer) if x.block else (1.0, None)
         if x.counts and not x.inline:
             x.within = min(x.within, x.penalty)
@@ -390,7 +392,31 @@ def content(page: str, share: float = 0.12) -> str:
             score[p, outer] = (own + 2 * near) / 3 * (1 if p.inside or not marked else 0.1)
     scores = [score[b.path, b.outer] * b.penalty for b in found]
     least = share * max(scores, default=0.0)
-    return "\n".join(b.text for b, x in zip(found, scores, strict=True) if x >= least and x > 0)
+    taken = [x >= least and x > 0 for x in scores]
+    fill(found, taken, paths)
+    return "\n".join(b.text for b, x in zip(found, taken, strict=True) if x)
+
+
+def fill(found: list[Block], taken: list[bool], paths: list[Path]) -> None:
+    """Takes what the element that directly holds most of the taken text has besides: lists, tables and boxes between taken blocks, and before and after them unless they are mostly links.
+
+    Blocks that a name keeps out stay out, and where nothing but the page itself holds the text, only what is between counts.
+    """
+    chars: dict[Path, int] = defaultdict(int)
+    for b, x in zip(found, taken, strict=True):
+        if x and b.path.parent:
+            chars[b.path.parent] += len(b.text)
+    if not chars:
+        return
+    home = max(chars, key=lambda p: (chars[p], -p.depth))
+    inside: set[Path] = set()
+    for p in paths:  # parents come first
+        if p is home or p.parent in inside:
+            inside.add(p)
+    at = [i for i, (b, x) in enumerate(zip(found, taken, strict=True)) if x and b.path in inside]
+    for i, b in enumerate(found):
+        if not taken[i] and b.penalty == 1 and b.path in inside:
+            taken[i] = at[0] < i < at[-1] or not home.plain and 2 * b.linked < len(b.text)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
