@@ -64,15 +64,54 @@ def test_slices_and_restarts(monkeypatch):
     assert [w for part in ph.tokens(text.encode()) for w in part] == whole and whole[:7] == [b"ab", b"cd", b"\xff", b"ef", b"gh", b"ij", b"\xff"]
 
 
-def test_hashes_are_sparks(spark):
-    from pyspark.sql import functions as F
-
-    rows = [("en", w) for w in ("", "a", "ab", "abcdefgh", "é" * 9, "q" * 100)] + [("", "a"), ("und", "a")]
-    out = spark.createDataFrame(rows, "lang string, word string").select("lang", "word", F.xxhash64("lang", "word").alias("h")).collect()
-    for x in out:
-        known = ph.Known([], [], [], x.lang)
-        known[x.word.encode()]
-        assert known.hashes[0] == x.h % 2**64
+def test_hashes_of_slices_are_those_of_words(monkeypatch):
+    import numpy as np
+
+    text = "ab cd.ef  gh\tij! \x00 ab é,\n x" * 7 + "."
+    words = [w for part in ph.tokens(text.encode()) for w in part]
+    want = ph.hash_words([w for w in words if w != b"\xff"], ["en"] * len([w for w in words if w != b"\xff"]))
+    for size in (1 << 20, 1, 3, 10):
+        monkeypatch.setattr(ph, "SLICE", size)
+        keys, broken = [], []
+        for part in ph.slices(text.encode()):
+            k, b, before = ph.hashed(part, "en")
+            if broken and before:
+                broken[-1][-1:] = True
+            if len(k):
+                keys.append(k)
+                broken.append(b)
+        assert (np.concatenate(keys) == want).all()
+        follows = [words[i + 1] == b"\xff" for i, w in enumerate(words[:-1]) if w != b"\xff"]
+        assert np.concatenate(broken).tolist() == follows
+    assert ph.hash_words([b"a", b"a", b"\x00", b"\x00\x00"], ["en", "de", "en", "en"]).tolist() != ph.hash_words([b"a"] * 4, ["en"] * 4).tolist()
+
+
+def test_long_and_short_texts_are_hashed_alike(monkeypatch):
+    """Slices of every size give the same pairs of neighbours."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = [(lang or "und", text or "") for lang, text in corpus()]
+    seen = []
+
+    class Rows:
+        def mapInArrow(self, run, _):
+            batch = pa.RecordBatch.from_pylist([{"lang": a, "text": b} for a, b in rows])
+            return list(run(iter([batch.slice(0, 50), batch.slice(50)])))
+
+    def pairs(keys, joined):
+        seen.extend(zip(keys[:-1][joined[:-1]].tolist(), keys[1:][joined[:-1]].tolist()))
+        assert not joined[-1]
+        return len(keys)
+
+    found = []
+    for size, words in ((1 << 20, 1 << 21), (40, 100), (1, 1)):
+        monkeypatch.setattr(ph, "SLICE", size)
+        monkeypatch.setattr(ph, "WORDS", words)
+        seen.clear()
+        n = sum(ph.counted_hashes(Rows(), pairs, ""))
+        found.append((n, sorted(seen)))
+    assert found[0] == found[1] == found[2] and len(found[0][1]) > 100 and np.uint64
 
 
 def test_query_equals_its_sql(spark):
