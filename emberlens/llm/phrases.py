@@ -21,7 +21,7 @@ BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 _BREAK = b"\xff"
 _TABLE = bytes.maketrans(bytes(range(65, 91)) + b"\x09" + BREAKS, bytes(range(97, 123)) + b" " + _BREAK * len(BREAKS))
 #: Texts are read in slices of about so many bytes, and counted about every so many words; a task's dictionary is emptied when it is larger than KNOWN.
-SLICE, WORDS, KNOWN = 1 << 20, 1 << 21, 1 << 19
+SLICE, WORDS, KNOWN = 1 << 20, 1 << 19, 1 << 19
 #: An odd number whose powers make up words' hashes. They only say what may be frequent, so words that share one are counted apart all the same.
 BASE = 0x9E3779B97F4A7C15
 #: Bits of a pair's bucket. Buckets only say which pairs may be frequent.
