@@ -190,8 +190,8 @@ def level_name(level: Column) -> Column:
 
 
 def container_attempt(container: Column) -> Column:
-    """Attempt number within a container id."""
-    return F.element_at(F.split(container, "_"), -2).cast("int")
+    """Attempt number within a container id; null of anything else."""
+    return F.regexp_extract(container, r"^container_(?:e\d+_)?\d+_\d+_(\d+)_\d+$", 1).try_cast("int")
 
 
 def row_key_bytes(key: Column) -> Column:

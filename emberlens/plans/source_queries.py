@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from ..operators import accounts as A
 from ..operators import codelines as L
+from ..operators import stagedata as D
+from ..operators.quoted import drop_quoted
+from ..operators.regionsplits import region_splits
 from .kernel_queries import query, seconds, table
 
 _PATH = r"regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')"
@@ -54,3 +59,147 @@ def code_of_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "part").select(F.lit("etl.py").alias("file"), F.col("p_partkey").alias("line"), sets.alias("value"))
     own = e.filter("event_id % 9 < 6").select(F.concat(F.lit("job"), F.expr("event_id % 9"), F.lit(".py")).alias("file")).distinct().unionByName(jobs.select(F.lit("run.py").alias("file")).distinct())
     return L.stage_code(stages, jobs, links, own, L.match_descriptions(jobs, L.description_patterns(lines)))
+
+
+@query(
+    r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages),
+    f AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS folder FROM p WHERE page_id % 3 = 0 UNION SELECT DISTINCT regexp_extract(path, '^[^/]*') FROM p WHERE page_id % 5 = 0)
+    SELECT page_id, path, (SELECT max_by(folder, length(folder)) FROM f WHERE rtrim(path, '/') = folder OR starts_with(path, folder || '/')) AS folder FROM p"""
+)
+def folder_of_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' paths and the longest folder above each, of those that every third page names and the hosts of every fifth."""
+    p = page_paths(spark, sf_dir)
+    named = p.filter("page_id % 3 = 0").select(F.regexp_replace("path", "/[^/]*$", "").alias("up")).unionByName(p.filter("page_id % 5 = 0").select(F.regexp_extract("path", "^[^/]*", 0).alias("up")))
+    return D.folders_holding(p, named, [], "path", "up")
+
+
+@query(
+    """WITH l AS (SELECT *, 's3://b/t' || l_partkey % 7 AS folder, CASE l_linenumber % 4 WHEN 0 THEN 1 WHEN 3 THEN 3 ELSE 2 END AS rank, CAST(floor(l_extendedprice) AS BIGINT) AS bytes FROM lineitem),
+    e AS (SELECT l_suppkey AS stage, CASE WHEN l_returnflag = 'R' THEN 'write' ELSE 'read' END AS access, rank, bytes, l_partkey, l_linenumber, folder, CASE WHEN rank = 3 THEN 'table' ELSE 'path' END AS kind,
+      CASE rank WHEN 1 THEN folder WHEN 3 THEN 'tab' || l_partkey % 3 ELSE folder || '/d=' || l_partkey % 2 || '/part-' || l_partkey % 3 || ', ' || CASE WHEN l_partkey % 5 = 0 THEN 's3://b/t9' ELSE folder END || '/_temporary/0/part-9' END AS name FROM l),
+    g AS (SELECT *, rank = 2 AND l_partkey % 5 <> 0 AND EXISTS (SELECT 1 FROM e x WHERE x.stage = e.stage AND x.access = e.access AND x.rank = 1 AND x.name = e.folder) AS folds FROM e)
+    SELECT 'a' AS app_id, 1 AS attempt, CAST(stage AS INTEGER) AS stage_id, 0 AS stage_attempt, access, kind, CASE WHEN folds THEN folder ELSE name END AS name, count(*) AS parts, count(*) FILTER (rank <> 3) AS sized, CAST(sum(bytes) AS BIGINT) AS bytes,
+      CASE WHEN kind = 'path' THEN CASE WHEN bool_or(rank = 2) THEN 'parquet' END END AS format, array_to_string(list_sort(list_distinct(coalesce(flatten(list(string_split(name, ', ')) FILTER (folds)), []))), ';') AS paths,
+      array_to_string(list_transform(list_sort(list_distinct(list(rank))), lambda r: ['executor logs', 'SQL plan', 'region store'][r]), ';') AS sources FROM g GROUP BY stage, access, kind, CASE WHEN folds THEN folder ELSE name END"""
+)
+def data_of_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as what their suppliers' stages read and wrote: executors name folders, plans two files each, the store tables."""
+    li = table(spark, sf_dir, "lineitem").withColumn("rank", F.expr("case l_linenumber % 4 when 0 then 1 when 3 then 3 else 2 end")).withColumn("home", F.expr("concat('s3://b/t', l_partkey % 7)"))
+    files = F.expr("concat(home, '/d=', l_partkey % 2, '/part-', l_partkey % 3, ', ', if(l_partkey % 5 = 0, 's3://b/t9', home), '/_temporary/0/part-9')")
+    entries = li.select(
+        F.lit("a").alias("app_id"), F.lit(1).alias("attempt"), F.col("l_suppkey").cast("int").alias("stage_id"), F.lit(0).alias("stage_attempt"), F.expr("if(l_returnflag = 'R', 'write', 'read')").alias("access"),
+        F.expr("if(rank = 3, 'table', 'path')").alias("kind"), F.when(F.col("rank") == 1, F.concat("home", F.lit("/"))).when(F.col("rank") == 3, F.expr("concat('tab', l_partkey % 3)")).otherwise(files).alias("name"),
+        F.lit(1).cast("long").alias("parts"), F.expr("cast(if(rank = 3, 0, 1) as bigint)").alias("sized"), F.floor("l_extendedprice").alias("bytes"), F.expr("if(rank = 2, 'parquet', '')").alias("format"), F.expr("element_at(array('executor logs', 'SQL plan', 'region store'), rank)").alias("source"),
+    )
+    out = D.merge_stage_data(entries)
+    return out.withColumn("paths", F.array_join("paths", ";")).withColumn("sources", F.array_join("from", ";")).drop("from")
+
+
+def user_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lines of their users' logs, numbered in the order of their ids."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("file"), F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).alias("line"), "event_id", F.col("event_type").alias("value"))
+
+
+_LINES = "l AS (SELECT user_id AS file, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS line, event_id, event_type AS value FROM events)"
+
+
+@query(
+    f"""WITH RECURSIVE {_LINES},
+    r AS (SELECT file, line, event_id, value, value = 'purchase' AS opens, CASE WHEN value = 'purchase' THEN 4 ELSE 0 END AS left, TRUE AS kept FROM l WHERE line = 1
+      UNION ALL SELECT l.file, l.line, l.event_id, l.value, NULL, CASE WHEN r.left > 0 AND l.value NOT IN ('signup', 'click') THEN r.left - 1 WHEN (r.left = 0 OR l.value = 'click') AND l.value = 'purchase' THEN 4 ELSE 0 END, r.left = 0 OR l.value = 'click'
+      FROM r JOIN l ON l.file = r.file AND l.line = r.line + 1)
+    SELECT file, line, event_id, value FROM r WHERE kept"""
+)
+def unquoted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' lines without the regions that a purchase opens, a signup ends and a click shows to be over, of four lines at most."""
+    return drop_quoted(user_lines(spark, sf_dir), "^purchase$", "^signup$", "^click$", 4).select("file", "line", "event_id", "value")
+
+
+_TASKS = """CASE WHEN event_id % 10 = 0 THEN event_id // 60 END AS task, CASE WHEN event_id % 10 IN (1, 2) THEN event_id // 60 END AS owner"""
+
+
+@query(
+    f"""WITH RECURSIVE {_LINES}, f AS (SELECT file, line, CASE value WHEN 'view' THEN 'split' WHEN 'click' THEN 'size' END AS kind, {_TASKS}, event_id % 3 + 1 AS bytes FROM l WHERE value IN ('view', 'click')),
+    k AS (SELECT *, coalesce(task, owner) AS of, max(CASE WHEN kind = 'split' THEN line END) OVER (PARTITION BY file, coalesce(task, owner) ORDER BY line) AS split FROM f),
+    x AS (SELECT file, split AS line, of AS task, min_by(bytes, line) FILTER (kind = 'size') AS bytes, bool_or(task IS NOT NULL) FILTER (kind = 'split') AS named FROM k WHERE of IS NOT NULL AND split IS NOT NULL GROUP BY file, of, split),
+    g AS (SELECT file, kind, bytes, line, row_number() OVER (PARTITION BY file ORDER BY line) AS n FROM k WHERE of IS NULL OR (task IS NULL AND kind = 'size' AND split IS NULL)),
+    r AS (SELECT file, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS splits, CAST([] AS BIGINT[]) AS sizes, CAST([] AS BIGINT[]) AS done, CAST(NULL AS BIGINT) AS size FROM (SELECT DISTINCT file FROM g)
+      UNION ALL SELECT file, n, CASE WHEN closes THEN [] ELSE s END, CASE WHEN closes THEN [] ELSE z END, CASE WHEN closes THEN s ELSE [] END, CASE WHEN closes AND list_min(z) = list_max(z) THEN z[1] END FROM (
+        SELECT g.file, g.n, CASE WHEN g.kind = 'split' THEN list_append(r.splits, g.line) ELSE r.splits END AS s, CASE WHEN g.kind = 'size' AND len(r.splits) > 0 THEN list_append(r.sizes, g.bytes) ELSE r.sizes END AS z,
+          g.kind = 'size' AND len(r.splits) > 0 AND len(r.sizes) + 1 = len(r.splits) AS closes FROM r JOIN g ON g.file = r.file AND g.n = r.n + 1)),
+    d AS (SELECT file, unnest(done) AS line, size FROM r)
+    SELECT file, line, task, bytes, CASE WHEN named THEN 'named' ELSE 'only task' END AS how FROM x
+    UNION ALL SELECT g.file, g.line, NULL, d.size, CASE WHEN d.size IS NOT NULL THEN 'equal group' END FROM g LEFT JOIN d ON d.file = g.file AND d.line = g.line WHERE g.kind = 'split'"""
+)
+def splits_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' views as splits and clicks as sizes; every tenth line names its task, two more have an only open one."""
+    lines = user_lines(spark, sf_dir).filter("value in ('view', 'click')")
+    kinds = lines.withColumn("kind", F.expr("if(value = 'view', 'split', 'size')")).withColumn("task", F.expr("if(event_id % 10 = 0, event_id div 60, null)")).withColumn("owner", F.expr("if(event_id % 10 in (1, 2), event_id div 60, null)"))
+    return region_splits(kinds.withColumn("bytes", F.expr("event_id % 3 + 1")))
+
+
+_ENDS = """c AS (SELECT 'a' || o_custkey AS app_id, o_orderkey % 4 AS attempt, o_orderkey AS line, CASE o_orderstatus WHEN 'F' THEN 'FAILED' WHEN 'P' THEN 'KILLED' ELSE 'SUCCEEDED' END AS status, CAST(o_orderkey % 5 AS INTEGER) AS code, o_orderkey % 3 AS side FROM orders),
+    b AS (SELECT app_id, attempt, max_by(status, line) FILTER (side = 0) AS os, max_by(code, line) FILTER (side = 0) AS oc, max(line) FILTER (side = 0) AS ol, max_by(status, line) FILTER (side <> 0) AS ms, max_by(code, line) FILTER (side <> 0) AS mc,
+      max(line) FILTER (side <> 0) AS ml FROM c WHERE status <> 'SUCCEEDED' GROUP BY 1, 2),
+    e AS (SELECT app_id, CAST(attempt AS INTEGER) AS attempt, coalesce(os, ms) AS status, CASE WHEN os IS NOT NULL THEN oc ELSE mc END AS code, CASE WHEN os IS NOT NULL THEN 'driver' ELSE 'resource manager' END AS told_by, ol AS own_line, ml AS manager_line FROM b)"""
+
+
+def order_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as the ends of their customers' applications' attempts: a third told by drivers, the others by the resource manager."""
+    o = table(spark, sf_dir, "orders")
+    status = F.expr("case o_orderstatus when 'F' then 'FAILED' when 'P' then 'KILLED' else 'SUCCEEDED' end")
+    return o.select(F.concat(F.lit("a"), "o_custkey").alias("app_id"), F.expr("cast(o_orderkey % 4 as int)").alias("attempt"), status.alias("status"), F.expr("cast(o_orderkey % 5 as int)").alias("code"), F.lit("f").alias("file"), F.col("o_orderkey").alias("line"))
+
+
+def told_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = order_ends(spark, sf_dir)
+    return A.attempt_ends(told.filter("line % 3 <> 0"), told.filter("line % 3 = 0"))
+
+
+@query(f"WITH {_ENDS} SELECT * FROM e")
+def ends_of_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return told_ends(spark, sf_dir)
+
+
+@query(
+    f"""WITH {_ENDS}, s AS (SELECT 'a' || o_custkey AS app_id, max(CASE WHEN o_orderkey % 11 = 0 THEN 'KILLED' ELSE 'SUCCEEDED' END) AS summary, bool_or(o_orderkey % 11 = 0) AS killed, bool_and(o_orderkey % 11 = 0) AS only FROM orders GROUP BY 1),
+    p AS (SELECT 'a' || o_custkey AS app_id, CAST(max(o_orderkey % 4) AS INTEGER) AS attempt, CASE WHEN count(*) % 3 = 0 THEN 'incomplete' ELSE 'succeeded' END AS state FROM orders GROUP BY 1),
+    w AS (SELECT p.*, e.status, e.code, s.summary, p.state = 'succeeded' AND (e.status IS NOT NULL OR s.summary IN ('FAILED', 'KILLED')) AS wrong FROM p LEFT JOIN e ON e.app_id = p.app_id AND e.attempt = p.attempt LEFT JOIN s ON s.app_id = p.app_id),
+    t AS (SELECT e.app_id, count(*) AS attempts, max_by(e.code, e.attempt) AS last_code FROM e JOIN p ON p.app_id = e.app_id WHERE e.attempt < p.attempt OR (p.state = 'succeeded' AND e.attempt <> p.attempt) GROUP BY 1)
+    SELECT w.app_id, w.attempt, CASE WHEN wrong THEN 'failed' ELSE state END AS state, CASE WHEN wrong AND status IS NOT NULL THEN 'the event log ends normally, but the application master exited with code ' || code
+      WHEN wrong THEN 'the event log ends normally, but the resource manager recorded the application as ' || CASE WHEN summary = 'KILLED' THEN 'killed' ELSE 'failed' END END AS reason, coalesce(t.attempts, 0) AS retried, t.last_code FROM w LEFT JOIN t ON t.app_id = w.app_id"""
+)
+def corrected_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as applications of the attempt with the highest number, most of which their event logs call succeeded, as the accounts of their ends correct them, and how often they were started again."""
+    o = table(spark, sf_dir, "orders").withColumn("app_id", F.concat(F.lit("a"), "o_custkey"))
+    apps = o.groupBy("app_id").agg(F.expr("cast(max(o_orderkey % 4) as int)").alias("attempt"), F.expr("if(count(*) % 3 = 0, 'incomplete', 'succeeded')").alias("state")).withColumn("reason", F.lit(None).cast("string"))
+    ends = told_ends(spark, sf_dir)
+    summaries = o.select("app_id", F.expr("if(o_orderkey % 11 = 0, 'KILLED', 'SUCCEEDED')").alias("final"))
+    again = A.retried(apps, ends).select(F.col("app_id").alias("of"), "attempts", "last_code")
+    out = A.correct_status(apps, ends, summaries).join(again, F.col("app_id") == F.col("of"), "left")
+    return out.select("app_id", "attempt", "state", "reason", F.coalesce("attempts", F.lit(0)).alias("retried"), "last_code")
+
+
+@query(
+    """WITH f AS (SELECT 'a' || user_id AS app_id, event_id, 'f' || event_id AS file, CASE WHEN event_type <> 'error' THEN 'container_1_' || user_id || '_0' || event_id % 3 + 1 || '_' || lpad(CAST(event_id % 9 + 1 AS VARCHAR), 6, '0') END AS container FROM events),
+    x AS (SELECT app_id, container, max(e) AS e, max(h) AS h FROM (SELECT DISTINCT app_id, container, CAST(event_id % 40 AS VARCHAR) AS e, 'h' || event_id % 4 AS h FROM f WHERE event_id % 4 = 0 AND container IS NOT NULL) GROUP BY 1, 2 HAVING count(*) = 1),
+    d AS (SELECT 'a' || user_id AS app_id, 'container_1_' || user_id || '_02_000001' AS container, 'd' || user_id AS host, user_id % 2 = 0 AS cluster FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 5 <> 0))
+    SELECT f.app_id, f.file, f.container, CASE WHEN x.e IS NOT NULL THEN x.e WHEN f.container = d.container THEN 'driver' WHEN f.container LIKE '%\\_000001' ESCAPE '\\' THEN CASE WHEN d.cluster THEN 'driver' ELSE 'am' END
+        WHEN f.container IS NOT NULL AND event_id % 2 = 0 AND (d.app_id IS NULL OR event_id % 3 + 1 = 2) THEN 's' || event_id % 7 END AS executor,
+      CASE WHEN x.e IS NOT NULL THEN x.h WHEN f.container = d.container THEN d.host WHEN f.container LIKE '%\\_000001' ESCAPE '\\' THEN CASE WHEN event_id % 2 = 0 THEN 'o' || event_id % 5 END
+        WHEN f.container IS NOT NULL AND event_id % 2 = 0 AND (d.app_id IS NULL OR event_id % 3 + 1 = 2) THEN 'o' || event_id % 5 END AS host,
+      CASE WHEN x.e IS NOT NULL THEN 'executor''s attribute' WHEN f.container = d.container THEN 'driver''s attribute' WHEN f.container LIKE '%\\_000001' ESCAPE '\\' THEN 'first container'
+        WHEN f.container IS NOT NULL AND event_id % 2 = 0 AND (d.app_id IS NULL OR event_id % 3 + 1 = 2) THEN 'own log' END AS proof,
+      CASE WHEN f.container IS NOT NULL AND d.app_id IS NOT NULL AND event_id % 3 + 1 <> 2 THEN CAST(event_id % 3 + 1 AS INTEGER) END AS earlier_attempt
+    FROM f LEFT JOIN x ON x.app_id = f.app_id AND x.container = f.container LEFT JOIN d ON d.app_id = f.app_id"""
+)
+def executor_of_container(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as log files of their users' containers; every fourth is named by an executor, users' drivers by all users but every fifth, and every second file says whose it is."""
+    e = table(spark, sf_dir, "events").withColumn("app_id", F.concat(F.lit("a"), "user_id"))
+    named = F.when(F.col("event_type") != "error", F.expr("concat('container_1_', user_id, '_0', event_id % 3 + 1, '_', lpad(cast(event_id % 9 + 1 as string), 6, '0'))"))
+    files = e.select("app_id", "event_id", F.concat(F.lit("f"), "event_id").alias("file"), named.alias("container"))
+    executors = files.filter("event_id % 4 = 0").select("app_id", F.expr("cast(event_id % 40 as string)").alias("executor_id"), F.expr("concat('h', event_id % 4)").alias("host"), "container")
+    drivers = e.filter("user_id % 5 <> 0").select("app_id", F.expr("concat('container_1_', user_id, '_02_000001')").alias("container"), F.expr("concat('d', user_id)").alias("host"), F.lit(None).cast("int").alias("attempt"), F.expr("user_id % 2 = 0").alias("cluster")).distinct()
+    said = files.filter("event_id % 2 = 0").select("file", F.lit(3).alias("line"), F.expr("concat('s', event_id % 7)").alias("executor"), F.expr("concat('o', event_id % 5)").alias("host"))
+    return A.container_executors(files, executors, drivers, said)

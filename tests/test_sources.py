@@ -82,3 +82,98 @@ def test_descriptions_name_the_line_that_set_them(spark):
     df = spark.createDataFrame([("f.py", k, v) for k, v in lines.items()], "file string, line int, value string")
     got = {x.description: x.line for x in L.match_descriptions(spark.createDataFrame([(x,) for x in [*said, None]], "description string"), L.description_patterns(df)).collect()}
     assert got == {k: v for k, v in said.items() if v}
+
+
+def test_folders_hold_what_is_below_them(spark):
+    from emberlens.operators import stagedata as D
+
+    paths = [("a", "/x/y/z"), ("a", "/x/yz"), ("a", "s3://b/k/"), ("b", "/x/y/z"), ("a", None), (None, "/x/y"), ("a", ""), ("a", "/x/y/z")]
+    folders = [("a", "/x/y"), ("a", "/x/"), ("a", "s3://b/k"), ("b", "/q"), ("a", None), ("a", "/x")]
+    rows = D.folders_holding(spark.createDataFrame(paths, "k string, p string"), spark.createDataFrame(folders, "k string, f string"), ["k"], "p", "f").collect()
+    want = {("a", "/x/y/z"): "/x/y", ("a", "/x/yz"): "/x", ("a", "s3://b/k/"): "s3://b/k"}
+    assert sorted(((x.k, x.p, x.folder) for x in rows), key=repr) == sorted(((k, p, want.get((k, p))) for k, p in paths), key=repr)
+
+
+def test_plans_fold_into_the_folders_that_logs_name(spark):
+    from emberlens.operators import stagedata as D
+
+    stage = ("a", 1, 2, 0)
+    rows = [
+        (*stage, "read", "path", "s3://b/t/", 2, 2, 10, "", "executor logs"), (*stage, "read", "path", "s3://b/t/d=1/f1, s3://b/t/d=2/f2", 1, 0, 0, "parquet", "SQL plan"), (*stage, "read", "path", "s3://b/u/f1, s3://b/t/f2", 1, 0, 0, "orc", "SQL plan"),
+        (*stage, "write", "path", "s3://b/t/f1", 1, 0, 0, "csv", "SQL plan"), (*stage, "read", "table", "n:t", 1, 0, 5, None, "region store"), (*stage, "read", "table", "n:t", 1, 0, 5, None, "region store"), (*stage, "read", "path", None, 1, 0, 0, "", "SQL plan"), (*stage, "read", "path", "x", 1, 0, 0, "", "elsewhere"),
+    ]
+    df = spark.createDataFrame(rows, "app_id string, attempt int, stage_id int, stage_attempt int, access string, kind string, name string, parts long, sized long, bytes long, format string, source string")
+    got = {(x.access, x.name): (x.parts, x.bytes, x.format, x.paths, x["from"]) for x in D.merge_stage_data(df).collect()}
+    assert got == {
+        ("read", "s3://b/t"): (3, 10, "parquet", ["s3://b/t/d=1/f1", "s3://b/t/d=2/f2"], ["executor logs", "SQL plan"]), ("read", "s3://b/u/f1, s3://b/t/f2"): (1, 0, "orc", [], ["SQL plan"]),
+        ("write", "s3://b/t/f1"): (1, 0, "csv", [], ["SQL plan"]), ("read", "n:t"): (2, 10, None, [], ["region store"]),
+    }
+    assert D.merge_stage_data(df.limit(0)).count() == 0
+
+
+def test_a_quoted_error_counts_once(spark):
+    from emberlens.operators import logtext as L
+    from emberlens.operators.quoted import drop_quoted, quoted_regions
+
+    head = "25/01/02 03:04:05 "
+    error = "java.lang.OutOfMemoryError: Java heap space"
+    text = [head + "ERROR Executor: " + error, head + "INFO Client: Application diagnostics message: User class threw", error, "\tat a.B.c(B.java:1)", ". Failing the application.", "after", "Application diagnostics message: x", "q", 'Exception in thread "main" ' + error, "Application diagnostics message: open to the end", error]
+    lines = spark.createDataFrame([("f", i + 1, v) for i, v in enumerate(text)] + [("g", 1, error), ("g", 2, None)], "file string, line long, value string")
+    hits = lambda df: df.filter(df.value.contains("OutOfMemory")).count()
+    assert hits(lines) == 5 and hits(drop_quoted(lines)) == 3
+    assert sorted(map(tuple, quoted_regions(lines, most=5).collect())) == [("f", 3, 5), ("f", 8, 8), ("f", 11, 15)]
+    assert sorted(x.line for x in drop_quoted(lines).filter("file = 'f'").collect()) == [1, 2, 6, 7, 9, 10]
+    assert L.parse_header(drop_quoted(lines)).filter("level = 'ERROR'").count() == 1
+
+
+def test_groups_of_equal_sizes_only(spark):
+    from emberlens.operators import regionsplits as R
+
+    def run(*rows):
+        df = spark.createDataFrame([("f", i, k, t, b) for i, (k, t, b) in enumerate(rows)], "file string, line long, kind string, task long, bytes long")
+        return [(x.line, x.task, x.bytes, x.how) for x in R.region_splits(R.owned_lines(df)).orderBy("line").collect()]
+
+    s, z = ("split", None, None), lambda b: ("size", None, b)
+    two = [("start", 1, None), ("start", 2, None)]
+    assert run(*two, s, s, z(5), z(5)) == [(2, None, 5, "equal group"), (3, None, 5, "equal group")]
+    assert run(*two, s, s, z(5), z(6), s, z(7)) == [(2, None, None, None), (3, None, None, None), (6, None, 7, "equal group")]
+    assert run(*two, z(4), s, s, z(5)) == [(3, None, None, None), (4, None, None, None)]
+    assert run(("start", 1, None), s, z(9), z(8), ("end", 1, None)) == [(1, 1, 9, "only task")]
+    assert run(*two, ("split", 2, None), s, ("size", 2, 3), z(4)) == [(2, 2, 3, "named"), (3, None, 4, "equal group")]
+    assert run(("size", 7, 1), ("start", 1, None), z(5)) == []
+
+
+def test_containers_and_attempts(spark):
+    from emberlens.operators import accounts as A
+
+    c = lambda attempt, n: f"container_e01_170_0007_{attempt:02d}_{n:06d}"
+    files = [("a", "f1", c(2, 3)), ("a", "f2", c(2, 1)), ("a", "f3", c(1, 4)), ("a", "f4", c(2, 5)), ("a", "f5", c(1, 1)), ("a", "f6", None), ("a", "f7", "odd"), ("a", "f8", c(2, 9)), ("z", "f9", c(1, 2))]
+    executors = [("a", "1", "h1", c(2, 3)), ("a", "2", "h2", c(2, 9)), ("a", "3", "h2", c(2, 9)), ("a", "4", "h4", None)]
+    said = [("f4", 9, "8", "late"), ("f4", 2, "7", "h7"), ("f3", 1, "7", "h7"), ("f9", 1, "5", "h5"), ("f6", 1, "6", "h6")]
+    out = A.container_executors(
+        spark.createDataFrame(files, "app_id string, file string, container string"), spark.createDataFrame(executors, "app_id string, executor_id string, host string, container string"),
+        spark.createDataFrame([("a", c(2, 1), "hd", None, True)], "app_id string, container string, host string, attempt int, cluster boolean"), spark.createDataFrame(said, "file string, line long, executor string, host string"),
+    )
+    assert {x.file: (x.executor, x.host, x.proof, x.earlier_attempt) for x in out.collect()} == {
+        "f1": ("1", "h1", "executor's attribute", None), "f2": ("driver", "hd", "driver's attribute", None), "f3": (None, None, None, 1), "f4": ("7", "h7", "own log", None), "f5": ("driver", None, "first container", 1),
+        "f6": (None, None, None, None), "f7": (None, None, None, None), "f8": (None, None, None, None), "f9": ("5", "h5", "own log", None),
+    }
+    end = "app_id string, attempt int, status string, code int, file string, line long"
+    manager = spark.createDataFrame([("a", 1, "FAILED", 13, "rm", 5), ("a", 1, "FAILED", 15, "rm", 9), ("a", 2, "SUCCEEDED", 0, "rm", 11), ("b", 1, "KILLED", None, "rm", 3), ("c", None, "FAILED", 1, "rm", 1)], end)
+    own = spark.createDataFrame([("a", 1, "FAILED", 1, "am", 7), ("d", 1, "FAILED", 4, "am", 2)], end)
+    ends = A.attempt_ends(manager, own)
+    assert {(x.app_id, x.attempt): (x.status, x.code, x.told_by, x.own_line, x.manager_line) for x in ends.collect()} == {
+        ("a", 1): ("FAILED", 1, "driver", 7, 9), ("b", 1): ("KILLED", None, "resource manager", None, 3), ("c", 0): ("FAILED", 1, "resource manager", None, 1), ("d", 1): ("FAILED", 4, "driver", 2, None),
+    }
+    apps = spark.createDataFrame([("a", 2, "succeeded", None), ("b", 1, "succeeded", None), ("d", 1, "incomplete", "x"), ("e", 1, "succeeded", None), ("f", 1, "succeeded", None)], "app_id string, attempt int, state string, reason string")
+    sums = spark.createDataFrame([("e", "KILLED"), ("f", "SUCCEEDED")], "app_id string, final string")
+    fixed = {x.app_id: (x.state, x.reason) for x in A.correct_status(apps, ends, sums).collect()}
+    assert fixed["a"] == ("succeeded", None) and fixed["d"] == ("incomplete", "x") and fixed["f"] == ("succeeded", None)
+    assert fixed["b"][0] == fixed["e"][0] == "failed" and fixed["b"][1].endswith("code unknown") and fixed["e"][1].endswith("as killed")
+    assert [tuple(x) for x in A.retried(apps, ends).collect()] == [("a", 1, 1)]
+    alone = A.app_from_logs(
+        spark.createDataFrame([("a", "n", "u", "q", "SUCCEEDED", 1, 2)], "app_id string, name string, user string, queue string, final string, started long, ended long"),
+        spark.createDataFrame([("b", "v", "p", "FAILED", 4), ("b", "w", "p", "UNDEFINED", 2)], "app_id string, user string, queue string, final string, line long"), ends,
+    )
+    got = {x.app_id: (x.name, x.user, x.state, x.reason) for x in alone.collect()}
+    assert got["a"] == ("n", "u", "succeeded", None) and got["b"] == (None, "v", "failed", "its application master exited with code unknown") and got["c"][2] == "failed"
