@@ -46,55 +46,82 @@ class ToxicModel(NamedTuple):
         return float(1 / (1 + np.exp(-np.clip(self.bias + sum(sorted(w[x] for x in w.keys() & features_of(set(words_of(text))))), -30, 30))))
 
 
-def counterfactuals(words: set[str], vocabulary: dict[str, int]) -> list[tuple[int, int]]:
-    """Pairs of features of which a swap of one identity term takes the first and gives the second; -1 is one without a weight."""
+def counterfactuals(words: set[str], vocabulary: dict[str, int]) -> list[list[int]]:
+    """What each swap of one identity term for another changes in a text's features: k + 1 for each feature k that it adds, -(k + 1) for each that it takes away. Those without a weight are left out."""
+    held: dict[str, int] = {}
     out = []
     for group in IDENTITY_TERMS:
         for a in group:
             if a in words:
+                if not held:
+                    for w in words:
+                        for x in features_of({w}):
+                            held[x] = held.get(x, 0) + 1
                 for b in group:
                     if b not in words:
-                        for cut in (None, 4, 5):
-                            x, y = (t if cut is None else t[:cut] + "*" for t in (a, b))
-                            if x in vocabulary or y in vocabulary:
-                                out.append((vocabulary.get(x, -1), vocabulary.get(y, -1)))
+                        lost, new = features_of({a}), features_of({b})
+                        change = [-(vocabulary[x] + 1) for x in sorted(lost - new) if held[x] == 1 and x in vocabulary] + [vocabulary[x] + 1 for x in sorted(new - lost) if x not in held and x in vocabulary]
+                        if change:
+                            out.append(change)
     return out
 
 
-def fit(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, pairs: np.ndarray, dims: int, l1: float = 2e-4, swap: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Accelerated proximal descent on mean log loss + swap * mean squared score change of the counterfactual pairs + l1 * |w|.
+class Swaps(NamedTuple):
+    """All counterfactuals of the texts: for each change, the swap it belongs to, the feature, and 1 if that is added, -1 if it is taken away."""
 
-    flat holds the features of all texts, one text after another, sizes how many each has. A feature counts once per text. A swap changes a linear
-    score by differences of two weights, so the penalty ties the weights of terms that can stand for each other.
+    of: np.ndarray
+    feature: np.ndarray
+    sign: np.ndarray
+
+    @classmethod
+    def made(cls, signed: np.ndarray, sizes: np.ndarray) -> Swaps:
+        return cls(np.repeat(np.arange(len(sizes)), sizes), np.abs(signed) - 1, np.sign(signed).astype(float))
+
+
+def class_weight(y: np.ndarray) -> float:
+    """What a toxic text's odds are raised by after the fit: the square root of the harmless texts to each toxic one, at most 4. So where toxic texts are few, missing one counts more than a false alarm."""
+    toxic = int(y.sum())
+    return float(np.clip(np.sqrt((len(y) - toxic) / max(1, toxic)), 1.0, 4.0)) if toxic else 1.0
+
+
+def fit(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, swaps: Swaps, dims: int, l1: float = 2e-4, swap: float = 1.0, steps: int = 300, still: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Accelerated proximal descent on mean log loss + swap * mean squared score change of the counterfactuals + l1 * |w|.
+
+    flat holds the features of all texts, one text after another, sizes how many each has. A feature counts once per text. The penalty is on the change of the linear score that a swap
+    makes as a whole. It ends after steps, or when no weight and neither the bias has moved by more than still in ten steps.
     """
     m = len(sizes)
     if not m:
         return np.zeros(dims), 0.0
     owner = np.repeat(np.arange(m, dtype=np.int32), sizes)
     y = y.astype(float)
-    n = max(1, m)
-    w = v = np.zeros(dims + 1)  # the last is that of words without a feature
-    prior = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
+    w = v = np.zeros(dims)
+    prior = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     b = c = float(np.log(prior / (1 - prior)))
     t = 1.0
-    df = np.bincount(flat, minlength=dims + 1)[: dims + 1] / n
-    rate = 1 / np.maximum(0.25 * np.sqrt(df * df.max(initial=1e-9)) * 4 + 2 * swap / max(1, len(pairs)) * np.bincount(pairs.ravel(), minlength=dims + 1)[: dims + 1] * 2, 2e-3)
+    n_swaps = max(1, len(swaps.of) and int(swaps.of[-1]) + 1)
+    df = np.bincount(flat, minlength=dims)[:dims] / m
+    widest = int(np.bincount(swaps.of).max(initial=0)) if len(swaps.of) else 0
+    rate = 1 / np.maximum(np.sqrt(df * df.max(initial=1e-9)) + 2 * swap / n_swaps * np.bincount(swaps.feature, minlength=dims)[:dims] * widest, 2e-3)
+    quiet = 0
     for _ in range(steps):
         g = 1 / (1 + np.exp(-np.clip(np.bincount(owner, v[flat], minlength=m)[:m] + c, -30, 30))) - y
-        grad = np.bincount(flat, g[owner], minlength=dims + 1) / n
-        if len(pairs):
-            d = v[pairs[:, 0]] - v[pairs[:, 1]]
-            grad += 2 * swap / len(pairs) * (np.bincount(pairs[:, 0], d, minlength=dims + 1) - np.bincount(pairs[:, 1], d, minlength=dims + 1))
+        grad = np.bincount(flat, g[owner], minlength=dims)[:dims] / m
+        if len(swaps.of):
+            change = np.bincount(swaps.of, swaps.sign * v[swaps.feature], minlength=n_swaps)
+            grad += 2 * swap / n_swaps * np.bincount(swaps.feature, swaps.sign * change[swaps.of], minlength=dims)[:dims]
         new = v - rate * grad
         new = np.sign(new) * np.maximum(np.abs(new) - rate * l1, 0)
-        new[dims] = 0
         new_b = c - 1.0 * float(g.mean())
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
         if ((v - new) * (new - w)).sum() > 0:  # the momentum points uphill
             t_next = 1.0
+        quiet = quiet + 1 if max(float(np.abs(new - w).max(initial=0)), abs(new_b - b)) < still else 0
         v, c = new + (t - 1) / t_next * (new - w), new_b
         w, b, t = new, new_b, t_next
-    return w[:dims], b
+        if quiet == 10:
+            break
+    return w, b
 
 
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 6_000, min_texts: int = 4, max_words: int = 150_000) -> ToxicModel:
@@ -120,20 +147,21 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, swaps = [], []
+            at, swaps, lengths = [], [], []
             for words in b.column(2).to_pylist():
                 at.append([vocabulary[x] for x in words if x in vocabulary])
-                swaps.append([x for pair in counterfactuals(set(words), vocabulary) for x in pair])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(swaps, pa.list_(pa.int32()))], names=["id", "y", "at", "swaps"])
+                found = counterfactuals({x for x in words if not x.endswith("*")}, vocabulary)
+                swaps.append([x for change in found for x in change])
+                lengths.append([len(change) for change in found])
+            lists = [pa.array(x, pa.list_(pa.int32())) for x in (at, swaps, lengths)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], names=["id", "y", "at", "swaps", "lengths"])
 
-    table = texts.mapInArrow(indexed, f"id {kind}, y int, at array<int>, swaps array<int>").orderBy("id", "y").toArrow()
+    table = texts.mapInArrow(indexed, f"id {kind}, y int, at array<int>, swaps array<int>, lengths array<int>").orderBy("id", "y").toArrow()
     at, y = table["at"].combine_chunks(), table["y"].to_numpy()
     flat, sizes = at.flatten().to_numpy(), np.diff(at.offsets.to_numpy())
-    pairs = table["swaps"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, 2)
-    # Terms that no labelled text holds are tied as well: a swap into them must not change a score either.
-    pairs[pairs < 0] = len(vocabulary)
-    w, bias = fit(flat, sizes, y, pairs, len(vocabulary))
-    return ToxicModel({word: float(w[i]) for word, i in vocabulary.items() if w[i]}, bias)
+    signed, lengths = (table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("swaps", "lengths"))
+    w, bias = fit(flat, sizes, y, Swaps.made(signed, lengths), len(vocabulary))
+    return ToxicModel({word: float(w[i]) for word, i in vocabulary.items() if w[i]}, bias + float(np.log(class_weight(y))))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

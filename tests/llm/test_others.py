@@ -40,13 +40,17 @@ def test_toxicity_learns_and_ignores_identity(spark):
 
 
 def test_swaps_cost_score_changes():
-    from emberlens.llm.toxicity import fit
+    from emberlens.llm.toxicity import Swaps, counterfactuals, fit
 
     flat, sizes, y = np.repeat([0, 1, 2], [30, 30, 60]), np.ones(120, int), np.repeat([1, 0], [30, 90])
-    pairs = np.array([[0, 1]] * 60)
-    apart = fit(flat, sizes, y, pairs, 3, swap=0.0)[0]
-    tied = fit(flat, sizes, y, pairs, 3, swap=5.0)[0]
+    swaps = Swaps.made(np.array([-1, 2] * 60), np.full(60, 2))
+    apart = fit(flat, sizes, y, swaps, 3, swap=0.0)[0]
+    tied = fit(flat, sizes, y, swaps, 3, swap=5.0)[0]
     assert abs(tied[0] - tied[1]) < 0.2 * abs(apart[0] - apart[1])
+    # What a swap changes as a whole: a word that another one begins like keeps what they share.
+    numbers = {"muslims": 0, "musl*": 1, "musli*": 2, "jews": 3, "muslin": 4}
+    assert counterfactuals({"muslims", "x"}, numbers) == [[-2, -3, -1]] * 2 + [[-2, -3, -1, 4]] + [[-2, -3, -1]] * 2 or sorted(map(sorted, counterfactuals({"muslims", "x"}, numbers))) == sorted([[-3, -2, -1]] * 4 + [[-3, -2, -1, 4]])
+    assert sorted(map(sorted, counterfactuals({"muslims", "muslin"}, numbers))) == sorted([[-1]] * 4 + [[-1, 4]])
 
 
 def test_urls(spark):
@@ -247,20 +251,20 @@ def test_html_on_fifty_pages():
 
 
 def test_fit_reaches_a_point_where_no_weight_lowers_the_loss():
-    from emberlens.llm.toxicity import fit
+    from emberlens.llm.toxicity import Swaps, fit
 
     r = np.random.default_rng(4)
     dims, m, l1, swap = 6, 80, 2e-3, 1.0
     texts = [np.flatnonzero(r.random(dims) < 0.5) for _ in range(m)]
     flat, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
     y = np.array([int(0 in t) if r.random() < 0.8 else 1 - int(0 in t) for t in texts])
-    pairs = np.array([[1, 2], [3, dims], [1, 2]])
-    w, b = fit(flat, sizes, y, pairs, dims, l1, swap, steps=6000)
+    changes = [[-2, 3], [-4], [-2, 3, 5]]
+    w, b = fit(flat, sizes, y, Swaps.made(np.concatenate(changes), np.array([len(c) for c in changes])), dims, l1, swap, steps=6000, still=0.0)
 
     def loss(w, b):
-        full = np.append(w, 0.0)
         z = np.array([w[t].sum() for t in texts]) + b
-        return np.mean(np.log1p(np.exp(-np.where(y == 1, z, -z)))) + swap * np.mean((full[pairs[:, 0]] - full[pairs[:, 1]]) ** 2) + l1 * np.abs(w).sum()
+        moved = [sum(np.sign(c) * w[abs(c) - 1] for c in change) for change in changes]
+        return np.mean(np.log1p(np.exp(-np.where(y == 1, z, -z)))) + swap * np.mean(np.square(moved)) + l1 * np.abs(w).sum()
 
     best = loss(w, b)
     for k in range(dims):  # by finite differences, so by the loss alone
