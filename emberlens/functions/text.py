@@ -54,14 +54,15 @@ def matched_fields(text: Column, rule: Column, rules: Sequence[Pattern]) -> Colu
     return out
 
 
-def redact_text(text: Column) -> Column:
+def redact_text(text: Column, in_json: bool = False) -> Column:
     """Masks values of sensitive names in name=value and name: value pairs, passwords in URLs, and access-key ids. Running it again changes nothing.
 
-    A name is looked at once, where it begins, and runs don't give back what they took, so time grows with the text's length.
+    A name is looked at once, where it begins, and runs don't give back what they took, so time grows with the text's length. In a JSON text a value ends with its string, so that the text stays JSON.
     """
     names = "|".join(n.replace(".", r"[._-]?") for n in SENSITIVE)
-    run = r"[A-Za-z0-9_.\-]"
-    out = F.regexp_replace(text, rf"(?i)(?<!{run})(?={run}*?(?:{names}))({run}++[ \t]*+[=:][ \t]*+)(\"[^\"]*+\"|'[^']*+'|[^\s,;&)\]}}\[][^\s,;&)\]}}]*+)", rf"$1{MASK}")
+    run, ends = r"[A-Za-z0-9_.\-]", r"\s,;&)\]}"
+    value = rf'(?:\\.|[^{ends}\["\\])(?:\\.|[^{ends}"\\])*+' if in_json else rf"\"[^\"]*+\"|'[^']*+'|[^{ends}\[][^{ends}]*+"
+    out = F.regexp_replace(text, rf"(?i)(?<!{run})(?={run}*?(?:{names}))({run}++[ \t]*+[=:][ \t]*+)({value})", rf"$1{MASK}")
     out = F.regexp_replace(out, r"(?<=[A-Za-z0-9+.\-])(://[^\s/:@]++:)([^\s/@]++)(@)", rf"$1{MASK}$3")
     return F.regexp_replace(out, r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b", MASK)
 

@@ -87,3 +87,17 @@ def retried(applications: DataFrame, ends: DataFrame) -> DataFrame:
     later = applications.groupBy("app_id").agg(F.max("attempt").alias("at"), F.max(F.col("state") == "succeeded").alias("well"))
     before = ends.join(later, "app_id").filter((F.col("attempt") < F.col("at")) | (F.col("well") & (F.col("attempt") != F.col("at"))))
     return before.groupBy("app_id").agg(F.count(F.lit(1)).alias("attempts"), F.max_by("code", "attempt").alias("last_code"))
+
+
+def zone_offsets(first_times: DataFrame, references: DataFrame, step_min: int = 30, slack_min: int = 15) -> DataFrame:
+    """app_id and offset_min of applications whose containers' logs look written in another zone than they were read in.
+
+    Containers start minutes after the reference, a time that is UTC whatever the zone. A difference that lies within slack_min of a whole number of step_min, other than none, is an offset; with the slack at half a step every difference
+    beyond it is one, rounded away from zero. first_times: app_id, first (a container file's first time); references: app_id, event_log, summary, step, of which the first that is there counts. Without a reference or a time there is no row.
+    """
+    first = first_times.groupBy("app_id").agg(F.min("first").alias("first"))
+    ref = references.groupBy("app_id").agg(*[F.min(c).alias(c) for c in ("event_log", "summary", "step")]).select("app_id", F.coalesce("event_log", "summary", "step").alias("ref"))
+    ms = lambda c: F.unix_millis(F.col(c))
+    rows = first.join(ref, "app_id").withColumn("diff", ms("first") - ms("ref")).filter("diff is not null")
+    offset = (F.round(F.col("diff") / (step_min * 60_000)) * step_min).cast("long")
+    return rows.withColumn("offset_min", offset).filter((F.col("offset_min") != 0) & (F.abs(F.col("diff") - F.col("offset_min") * 60_000) <= slack_min * 60_000)).select("app_id", "offset_min")

@@ -5,7 +5,9 @@ Sums are taken per application first of all, so they are combined in tasks befor
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -221,6 +223,49 @@ def critical_path(jobs: DataFrame, stages: DataFrame) -> DataFrame:
     return rows.groupBy(*KEY).applyInPandas(walk, "app_id string, attempt int, job_id int, step int, stage_id int, wall_ms long")
 
 
+def walk_back(rows: dict[tuple[int, int], tuple[int, int, list[int]]], jobs: list[tuple[int, int]], start: int, end: int, slack: int) -> list[tuple]:
+    """Steps (kind, stage_id, stage_attempt, from, to) from start to end. rows: submitted, completed and parents of stage attempts. Each attempt is taken or passed once, so time grows with stages and jobs and the logarithm of both."""
+    out: list[tuple] = []
+    tries: dict[int, list[tuple[int, int]]] = {}
+    for k in rows:
+        tries.setdefault(k[0], []).append(k)
+    ends = sorted((c, k) for k, (_, c, _) in rows.items())  # the last is the next candidate; t only goes down, so what doesn't fit never will
+    jobs = sorted(jobs)
+    begun = [x for x, _ in jobs]
+    reach = list(accumulate((y for _, y in jobs), max))
+    used: set = set()
+    parents: list[int] = []
+    t = end
+
+    def gap(a: int, b: int) -> None:
+        if b > a:
+            i = bisect_right(begun, (a + b) // 2)
+            out.append(("scheduling" if i and reach[i - 1] >= (a + b) // 2 else "driver", None, None, a, b))
+
+    def fits(k: tuple[int, int]) -> bool:
+        return k not in used and rows[k][1] <= t + slack and rows[k][0] < t
+
+    while t > start:
+        pool = [(rows[k][1], k) for p in set(parents) for k in tries.get(p, ()) if fits(k)]
+        while not pool and ends and not fits(ends[-1][1]):
+            ends.pop()
+        if not pool and not ends:
+            break
+        c, k = max(pool) if pool else ends.pop()
+        used.add(k)
+        a, last = max(start, rows[k][0]), min(c, t)
+        gap(max(start, last), t)
+        if last > a:
+            out.append(("stage", k[0], k[1], a, last))
+            t = a
+        elif last > start:
+            t = last
+        parents = rows[k][2]
+    gap(start, t)
+    out.reverse()
+    return out
+
+
 def run_path(apps: DataFrame, stages: DataFrame, jobs: DataFrame, slack: int = 50) -> DataFrame:
     """Steps that tile each run, from its start to its end: stages that decided its length, and what lies between them.
 
@@ -234,34 +279,8 @@ def run_path(apps: DataFrame, stages: DataFrame, jobs: DataFrame, slack: int = 5
     def walk(key: tuple, f: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(f):
-            start, t = int(f.started.iloc[0]), int(f.ended.iloc[0])
             rows = {(int(r.stage_id), int(r.stage_attempt)): (int(r.submitted), int(r.completed), [] if r.parents is None else list(r.parents)) for r in f.itertuples()}
-            spans = list(zip(g.submitted, g.completed, strict=True))
-            used: set = set()
-            parents: list | None = None
-
-            def gap(a: int, b: int) -> None:
-                if b > a:
-                    mid = (a + b) // 2
-                    out.append(("scheduling" if any(x <= mid <= y for x, y in spans) else "driver", None, None, a, b))
-
-            while t > start:
-                free = [(c, k) for k, (a, c, _) in rows.items() if k not in used and c <= t + slack and a < t]
-                pool = [x for x in free if parents is not None and x[1][0] in parents] or free
-                if not pool:
-                    break
-                c, k = max(pool)
-                used.add(k)
-                a, end = max(start, rows[k][0]), min(c, t)
-                gap(max(start, end), t)
-                if end > a:
-                    out.append(("stage", k[0], k[1], a, end))
-                    t = a
-                elif end > start:
-                    t = min(t, max(start, end))
-                parents = rows[k][2]
-            gap(start, t)
-            out.reverse()
+            out = walk_back(rows, list(zip(g.submitted, g.completed, strict=True)), int(f.started.iloc[0]), int(f.ended.iloc[0]), slack)
         return pd.DataFrame([(*key, i, *r) for i, r in enumerate(out)], columns=["app_id", "attempt", "step", "kind", "stage_id", "stage_attempt", "start", "end"])
 
     s, j = s.toDF(*s.columns), j.toDF(*j.columns)  # both come from the same tables: new names tell their keys apart

@@ -182,3 +182,23 @@ def log_lines(items: DataFrame, kind: str) -> DataFrame:
         F.struct(end.alias("line"), F.concat(stamp(done), F.lit(" INFO Executor: Finished task "), name, F.expr("concat('. ', p, ' bytes result sent to driver')")).alias("value")),
     )
     return items.select(F.concat(F.lit("/logs/"), "app_id", F.lit("/"), "executor").alias("file"), F.col("app_id").alias("app"), "executor", F.inline(rows))
+
+
+def one_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of one application's log: every event a task, 500 of them a stage and a job, on 200 executors of 25 hosts, and every tenth stage with one task that takes 20 times as long."""
+    items = item_rows(spark, sf_dir).withColumns(
+        {
+            "app_id": F.lit("app-20260101-0001"), "stage": F.expr("task div 500"), "executor": F.expr("cast(task % 200 as string)"), "host": F.expr("concat('h', task % 25)"),
+            "p": F.expr("if(task div 500 % 10 = 0 and task % 500 = 7, 20, 1) * p"), "ln": F.expr("cast(task % 500 + 1 as int)"),
+        }
+    )
+    jobs = items.groupBy("app_id", F.col("stage").alias("job")).agg(F.lit("F").alias("s"), F.min("launched").alias("submitted"), (F.max(F.col("launched") + F.col("p")) - F.min("launched")).alias("price"), F.lit("1-URGENT").alias("pri"))
+    lines = task_end_lines(items)
+    for x in (task_start_lines(items), job_lines(jobs), app_lines(jobs), executor_lines(items), environment_lines(jobs)):
+        lines = lines.unionByName(x)
+    return lines
+
+
+def write_logs(lines: DataFrame, path: str) -> None:
+    """Lines as text, one file in a folder of its own for each application, in the order of their numbers."""
+    lines.repartition("app_id").sortWithinPartitions("app_id", "line", "value").select("app_id", "value").write.partitionBy("app_id").text(path)

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import commands as C
 from ..operators import accounts as A
 from ..operators import codelines as L
 from ..operators import stagedata as D
 from ..operators.quoted import drop_quoted
 from ..operators.regionsplits import region_splits
+from ..sources import eventlog as E
+from ..sources.shared import shared_dir
+from . import edits, fleet
 from .kernel_queries import query, seconds, table
 
 _PATH = r"regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')"
@@ -203,3 +209,93 @@ def executor_of_container(spark: SparkSession, sf_dir: str) -> DataFrame:
     drivers = e.filter("user_id % 5 <> 0").select("app_id", F.expr("concat('container_1_', user_id, '_02_000001')").alias("container"), F.expr("concat('d', user_id)").alias("host"), F.lit(None).cast("int").alias("attempt"), F.expr("user_id % 2 = 0").alias("cluster")).distinct()
     said = files.filter("event_id % 2 = 0").select("file", F.lit(3).alias("line"), F.expr("concat('s', event_id % 7)").alias("executor"), F.expr("concat('o', event_id % 5)").alias("host"))
     return A.container_executors(files, executors, drivers, said)
+
+
+def order_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as the jobs of 16 applications, a line that is no event after every 97th, as lines that were written as text and read again."""
+    orders = fleet.order_rows(spark, sf_dir).withColumn("app_id", F.expr("concat('app-1-', conv(substring(app_id, 7), 10, 10) % 16)"))
+    broken = orders.filter("job % 97 = 0").select("app_id", F.lit(1).alias("attempt"), F.lit(0).cast("long").alias("part"), F.lit("events").alias("file"), (F.col("job") * 100 + 50).alias("line"), F.lit("SparkListenerJobEnd").alias("event"), F.lit('{"Event":"SparkListenerJob').alias("value"))
+    path = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    fleet.write_logs(fleet.job_lines(orders).unionByName(broken), path)
+    return E.event_lines(spark, path)
+
+
+_LOG_LINES = """o AS (SELECT 'app-1-' || o_custkey % 16 AS app_id, o_orderkey AS job, o_orderstatus AS s FROM orders),
+    k AS (SELECT app_id, job, job * 100 AS pos, 'SparkListenerJobStart' AS event FROM o UNION ALL SELECT app_id, job, job * 100 + 1, 'SparkListenerStageSubmitted' FROM o UNION ALL SELECT app_id, job, job * 100 + 50, NULL FROM o WHERE job % 97 = 0
+      UNION ALL SELECT app_id, job, job * 100 + 98, 'SparkListenerStageCompleted' FROM o WHERE s <> 'O' UNION ALL SELECT app_id, job, job * 100 + 99, 'SparkListenerJobEnd' FROM o WHERE s <> 'O'),
+    n AS (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY pos) AS line FROM k)"""
+
+
+@query(f"WITH {_LOG_LINES} SELECT app_id, 1 AS attempt, CAST(0 AS BIGINT) AS part, line, event, CASE WHEN event LIKE '%Job%' THEN job END AS job FROM n")
+def log_lines_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as the readers number and name them: after a write as text, whatever splits the files are read in."""
+    return order_log_lines(spark, sf_dir).select("app_id", "attempt", "part", "line", "event", F.get_json_object("value", "$['Job ID']").cast("long").alias("job"))
+
+
+@query(
+    f"""WITH {_LOG_LINES}, l AS (SELECT app_id, arg_max(event IS NULL, line) AS cut FROM n GROUP BY 1)
+    SELECT n.app_id, count(*) AS lines, count(event) AS events, count(*) FILTER (event IS NULL) - CAST(any_value(cut) AS INTEGER) AS malformed,
+      CASE WHEN count(*) FILTER (event IS NULL) > CAST(any_value(cut) AS INTEGER) THEN min(line) FILTER (event IS NULL) END AS first_malformed, any_value(cut) AS truncated FROM n JOIN l ON l.app_id = n.app_id GROUP BY 1"""
+)
+def log_quality_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    app, _ = E.app_and_attempt(F.col("file"))
+    return E.line_quality(order_log_lines(spark, sf_dir)).select(app.alias("app_id"), "lines", "events", "malformed", "first_malformed", "truncated")
+
+
+@query(
+    r"""SELECT p_partkey, '/usr/bin/spark-submit --deploy-mode cluster --conf spark.db.password=[redacted] --secret [redacted] --verbose --name "' || p_name || '" s3://b/job' || p_partkey || '.py --day "it''s \"x\""' AS command,
+    's3://b/job' || p_partkey || '.py' AS script FROM part"""
+)
+def masked_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands that submit a script for each part, with secrets in options and settings, written with quotes of both kinds."""
+    words = ("/usr/bin/spark-submit --deploy-mode cluster --conf 'spark.db.password=", "' --secret ", " --verbose --name '", "' s3://b/job", """.py --day "it's \\"x\\"" """)
+    command = F.concat(F.lit(words[0]), "p_brand", F.lit(words[1]), F.regexp_replace("p_brand", r"\W", ""), F.lit(words[2]), "p_name", F.lit(words[3]), "p_partkey", F.lit(words[4]))
+    return table(spark, sf_dir, "part").select("p_partkey", C.redact_command(command).alias("command"), C.submitted_script(command).alias("script"))
+
+
+@query(
+    """SELECT o_orderkey, '{"a":{"db.password": "[redacted]","k":[1,{"Tokens" : "[redacted]","n":' || o_custkey || '}]},"credential":"[redacted]","api-key":"[redacted]","note":"user=' || o_custkey || ' secret=[redacted]","plain":["x"]}' AS value FROM orders"""
+)
+def masked_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as nested JSON with secrets as strings, numbers, lists and objects, and in running text."""
+    parts = ('{"a":{"db.password": "p \\"q ', '","k":[1,{"Tokens" : ["', '", "b"],"n":', '}]},"credential":{"user":"', '","n":-1.5e3},"api-key":', ',"note":"user=', " secret=", '","plain":["x"]}')
+    value = F.concat(F.lit(parts[0]), "o_orderstatus", F.lit(parts[1]), "o_orderkey", F.lit(parts[2]), "o_custkey", F.lit(parts[3]), "o_custkey", F.lit(parts[4]), "o_orderkey", F.lit(parts[5]), "o_custkey", F.lit(parts[6]), F.lit("abc"), F.lit(parts[7]))
+    return table(spark, sf_dir, "orders").select("o_orderkey", C.redact_json(value).alias("value"))
+
+
+@query(
+    """WITH o AS (SELECT o_custkey AS c, min(epoch_ms(CAST(o_orderdate AS TIMESTAMP))) AS ref, count(*) AS n FROM orders GROUP BY 1), d AS (SELECT c, (c % 9 - 4) * 1800000 + (c % 41 - 20) * 60000 AS diff FROM o WHERE c % 7 <> 0)
+    SELECT 'a' || c AS app_id, CAST(round(diff / 1800000) * 30 AS BIGINT) AS offset_min FROM d WHERE round(diff / 1800000) <> 0 AND abs(diff - round(diff / 1800000) * 1800000) <= 720000"""
+)
+def zones_of_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as applications whose logs begin some half hours and minutes beside their first order; every seventh has no reference."""
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("a"), "o_custkey").alias("app_id"), "o_custkey", F.col("o_orderdate").cast("timestamp").alias("t"))
+    began = o.groupBy("app_id", "o_custkey").agg(F.min("t").alias("t"))
+    first = began.select("app_id", F.timestamp_millis(F.unix_millis("t") + F.expr("(o_custkey % 9 - 4) * 1800000 + (o_custkey % 41 - 20) * 60000")).alias("first"))
+    none = F.lit(None).cast("timestamp")
+    ref = began.filter("o_custkey % 7 <> 0").select("app_id", F.when(F.expr("o_custkey % 2 = 0"), F.col("t")).alias("event_log"), F.when(F.expr("o_custkey % 2 = 1"), F.col("t")).alias("summary"), none.alias("step"))
+    return A.zone_offsets(first, ref, slack_min=12)
+
+
+@query(
+    """WITH o AS (SELECT 'a' || o_custkey AS app_id, o_orderkey AS k, ['executor-lost', 'idle-nodes', 'shared-cluster', 'executor-fit', 'executor-memory-kill', 'job-failed'][o_orderkey % 6 + 1] AS rule, o_orderkey % 3 = 0 AS told FROM orders),
+    s AS (SELECT app_id, min(CAST(k AS VARCHAR)) AS first FROM o WHERE rule = 'shared-cluster' GROUP BY 1), i AS (SELECT app_id, count(*) AS idle FROM o WHERE rule = 'idle-nodes' GROUP BY 1), f AS (SELECT DISTINCT app_id FROM o WHERE rule = 'executor-fit'),
+    r AS (SELECT o.app_id, k, rule, CASE WHEN rule = 'executor-memory-kill' THEN 'critical' WHEN rule IN ('idle-nodes', 'shared-cluster') THEN 'info' ELSE 'warning' END AS severity,
+      1 + CASE WHEN told AND rule IN ('executor-lost', 'executor-memory-kill') THEN 1 WHEN rule = 'shared-cluster' AND CAST(k AS VARCHAR) = first THEN coalesce(idle, 0) ELSE 0 END AS evidence,
+      CASE WHEN rule = 'executor-memory-kill' AND told THEN 'heap' END AS cause, CASE WHEN rule = 'shared-cluster' AND CAST(k AS VARCHAR) = first THEN CAST(idle AS VARCHAR) END AS instead, CASE WHEN rule = 'idle-nodes' AND f.app_id IS NOT NULL THEN 'executor-fit' END AS see
+      FROM o LEFT JOIN s ON s.app_id = o.app_id LEFT JOIN i ON i.app_id = o.app_id LEFT JOIN f ON f.app_id = o.app_id WHERE NOT (rule = 'idle-nodes' AND s.app_id IS NOT NULL))
+    SELECT app_id, k AS of, rule, severity, evidence, cause, instead, see, row_number() OVER (PARTITION BY app_id ORDER BY list_position(['critical', 'warning', 'info'], severity),
+      coalesce(list_position(['job-failed', 'executor-memory-kill', 'executor-lost', 'executor-fit', 'idle-nodes'], rule), 99), CAST(k AS VARCHAR) || CASE WHEN cause IS NULL THEN '"' ELSE '"' END) AS rank FROM r"""
+)
+def edited_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as findings of six rules about their customers' applications, every third executor's log telling why it went, edited and ranked."""
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("a"), "o_custkey").alias("app_id"), F.lit(1).alias("attempt"), F.col("o_orderkey").alias("k"))
+    rule = F.element_at(F.array(*map(F.lit, ("executor-lost", "idle-nodes", "shared-cluster", "executor-fit", "executor-memory-kill", "job-failed"))), F.expr("cast(k % 6 + 1 as int)"))
+    level = F.when(F.col("rule") == "executor-memory-kill", "critical").when(F.col("rule").isin("idle-nodes", "shared-cluster"), "info").otherwise("warning")
+    rows = o.withColumn("rule", rule).withColumn("severity", level)
+    evidence = F.array(F.struct(F.lit("f").alias("file"), F.col("k").alias("line"), F.lit("t").alias("text")))
+    found = rows.select("app_id", "attempt", "rule", "severity", F.lit("s").alias("section"), F.create_map(F.lit("executor"), F.col("k").cast("string")).alias("args"), evidence.cast("array<struct<file:string,line:bigint,text:string>>").alias("evidence"))
+    hits = o.filter("k % 3 = 0").select(F.col("app_id").alias("app"), F.col("k").cast("string").alias("executor"), F.lit("g").alias("file"), F.lit(1).alias("line"), F.lit("out-of-memory").alias("hit"), F.lit("heap space").alias("text"))
+    out = edits.all_findings([found], hits)
+    arg = lambda k: F.col("args")[k]
+    return out.select("app_id", arg("executor").cast("long").alias("of"), "rule", "severity", F.size("evidence").alias("evidence"), arg("cause").alias("cause"), arg("instead of idle-nodes").alias("instead"), arg("see").alias("see"), "rank")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, size, block, row and value of every line under path, which may be a file, a folder or a pattern; gz and bz2 are read by Hadoop's codecs.
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, size, block, row and value of every line under path, which may be a file, a folder, a pattern or a list of these; gz and bz2 are read by Hadoop's codecs.
 
     block is where the split begins and row is taken right after the scan, so they number lines without moving them.
     """

@@ -154,3 +154,43 @@ def test_repeated_ends_multiply_nothing(spark):
     ends = spark.createDataFrame([("a", 1, 3, 10 + n, "JobSucceeded", None, "f", n, 0) for n in (8, 9)], f"{app}, job_id int, completed long, result string, message string, file string, line long, part long")
     job = S.jobs(starts, ends).collect()
     assert [(x.line, x.completed, x.failed, x.name) for x in job] == [(4, 19, False, "n")]
+
+
+def test_the_run_path_is_that_of_a_plain_search():
+    import random
+    import time
+
+    from emberlens.operators.stages import walk_back
+
+    def plain(rows, jobs, start, t, slack):
+        out, used, parents = [], set(), None
+        gap = lambda a, b: b > a and out.append(("scheduling" if any(x <= (a + b) // 2 <= y for x, y in jobs) else "driver", None, None, a, b))
+        while t > start:
+            free = [(c, k) for k, (a, c, _) in rows.items() if k not in used and c <= t + slack and a < t]
+            pool = [x for x in free if parents is not None and x[1][0] in parents] or free
+            if not pool:
+                break
+            c, k = max(pool)
+            used.add(k)
+            a, end = max(start, rows[k][0]), min(c, t)
+            gap(max(start, end), t)
+            if end > a:
+                out.append(("stage", k[0], k[1], a, end))
+                t = a
+            elif end > start:
+                t = min(t, max(start, end))
+            parents = rows[k][2]
+        gap(start, t)
+        return out[::-1]
+
+    r = random.Random(9)
+    for _ in range(300):
+        rows = {}
+        for i in range(r.randint(0, 12)):
+            a = r.randint(-50, 400)
+            rows[r.randint(0, 8), r.randint(0, 1)] = (a, a + r.randint(0, 120), [r.randint(0, 8) for _ in range(r.randint(0, 3))])
+        jobs = [(x, x + r.randint(0, 100)) for x in (r.randint(-20, 400) for _ in range(r.randint(0, 4)))]
+        assert walk_back(rows, jobs, 0, 400, 20) == plain(rows, jobs, 0, 400, 20)
+    began = time.time()
+    many = {(i, 0): (i * 10, i * 10 + 9, [i - 1]) for i in range(100_000)}
+    assert len(walk_back(many, [(0, 10**6)], 0, 10**6, 50)) > 100_000 and time.time() - began < 5

@@ -177,3 +177,100 @@ def test_containers_and_attempts(spark):
     )
     got = {x.app_id: (x.name, x.user, x.state, x.reason) for x in alone.collect()}
     assert got["a"] == ("n", "u", "succeeded", None) and got["b"] == (None, "v", "failed", "its application master exited with code unknown") and got["c"][2] == "failed"
+
+
+def test_words_and_scripts_of_commands(spark):
+    import shlex
+
+    from pyspark.sql import functions as F
+
+    from emberlens.functions import commands as C
+
+    plain = ["a b  c", "spark-submit --class x.Y '/a b/c.jar' 1", 'x "a \\"q\\" b" \'c\\d\' e\\ f', "", "  ", "a'b'\"c\"d", "--conf k=v", 'spark-submit -v --conf "a=b c" --name n job.py --day 1', "/x/spark-submit --conf=a.b=c job.py"]
+    broken = ['open "quote runs on', "open 'one", "ends in \\", "q" * 300_000 + " " + '"' + "w " * 150_000]
+    df = spark.createDataFrame([(x,) for x in [*plain, *broken, None]], "c string").select("c", C.command_words(F.col("c")).alias("w"), C.submitted_script(F.col("c")).alias("s"), C.command_words(C.redact_command(F.col("c"))).alias("again"))
+    rows = {x.c: x for x in df.collect()}
+    for c in plain:
+        assert rows[c].w == shlex.split(c) == rows[c].again, c
+    assert rows[broken[0]].w == ["open", "quote runs on"] and rows[broken[1]].w == ["open", "one"] and rows[broken[2]].w[:2] == ["ends", "in"] and rows[None].w is None and len(rows[broken[3]].w) == 2
+    assert rows[plain[1]].s == "/a b/c.jar" and rows[plain[7]].s == "job.py" and rows[plain[8]].s == "job.py" and rows["a b  c"].s == "b" and rows[""].s is None
+
+
+def test_json_is_masked_at_any_depth(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from emberlens.functions import commands as C
+    from emberlens.functions.text import MASK
+
+    value = {"Properties": [["spark.password", "x"], {"my.secret.key": 'a"b\\', "ok": 1}], "tokens": ["a", "b", 3], "credential": {"u": "v"}, "deep": {"a": {"b": [{"api_key": -1.5}]}}, "say": "password=hunter2 now", "secretless": None, "passwords": {"a": {"password": "x"}, "b": "kept"}}
+    text = json.dumps(value)
+    got = spark.createDataFrame([(text,), (None,), ("{",), ('{"password": "' + "x" * 1_000_000 + '"}',)], "v string").select(C.redact_json(F.col("v")).alias("v"), C.redact_json(C.redact_json(F.col("v"))).alias("again")).collect()
+    out = json.loads(got[0].v)
+    assert out["Properties"][1] == {"my.secret.key": MASK, "ok": 1} and out["tokens"] == MASK and out["credential"] == MASK and out["deep"] == {"a": {"b": [{"api_key": MASK}]}} and out["say"] == f"password={MASK} now"
+    assert out["secretless"] is None and out["passwords"] == {"a": {"password": MASK}, "b": "kept"} and got[0].again == got[0].v
+    assert got[1].v is None and got[2].v == "{" and json.loads(got[3].v) == {"password": MASK}
+
+
+def test_edits_change_other_rules_findings(spark):
+    from emberlens.plans import edits as X
+
+    def run(*rows, hits=()):
+        found = [("a", 1, rule, level, "s", {"executor": e} if e else {}, [("f", 1, rule)]) for rule, level, e in rows]
+        df = spark.createDataFrame(found, "app_id string, attempt int, rule string, severity string, section string, args map<string,string>, evidence array<struct<file:string,line:bigint,text:string>>")
+        h = spark.createDataFrame(list(hits), "app string, executor string, file string, line long, hit string, text string")
+        return [(x.rank, x.rule, x.args, [e.text for e in x.evidence]) for x in X.all_findings([df], h).orderBy("rank").collect()]
+
+    assert run(("idle-nodes", "info", "1"), ("idle-nodes", "info", "2"), ("shared-cluster", "info", None)) == [(1, "shared-cluster", {"instead of idle-nodes": "2"}, ["shared-cluster", "idle-nodes", "idle-nodes"])]
+    assert run(("idle-nodes", "warning", None), ("executor-fit", "warning", None)) == [(1, "executor-fit", {}, ["executor-fit"]), (2, "idle-nodes", {"see": "executor-fit"}, ["idle-nodes"])]
+    hits = [("a", "1", "g", 3, "out-of-memory", "heap"), ("a", "1", "g", 2, "access-denied", "no"), ("a", "2", "g", 1, "spill", "x"), ("a", "driver", "g", 1, "out-of-memory", "y"), ("b", "1", "g", 9, "out-of-memory", "z")]
+    out = run(("executor-memory-kill", "critical", "1"), ("executor-lost", "warning", "1"), ("executor-lost", "warning", "2"), ("other", "critical", "1"), hits=hits)
+    assert out == [(1, "executor-memory-kill", {"executor": "1"}, ["executor-memory-kill"]), (2, "other", {"executor": "1"}, ["other"]), (3, "executor-lost", {"executor": "1"}, ["executor-lost", "its own log: heap"]), (4, "executor-lost", {"executor": "2"}, ["executor-lost"])]
+    assert run(("executor-memory-kill", "critical", "1"), hits=hits) == [(1, "executor-memory-kill", {"executor": "1", "cause": "heap"}, ["executor-memory-kill", "its own log: heap"])]
+
+
+def test_files_outside_the_run_are_never_read(spark, tmp_path):
+    from emberlens.sources import fileindex as I
+
+    files = {
+        "containers/application_1_0007/container_1_0007_01_000002/stderr": "a\nb\n", "containers/application_1_0008/container_1_0008_01_000002/stderr": "c\n", "node/ip-10-0-0-1/daemon-2025-01-02-03.log": "d\n",
+        "node/ip-10-0-0-1/daemon-2025-01-02-09.log": "e\n", "node/ip-10-0-0-2/daemon-2025-01-02-03.log": "f\n", "node/ip-10-0-0-1/daemon-2025-01-01-20.log": "g\n", "other.txt": "h\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    hosts = spark.createDataFrame([("ip-10-0-0-1",)], "host string")
+    index = I.scoped(I.file_index(spark, str(tmp_path)), "application_1_0007", "2025-01-02 03:10:00", "2025-01-02 05:00:00", hosts)
+    why = {x.file.split(str(tmp_path) + "/")[1]: x.skipped for x in index.collect()}
+    assert [why[n] for n in files] == [None, "another application", None, "after the run", "a host that the run didn't use", "before the run", None]
+    lines = I.read_scoped(spark, index)
+    assert sorted(x.value for x in lines.collect()) == ["a", "b", "d", "h"]
+    scanned = {f.rsplit("/", 1)[1] for f in lines.inputFiles()}
+    assert scanned == {"stderr", "daemon-2025-01-02-03.log", "other.txt"} and len(lines.inputFiles()) == 3
+    status = {(x.reason, x.kind): (x.files, x.bytes, x.lines) for x in I.source_status(index, lines).collect()}
+    assert status[None, "executor"] == (1, 4, 2) and status["another application", "executor"] == (1, 2, None)
+    assert I.read_scoped(spark, index.filter("false")).count() == 0
+
+
+def test_late_rows_are_kept_aside_once(spark, tmp_path):
+    import time
+
+    from emberlens.streaming.late import kept_rows, late_counts, late_kept
+
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    schema = "k string, t timestamp"
+    batches = [[("a", "2025-01-01 00:00:00"), ("a", "2025-01-01 00:10:00")], [("a", "2025-01-01 00:08:59"), ("b", "2025-01-01 00:09:00"), ("b", None)], [("a", "2025-01-01 00:20:00")], [("a", "2025-01-01 00:18:00"), ("b", "2025-01-01 00:30:00")]]
+    keep = late_kept(out, "t", 60_000)
+    for i, rows in enumerate(batches):
+        (source / f"{i}.csv").write_text("".join(f"{k},{t or ''}\n" for k, t in rows))
+        time.sleep(0.05)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).csv(str(source))
+        stream.writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()  # a query that is started again goes on
+    late = kept_rows(spark, out, schema, late=True)
+    assert sorted((x.k, str(x.t), x.batch) for x in late.collect()) == [("a", "2025-01-01 00:08:59", 1), ("a", "2025-01-01 00:18:00", 3)]
+    assert kept_rows(spark, out, schema).count() == 6
+    keep(spark.createDataFrame([("a", None)], "k string, s string").selectExpr("k", "cast('2025-01-01 00:18:00' as timestamp) as t"), 3)  # a batch that runs again
+    assert late_counts(kept_rows(spark, out, schema, late=True), ["k"], "t").filter("batch = 3").select("k", "n").collect() == [("a", 1)]
+    assert kept_rows(spark, out, schema).count() == 5
