@@ -85,16 +85,16 @@ def test_urls(spark):
 
 
 def test_url_model_on_held_out_names():
-    from emberlens.llm.urls import fit_urls, labelled_urls
-
-    rows = labelled_urls()
-    right = 0
-    for fold in range(5):
-        model = fit_urls([x for i, x in enumerate(rows) if i // 2 % 5 != fold])  # both urls of a name are in one fold
-        for url, label in (x for i, x in enumerate(rows) if i // 2 % 5 == fold):
-            host, _, path = url.removeprefix("https://").partition("/")
-            right += (model.score(host, "/" + path) >= 0.5) == bool(label)
-    assert right / len(rows) > 0.75
+    """Names that the table hasn't, on hosts and paths that it hasn't: stems with other words around them."""
+    from emberlens.llm.urls import ALLOW_STEMS, AROUND, BLOCK_STEMS, fit_urls, labelled_urls
+
+    for k in range(2):
+        model = fit_urls(labelled_urls([x for i, x in enumerate(AROUND) if i % 4 != k]))
+        new = [x for i, x in enumerate(AROUND) if i % 4 == k] + ["{}s-4u", "super{}", "{}-online"]
+        score = lambda stems: np.array([model.score(a.format(x) + ".test.org", "/x/1") for x in stems for a in new])  # noqa: B023, E731
+        assert (score(BLOCK_STEMS) >= 0.5).mean() >= 0.95 and (score(ALLOW_STEMS) < 0.5).mean() >= 0.9
+    model = fit_urls(labelled_urls())
+    assert all(model.score(f"{x}.com", "/") >= 0.5 for x in ("viagra", "onlinepoker", "porn", "xxx")) and all(model.score(f"{x}.com", "/") < 0.5 for x in ("cheap-flights", "university", "nytimes"))
 
 
 @pytest.mark.parametrize("blocks", [(512, 4096), (3, 7)])
