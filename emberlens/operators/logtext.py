@@ -5,6 +5,8 @@ Lines come as (file, line, value) and any columns that path_facts adds. Windows
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,12 +15,43 @@ from ..functions.text import Pattern, first_match, matched_fields, size_to_bytes
 from ..sources.eventlog import read_lines, with_line_numbers
 from .timesplit import single_owner
 
-#: Header layouts: name, expression of (time, level, logger, thread, message) with an empty group where a layout lacks one, and the time's format.
-HEADERS = (
-    ("spark", r"^(\d\d/\d\d/\d\d \d\d:\d\d:\d\d) (TRACE|DEBUG|INFO|WARN|ERROR|FATAL) ([\w.$]+):()\s?(.*)$", "yy/MM/dd HH:mm:ss"),
-    ("iso-thread", r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d[,.]\d{3}) (TRACE|DEBUG|INFO|WARN|ERROR|FATAL)\s+\[([^\]]*)\] ()([\w.$]+: .*)$", "yyyy-MM-dd HH:mm:ss"),
-    ("iso", r"^(\d{4}-\d\d-\d\d[ T]\d\d:\d\d:\d\d(?:[,.]\d{3})?) (TRACE|DEBUG|INFO|WARN|ERROR|FATAL)\s+([\w.$]+)()(?: \([^)]*\))?:?\s?(.*)$", "yyyy-MM-dd HH:mm:ss"),
+#: Header layouts as log4j conversion patterns: name, pattern, and the format of its times. %d, %p, %c, %t and %m stand for time, level, logger, thread and message; what is in parentheses may be missing.
+LAYOUTS = (
+    ("spark", "%d %p %c: %m", "yy/MM/dd HH:mm:ss"),
+    ("level-thread", "%d %p [%t] %c: %m", "yyyy-MM-dd HH:mm:ss"),
+    ("thread-level", "%d [%t] %p %c - %m", "yyyy-MM-dd HH:mm:ss"),
+    ("controller", "%dZ %p %m", "yyyy-MM-dd HH:mm:ss"),
+    ("iso", "%d %p %c( (%t))(:)%m", "yyyy-MM-dd HH:mm:ss"),
 )
+_LEVELS = ("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL")
+_FIELDS = {"%p": f"({'|'.join(_LEVELS)})", "%c": r"([\w.$]+)", "%t": r"([^\]]*)", "%m": r"\s?(.*)"}
+
+
+def layout_regex(pattern: str, time_format: str) -> tuple[str, tuple[str, ...]]:
+    """A conversion pattern as a regular expression, and the fields of its groups in order. Digits of a time may be followed by milliseconds; spaces are one or more."""
+    time = "".join(r"\d" if c.isalpha() else {" ": "[ T]"}.get(c, re.escape(c)) for c in time_format) + ("" if time_format.startswith("yy/") else r"(?:[,.]\d{3})?")
+    out, fields = "^", []
+    for part in re.split(r"( ?%m|%[dpct]|\( \(%t\)\)|\(:\)| )", pattern):
+        if part == "%d":
+            out += f"({time})"
+        elif part == "( (%t))":
+            out += r"(?: \(([^)]*)\))?"
+        elif part == "(:)":
+            out += ":?"
+        elif part == " ":
+            out += r"\s+"
+        elif part.strip() in _FIELDS:
+            out += _FIELDS[part.strip()]
+        else:
+            out += re.escape(part)
+        found = re.search("%([dpctm])", part)
+        if found:
+            fields.append(found[1])
+    return out + "$", tuple(fields)
+
+
+#: Each layout with its expression, the fields of its groups, and the time's format.
+HEADERS = tuple((name, *layout_regex(pattern, form), form) for name, pattern, form in LAYOUTS)
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -27,35 +60,31 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def path_facts(lines: DataFrame) -> DataFrame:
-    """kind, app, container, executor and host, as far as a path names them."""
+    """kind, app, container, executor, host, step and instance, as far as a path names them."""
     f = F.col("file")
     none = lambda c: F.nullif(c, F.lit(""))
     container = none(F.regexp_extract(f, r"(container_(?:e\d+_)?\d+_\d+_\d+_\d+)", 1))
     app = none(F.regexp_extract(f, r"((?:application_\d+_\d+)|(?:app-\d+-\d+))", 1))
     from_container = F.concat(F.lit("application_"), F.regexp_extract(container, r"container_(?:e\d+_)?(\d+_\d+)_", 1))
-    kind = F.when(f.rlike("(?i)master"), "master").when(f.rlike("(?i)worker"), "worker").when(f.rlike("(?i)(regionserver|hmaster|hbase)"), "store").when(f.rlike("(?i)resourcemanager"), "resource-manager").when(f.rlike("(?i)nodemanager"), "node-manager").when(f.rlike("(?i)driver"), "driver").when(container.isNotNull() | f.rlike(r"/\d+/std(err|out)"), "executor").otherwise("other")
+    step = none(F.regexp_extract(f, r"/steps/(s-[A-Z0-9]+)/", 1))
+    kind = F.when(step.isNotNull() & f.rlike(r"/controller[^/]*$"), "step-controller").when(step.isNotNull(), "step").when(f.rlike("(?i)master"), "master").when(f.rlike("(?i)worker"), "worker").when(f.rlike("(?i)(regionserver|hmaster|hbase)"), "store").when(f.rlike("(?i)resourcemanager"), "resource-manager").when(f.rlike("(?i)nodemanager"), "node-manager").when(f.rlike("(?i)driver"), "driver").when(container.isNotNull() | f.rlike(r"/\d+/std(err|out)"), "executor").otherwise("other")
     executor = none(F.regexp_extract(f, r"/(?:executor-)?(\d+)/std(?:err|out)", 1))
-    return lines.withColumns({"kind": kind, "app": F.coalesce(app, from_container), "container": container, "executor": executor, "host": none(F.regexp_extract(f, r"((?:ip-\d+-\d+-\d+-\d+)[\w.]*)", 1))})
+    return lines.withColumns({"kind": kind, "app": F.coalesce(app, from_container), "container": container, "executor": executor, "host": none(F.regexp_extract(f, r"((?:ip-\d+-\d+-\d+-\d+)[\w.]*)", 1)), "step": step, "instance": none(F.regexp_extract(f, r"/(i-[0-9a-f]{8,17})/", 1))})
 
 
 def parse_header(lines: DataFrame, zone: str = "UTC") -> DataFrame:
     """t, level, logger (its last part), thread and msg of lines that begin an entry; null on others. Times without a zone are read in the given one."""
     v = F.col("value")
-    t, level, logger, thread, msg = (F.lit(None).cast("string") for _ in range(5))
+    level, logger, thread, msg = (F.lit(None).cast("string") for _ in range(4))
     when = F.lit(None).cast("timestamp")
-    for name, regex, form in reversed(HEADERS):
+    utc = F.col("kind") == "step-controller" if "kind" in lines.columns else F.lit(False)  # whatever the others' zone
+    for _, regex, fields, form in reversed(HEADERS):
         hit = v.rlike(regex)
-        get = lambda i, r=regex: F.regexp_extract(v, r, i)
-        stamp = F.substring(F.translate(get(1), "T,", " ."), 1, 19 if name != "spark" else 17)
-        when = F.when(hit, F.to_utc_timestamp(F.try_to_timestamp(stamp, F.lit(form)), zone)).otherwise(when)
-        level = F.when(hit, get(2)).otherwise(level)
-        if name == "iso-thread":
-            logger = F.when(hit, F.regexp_extract(get(5), r"^([\w.$]+):", 1)).otherwise(logger)
-            thread = F.when(hit, get(3)).otherwise(thread)
-            msg = F.when(hit, F.regexp_replace(get(5), r"^[\w.$]+: ", "")).otherwise(msg)
-        else:
-            logger = F.when(hit, get(3)).otherwise(logger)
-            msg = F.when(hit, get(5)).otherwise(msg)
+        get = lambda f, r=regex, g=fields: F.nullif(F.regexp_extract(v, r, g.index(f) + 1), F.lit("")) if f in g else F.lit(None).cast("string")
+        stamp = F.try_to_timestamp(F.substring(F.translate(get("d"), "T,", " ."), 1, len(form)), F.lit(form))
+        when = F.when(hit, F.when(utc, stamp).otherwise(F.to_utc_timestamp(stamp, zone))).otherwise(when)
+        level, logger, thread = F.when(hit, get("p")).otherwise(level), F.when(hit, get("c")).otherwise(logger), F.when(hit, get("t")).otherwise(thread)
+        msg = F.when(hit, F.coalesce(get("m"), F.lit(""))).otherwise(msg)
     return lines.withColumns({"t": when, "level": level, "logger": F.regexp_replace(logger, r"^.*[.$]", ""), "thread": thread, "msg": msg})
 
 
@@ -102,19 +131,41 @@ LINE_KINDS = (
     Pattern("class-missing", "Class", r"(?:ClassNotFoundException|NoClassDefFoundError|NoSuchMethodError)[: ]+([\w.$/]+)", ("name",)),
     Pattern("executor-exit", "exited with code", r"Executor (\S+) .*exited with code (\d+)", ("executor", "code")),
     Pattern("executor-lost", "Lost executor", r"Lost executor (\S+) on ([^:]+): (.*)", ("executor", "host", "reason")),
-    Pattern("container-exit", "exit", r"(?:Exit code|exitCode|exit status)[ :=]+(-?\d+)", ("code",)),
     Pattern("fetch-failed", "FetchFailed", r"FetchFailed\((.*)", ("what",)),
     Pattern("stage-failed", "failed", r"^(?:ShuffleMapStage|ResultStage) (\d+) \((.*)\) failed in ([\d.]+) s", ("stage", "name", "seconds")),
     Pattern("spill", "spilling", r"(?:Task (\d+) spilling|spilling in-memory).*?(?:of|map of) ([\d.]+ [KMGT]?i?B)", ("task", "size")),
     Pattern("not-cached", "Not enough space to cache", r"Not enough space to cache (\S+) in memory", ("block",)),
     Pattern("slow-heartbeat", "heartbeat", r"(?i)no recent heartbeats?: (\d+) ms", ("ms",)),
     Pattern("executor-request", "Requesting", r"[Rr]equesting (\d+) new executors?", ("n",)),
+    Pattern("app-exit", "Final app status", r"^Final app status: (\w+), exitCode: (-?\d+)(?:, \(reason: (.*)\))?", ("status", "code", "reason")),
+    Pattern("attempt-exit", "with final state", r"^Updating application attempt appattempt_\d+_\d+_0*(\d+) with final state: (\w+), and exit status: (-?\d+)", ("attempt", "status", "code")),
+    Pattern("app-summary", "finalStatus=", r"^appId=(application_\d+_\d+),.*?\buser=([^,]*).*?\bqueue=([^,]*).*?\bfinalStatus=(\w+)", ("app", "user", "queue", "status")),
+    Pattern("app-report", "Application report for", r"^Application report for (application_\d+_\d+) \(state: (\w+)\)", ("app", "state")),
+    Pattern("submitted", "Submitted application", r"^Submitted application (application_\d+_\d+)", ("app",)),
+    Pattern("resource", "Uploading resource", r"^Uploading resource (\S+) -> ", ("name",)),
+    Pattern("localized", "-> resource {", r"^\s*([\w.+-]+) -> resource \{", ("name",)),
+    Pattern("submit", "startExec", r"^startExec '(.*)'$", ("command",)),
+    Pattern("step-status", "with exitCode", r"^Step (succeeded|failed|cancelled) with exitCode (-?\d+) and took (\d+) seconds", ("status", "code", "seconds")),
+    Pattern("bootstrap", "bootstrap action", r"^(i-\w+): (?:failed to start\. bootstrap action (\d+) failed|all bootstrap actions complete)", ("instance", "action")),
+    Pattern("task-error", "in stage", r"^(?:Lost|Exception in) task (\S+) in stage (\S+) \(TID (\d+)\)", ("task", "stage", "id")),
+    Pattern("signal", "RECEIVED SIGNAL", r"^RECEIVED SIGNAL (\w+)", ("signal",)),
+    Pattern("metastore", "etastore", r"(Trying to connect to metastore with URI|Opened a connection to metastore|Unable to instantiate \S*Metastore)", ("what",)),
+    Pattern("node-capacity", "vCores:", r"registered with capability: <memory:(\d+), vCores:(\d+)|total resource of <memory:(\d+), vCores:(\d+)", ("memory", "cores", "memory_mb", "vcores")),
+    Pattern("worker-capacity", "Starting Spark worker", r"^Starting Spark worker (\S+):\d+ with (\d+) cores, ([\d.]+ [KMGT]?i?B) RAM", ("host", "cores", "memory")),
+    Pattern("container-assigned", "Assigned container", r"^Assigned container (\S+) of capacity <memory:(\d+)[^>]*?vCores:(\d+)[^>]*> on host ([^\s:,]+)", ("container", "memory", "cores", "host")),
+    Pattern("yarn-request", "executor container(s)", r"^Will request (\d+) executor container\(s\) for\s+ResourceProfile Id: (\d+), each with (\d+) core\(s\) and (\d+) MB memory", ("n", "profile", "cores", "memory")),
+    Pattern("driver-host", "BlockManagerId(driver", r"^Registered BlockManager BlockManagerId\(driver, ([^,\s]+),", ("host",)),
+    Pattern("executor-host", "Starting executor ID", r"^Starting executor ID (\S+) on host (\S+)$", ("executor", "host")),
+    Pattern("node-state", "node state updated", r"^Yarn node state updated for host (\S+) to (\w+)", ("host", "state")),
+    Pattern("container-exit", "exit", r"(?:Exit code|exitCode|exit status)[ :=]+(-?\d+)", ("code",)),
+    Pattern("traceback", "Traceback", r"^Traceback \(most recent call last\)"),
+    Pattern("exception", "", r"^(?:Caused by: |Exception in thread \"[^\"]*\" )?((?:[A-Za-z_$][\w$]*\.)+[A-Z][\w$]*(?:Exception|Error|Throwable|Failure)[\w$]*)(?::|$)", ("class",)),
 )
 
 
 def classify(headed: DataFrame) -> DataFrame:
-    """Lines of a known kind with their fields; a kind's severity is its level's."""
-    kind = first_match(F.coalesce("msg", "value"), LINE_KINDS)
+    """Lines of a known kind with their fields, and other lines of level ERROR or FATAL as error; a kind's severity is its level's."""
+    kind = F.coalesce(first_match(F.coalesce("msg", "value"), LINE_KINDS), F.when(F.col("level").isin("ERROR", "FATAL"), "error"))
     hits = headed.withColumn("hit", kind).filter("hit is not null")
     return hits.withColumn("fields", matched_fields(F.coalesce("msg", "value"), F.col("hit"), LINE_KINDS))
 
