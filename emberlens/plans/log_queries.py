@@ -335,6 +335,7 @@ _RULES_SQL = f"""{_EXEC_SQL}, w AS (SELECT app_id, stage_id, {_SUMS}, CAST(sum(p
     g AS (SELECT app_id, sum(run_ms) AS run_ms, sum(disk_spill) AS spill, sum(shuffle_write_bytes) AS wrote, sum(speculative) AS spec, sum(scheduler_delay_ms) AS delay, sum(duration_ms) AS took FROM w GROUP BY 1),
     late AS (SELECT DISTINCT app_id, task_id FROM t WHERE ln % 3 > 0),
     f AS (SELECT j.app_id, 'job-failed' AS rule, CASE WHEN apps.state = 'failed' THEN 'critical' ELSE 'warning' END AS severity FROM j JOIN apps USING (app_id) WHERE s = 'P' QUALIFY row_number() OVER (PARTITION BY j.app_id ORDER BY job_id) <= 5
+    UNION ALL SELECT DISTINCT app_id, 'large-results', 'warning' FROM w WHERE duration_ms * 10 >= 536870912
     UNION ALL SELECT app_id, 'memory-spill', 'warning' FROM g WHERE spill > 0 AND (wrote = 0 OR spill > 0.1 * wrote)
     UNION ALL SELECT app_id, 'speculation', 'info' FROM g WHERE spec > 0
     UNION ALL SELECT app_id, 'scheduler-delay', 'warning' FROM g WHERE run_ms >= 60000 AND delay > 0.2 * took
@@ -358,7 +359,7 @@ def log_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines = lines.unionByName(x)
     tables = gold_tables(lines, store=f"{shared_dir(spark)}/events-{uuid.uuid4().hex}")
     wanted = {k: v for k, v in tables.items() if k in ("jobs", "applications", "stage_totals", "executors", "exclusions", "running_tasks", "settings")}
-    return findings(wanted).filter(F.col("rule") != "large-results").select("app_id", "rule", "severity").distinct()
+    return findings(wanted).select("app_id", "rule", "severity").distinct()
 
 
 @query(
@@ -450,14 +451,14 @@ def log_worth_a_look(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {TASKS_SQL}, w AS (SELECT app_id, stage_id, CAST(sum(pk * 10 + p * 6) AS BIGINT) AS moved, CAST(sum(CASE WHEN d > 6 THEN q * 1000 ELSE 0 END) AS BIGINT) AS spill FROM t GROUP BY ALL),
+    f"""WITH {TASKS_SQL}, {JOBS_SQL}, w AS (SELECT app_id, stage_id, CAST(sum(pk * 10 + p * 6) AS BIGINT) AS moved, CAST(sum(CASE WHEN d > 6 THEN q * 1000 ELSE 0 END) AS BIGINT) AS spill FROM t GROUP BY ALL),
     o AS (SELECT app_id, stage_id, max(p) - quantile_disc(p, 0.5) AS over FROM t WHERE status = 'succeeded' GROUP BY ALL HAVING count(*) >= 3), h AS (SELECT app_id, host, CAST(sum(p) AS BIGINT) AS took FROM t GROUP BY ALL),
     n AS (SELECT app_id, 'mover' AS note, 'stage ' || stage_id || '.0' AS what, moved AS value FROM w UNION ALL SELECT app_id, 'spill', 'stage ' || stage_id || '.0', spill FROM w UNION ALL SELECT app_id, 'straggler', 'stage ' || stage_id || '.0', over FROM o WHERE over >= 1000
-    UNION ALL SELECT app_id, 'busiest-host', host, took FROM h) SELECT app_id, note, what, value FROM n WHERE value > 0 QUALIFY row_number() OVER (PARTITION BY app_id, note ORDER BY value DESC, what) = 1"""
+    UNION ALL SELECT app_id, 'busiest-host', host, took FROM h UNION ALL SELECT app_id, 'longest-stage', 'stage ' || job_id || '.0', completed - submitted FROM j WHERE completed IS NOT NULL) SELECT app_id, note, what, value FROM n WHERE value > 0 QUALIFY row_number() OVER (PARTITION BY app_id, note ORDER BY value DESC, what) = 1"""
 )
 def log_run_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = _tasks(spark, sf_dir)
     lines, _ = _jobs(spark, sf_dir)
     totals = S.stage_totals(tasks)
     stages = S.stages(X.stage_events(lines), totals, X.app_ends(L.app_lines(L.order_rows(spark, sf_dir))))
-    return U.run_notes(stages, totals, S.stage_dist(tasks), U.host_totals(tasks)).filter("note <> 'longest-stage'").select("app_id", "note", "what", "value")
+    return U.run_notes(stages, totals, S.stage_dist(tasks), U.host_totals(tasks)).select("app_id", "note", "what", "value")

@@ -8,7 +8,7 @@ from emberlens.plans import kernel_queries, log_queries
 SF = "/root/testdata/sf0.001"
 LIGHT = (
     "log_stage_totals", "log_task_failures", "log_running_tasks", "log_jobs", "log_job_stage", "log_block_kinds", "log_cached_blocks", "log_exclusions", "log_settings", "log_components", "log_plan_nodes", "log_sql_ends",
-    "log_event_counts", "log_driver_events", "log_rebuilt_tasks", "log_task_steps", "log_file_times", "log_memory_config", "log_stage_spill", "log_host_totals", "log_io_totals", "log_executor_heat", "masked_secrets", "part_sizes", "exit_codes",
+    "log_event_counts", "log_driver_events", "log_rebuilt_tasks", "log_task_steps", "log_file_times", "log_memory_config", "log_stage_spill", "log_host_totals", "log_io_totals", "log_executor_heat", "masked_secrets", "part_sizes", "exit_codes", "log_run_notes", "log_findings",
 )
 
 
