@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_dir
@@ -13,9 +15,35 @@ from ..sources.shared import shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_RECORDS: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables that are staged within, in a list."""
+    made: list[str] = []
+    _RECORDS.append(made)
+    try:
+        yield made
+    finally:
+        _RECORDS.remove(made)
+
+
+def release(spark: SparkSession, paths: list[str], still_read: DataFrame) -> None:
+    """Deletes staged tables, but those that still_read reads."""
+    in_use = "\n".join(still_read.inputFiles())
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        if path.rsplit("/", 1)[-1] not in in_use:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends there, and a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    for made in _RECORDS:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
