@@ -172,6 +172,23 @@ def test_containing_and_overlap_match_all_pairs(spark):
     assert got == sorted([("a", 1, 5, 10), ("b", 1, 50, 20), ("a", 1, 60, None), ("a", None, 5, 10), ("a", 2, 5, 10)], key=str)
 
 
+def test_points_look_up_no_exploded_intervals(spark):
+    """Intervals lie in two slots at most, however long, and nothing that is looked up is broadcast but the row of levels."""
+    from pyspark.sql import functions as F
+
+    from emberlens.operators import intervals as I
+
+    b = spark.range(3000).select((F.col("id") % 3).alias("k"), F.col("id").alias("of"), (F.col("id") * 37 % 5000).alias("s")).withColumn("e", F.col("s") + F.when(F.col("of") % 50 == 0, 10**12 + F.col("of")).otherwise(F.col("of") % 90 * 11))
+    points = spark.range(900).select((F.col("id") % 3).alias("k"), "id", (F.col("id") * 53 % 6000).alias("t"))
+    out = I.latest_containing(points, b, ["k"], "t", "s", "e", ["of"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("BroadcastNestedLoopJoin") <= 1, plan
+    rows = b.collect()
+    for x in out.collect():
+        held = [(-y.s, y.of) for y in rows if y.k == x.k and y.s <= x.t <= y.e]
+        assert x.of == (min(held)[1] if held else None), x
+
+
 def test_slots_and_batches_walk_every_key_alone(spark):
     from emberlens.operators import intervals as I
 
