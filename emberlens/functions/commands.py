@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import MASK, SENSITIVE, redact_args, redact_text
+from .text import MASK, SENSITIVE, once, redact_args, redact_text
 
 #: A word: plain characters, escaped ones, and quoted runs; an open quote runs to the end. Nothing is read twice.
 WORD = r"""(?s)(?:[^\s"'\\]++|\\.|\\$|"(?:[^"\\]++|\\.)*+(?:"|\\?$)|'[^']*+(?:'|$))++"""
@@ -37,12 +37,17 @@ def redact_command(command: Column) -> Column:
 
 def submitted_script(command: Column) -> Column:
     """What a spark-submit command runs: its first word that is neither an option nor an option's value. Null without one."""
-    words = command_words(command)
-    submit = F.array_position(F.transform(words, lambda w: F.regexp_extract(w, r"([^/]*)$", 1)), F.lit("spark-submit")).cast("int")
-    rest = F.when(submit > 0, F.slice(words, F.greatest(submit, F.lit(1)), F.size(words))).otherwise(words)
-    before = lambda i: F.get(rest, i - 1)
-    valued = lambda i: before(i).startswith("-") & ~before(i).isin(*FLAGS) & ~before(i).contains("=")
-    return F.get(F.filter(rest, lambda w, i: (i > 0) & ~w.startswith("-") & ~F.coalesce(valued(i), F.lit(False))), F.lit(0))
+
+    def first(rest: Column) -> Column:
+        valued = lambda w: w.startswith("-") & ~w.isin(*FLAGS) & ~w.contains("=")
+        own = F.filter(rest, lambda w, i: (i > 0) & ~w.startswith("-") & ~F.coalesce(valued(F.get(rest, i - 1)), F.lit(False)))
+        return F.get(own, F.lit(0))
+
+    def after_submit(words: Column) -> Column:
+        submit = F.array_position(F.transform(words, lambda w: F.regexp_extract(w, r"([^/]*)$", 1)), F.lit("spark-submit")).cast("int")
+        return F.slice(words, F.greatest(submit, F.lit(1)), F.size(words))
+
+    return once(once(command_words(command), after_submit), first)
 
 
 def redact_json(value: Column) -> Column:

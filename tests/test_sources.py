@@ -196,6 +196,23 @@ def test_words_and_scripts_of_commands(spark):
     assert rows[plain[1]].s == "/a b/c.jar" and rows[plain[7]].s == "job.py" and rows[plain[8]].s == "job.py" and rows["a b  c"].s == "b" and rows[""].s is None
 
 
+def test_words_of_a_command_are_found_once(spark):
+    """Long commands take time in proportion to their words."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from emberlens.functions import commands as C
+
+    long = "spark-submit " + " ".join(f"--opt{i} 'v {i}'" for i in range(400)) + " --my-secret x job.py"
+    df = spark.createDataFrame([(c,) for c in ["spark-submit --password x job.py", *[long] * 4]], "c string").coalesce(1).select(C.redact_command(F.col("c")).alias("c"), C.submitted_script(F.col("c")).alias("s"))
+    assert df.first() == ("spark-submit --password [redacted] job.py", "job.py")
+    began = time.time()
+    out = df.collect()
+    assert time.time() - began < 10
+    assert {x.s for x in out} == {"job.py"} and all(x.c == long.replace("'", '"').replace("secret x", "secret [redacted]") for x in out[1:])
+
+
 def test_json_is_masked_at_any_depth(spark):
     import json
 
