@@ -29,3 +29,15 @@ def test_query_equals_its_sql(spark, tables, name):
     want = tables.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in cols)} FROM ({kernel_queries.SQL[name]})").fetchall()
     assert sorted(map(repr, (tuple(r) for r in out.select(*cols).collect()))) == sorted(map(repr, want))
     assert want
+
+
+def test_a_share_of_unknown_heap_is_unknown(spark):
+    from emberlens.operators import extract as X
+    from emberlens.operators import memory as M
+
+    keys = "app_id string, attempt int, executor_id string, "
+    peaks = spark.createDataFrame([(app, 1, "1", *[1 << 20] * len(X.GAUGES)) for app in ("a", "b")], keys + ", ".join(f"{g} bigint" for g in X.GAUGES))
+    totals = spark.createDataFrame([("a", 1, "1", 5, 10), ("b", 1, "1", 5, 10)], keys + "gc_ms bigint, run_ms bigint")
+    config = spark.createDataFrame([("a", 1, 1 << 21, 1 << 30)], "app_id string, attempt int, heap bigint, driver_heap bigint")
+    got = {x.app_id: (x.heap, x.heap_share, x.gc_share) for x in M.memory_use(peaks, totals, config).collect()}
+    assert got == {"a": (1 << 21, 0.5, 0.5), "b": (None, None, 0.5)}
