@@ -41,3 +41,10 @@ def test_a_share_of_unknown_heap_is_unknown(spark):
     config = spark.createDataFrame([("a", 1, 1 << 21, 1 << 30)], "app_id string, attempt int, heap bigint, driver_heap bigint")
     got = {x.app_id: (x.heap, x.heap_share, x.gc_share) for x in M.memory_use(peaks, totals, config).collect()}
     assert got == {"a": (1 << 21, 0.5, 0.5), "b": (None, None, 0.5)}
+
+
+def test_rows_of_one_instant_are_one_session(spark):
+    """The SQL of sessions, where ids run against the rows' order within an instant."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT 1000 - i AS event_id, i % 3 AS user_id, 'click' AS event_type, TIMESTAMP '2024-01-01' + to_hours(CAST(i // 30 * 12 AS INTEGER)) AS ts FROM range(300) r(i)")
+    assert sorted(con.execute(f"SELECT user_id, n FROM ({kernel_queries.SQL['sessions']})").fetchall()) == [(u, 10) for u in range(3) for _ in range(10)]
