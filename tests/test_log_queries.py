@@ -48,3 +48,18 @@ def test_rows_of_one_instant_are_one_session(spark):
     con = duckdb.connect()
     con.execute("CREATE TABLE events AS SELECT 1000 - i AS event_id, i % 3 AS user_id, 'click' AS event_type, TIMESTAMP '2024-01-01' + to_hours(CAST(i // 30 * 12 AS INTEGER)) AS ts FROM range(300) r(i)")
     assert sorted(con.execute(f"SELECT user_id, n FROM ({kernel_queries.SQL['sessions']})").fetchall()) == [(u, 10) for u in range(3) for _ in range(10)]
+
+
+def _plan(spark, name):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100")
+    return kernel_queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_are_written_once(spark):
+    assert _plan(spark, "log_stage_totals").count("StructsToJsonEvaluator(Map(") == 1
+
+
+def test_plans_are_walked_once_and_not_joined(spark):
+    nodes, data = _plan(spark, "log_plan_nodes"), _plan(spark, "log_plan_data")
+    assert "Join" not in nodes and "Aggregate" not in nodes, nodes
+    assert data.count("MapInArrow") == 1 and "strategy=merge" in data, data
