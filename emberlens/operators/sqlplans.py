@@ -25,29 +25,33 @@ def plan_data_refs(nodes: DataFrame, plans: DataFrame) -> DataFrame:
     A scan names its table, its JDBC relation or, in its metadata, its path; scans of memory aren't data. A write's target is in its text or, where
     that is bare, on the node's line of arguments in the formatted plan.
     """
-    scan = nodes.filter(F.col("name").startswith("Scan ")).withColumn("format", F.regexp_extract("name", r"^Scan (\S*)", 1)).withColumn("target", F.trim(F.regexp_extract("name", r"^Scan \S* ?(.*)$", 1)))
+    command = F.regexp_replace("name", "^Execute ", "")
+    # One pass over the nodes, as they come out of Python; the texts of plans, which have no bound, are never broadcast.
+    texts = plans.filter("plan_text is not null").select(*KEY, "execution_id", "plan_text").hint("merge")
+    wanted = nodes.withColumn("command", command).withColumn("scans", F.col("name").startswith("Scan ")).filter(F.col("scans") | F.col("command").isin(*WRITES))
+    rows = wanted.select(*KEY, "execution_id", "name", "text", "metadata", "command", "scans").join(texts, [*KEY, "execution_id"], "left")
+    rows = rows.withColumn("format", F.regexp_extract("name", r"^Scan (\S*)", 1)).withColumn("target", F.trim(F.regexp_extract("name", r"^Scan \S* ?(.*)$", 1)))
     jdbc = F.regexp_extract("format", r"^JDBCRelation\((.*?)\)?$", 1)
     path = F.regexp_extract(F.coalesce(F.col("metadata")["Location"], F.lit("")), r"\[([^\[\]]+)\]\s*$", 1)
     named = (F.col("target") != "") & ~F.col("target").startswith("[")
-    kind = F.when((jdbc != "") | named, "table").when(path != "", "path")
-    name = F.when(jdbc != "", jdbc).when(named, F.col("target")).otherwise(path)
-    reads = scan.filter(~F.col("format").isin(*_NOT_DATA) & ((jdbc != "") | ~F.col("format").contains("("))).select(
-        *KEY, "execution_id", F.lit("read").alias("access"), kind.alias("kind"), name.alias("name"), F.when(jdbc != "", "jdbc").otherwise(F.lower("format")).alias("format"), F.col("name").alias("node_name")
+    read = F.struct(
+        F.lit("read").alias("access"), F.when((jdbc != "") | named, "table").when(path != "", "path").alias("kind"), F.when(jdbc != "", jdbc).when(named, F.col("target")).otherwise(path).alias("name"),
+        F.when(jdbc != "", "jdbc").otherwise(F.lower("format")).alias("format"), F.col("name").alias("node_name"),
     )
-    command = F.regexp_replace("name", "^Execute ", "")
+    is_read = ~F.col("format").isin(*_NOT_DATA) & ((jdbc != "") | ~F.col("format").contains("("))
     own = F.trim(F.expr("substring(text, length(name) + 1)"))
     after = F.expr("substring(plan_text, locate(concat(') ', name, '\n'), plan_text))")
     line = F.when(F.expr("locate(concat(') ', name, '\n'), plan_text) > 0"), F.regexp_extract(after, r"Arguments: ([^\n]*)", 1)).otherwise("")
-    writers = nodes.filter(command.isin(*WRITES)).join(plans.select(*KEY, "execution_id", "plan_text"), [*KEY, "execution_id"], "left")
-    args = writers.withColumn("command", command).withColumn("args", F.when(own != "", own).otherwise(line))
+    rows = rows.withColumn("args", F.when(~F.col("scans"), F.when(own != "", own).otherwise(line)))
     table = F.regexp_replace(F.regexp_extract("args", r"(`[^`]+`(?:\.`[^`]+`)*)", 1), "`", "")
     to_path = F.col("command") == "InsertIntoHadoopFsRelationCommand"
     rest = F.regexp_replace(F.regexp_replace("args", r"^[^,]*, [^,]*, ", ""), r"^\[[^\]]*\], ", "")
-    writes = args.filter((table != "") | to_path).select(
-        *KEY, "execution_id", F.lit("write").alias("access"), F.when(table != "", "table").otherwise("path").alias("kind"), F.when(table != "", table).otherwise(F.regexp_extract("args", r"^([^,]*)", 1)).alias("name"),
+    write = F.struct(
+        F.lit("write").alias("access"), F.when(table != "", "table").otherwise("path").alias("kind"), F.when(table != "", table).otherwise(F.regexp_extract("args", r"^([^,]*)", 1)).alias("name"),
         F.when((table == "") & to_path, F.lower(F.regexp_extract(rest, r"^([^,]*)", 1))).alias("format"), F.col("name").alias("node_name"),
     )
-    refs = reads.unionByName(writes).filter("name is not null and name <> ''").withColumn("name", redact_text(F.col("name")))
+    ref = F.when(F.col("scans"), F.when(is_read, read)).otherwise(F.when((table != "") | to_path, write))
+    refs = rows.select(*KEY, "execution_id", F.inline(F.array_compact(F.array(ref)))).filter("name is not null and name <> ''").withColumn("name", redact_text(F.col("name")))
     return refs.dropDuplicates([*KEY, "execution_id", "access", "kind", "name"])
 
 
