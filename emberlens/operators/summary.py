@@ -45,9 +45,8 @@ def data_refs(refs: DataFrame) -> DataFrame:
 def executor_heat(stage_executor: DataFrame, measure: str) -> DataFrame:
     """A measure of each stage attempt on each executor, and how many times the middle executor's of that stage it is; null where that is 0."""
     keys = [*KEY, "stage_id", "stage_attempt"]
-    middle = stage_executor.groupBy(*keys).agg(F.expr(f"percentile({measure}, 0.5)").alias("middle"))
-    rows = stage_executor.select(*keys, "executor_id", F.col(measure).alias("v")).join(middle, keys)
-    return rows.withColumn("times", F.when(F.col("middle") > 0, F.col("v") / F.col("middle")))
+    rows = stage_executor.select(*keys, "executor_id", F.col(measure).alias("v")).dropna(subset=keys)
+    return rows.withColumn("middle", F.percentile("v", F.lit(0.5)).over(W.partitionBy(*keys))).withColumn("times", F.when(F.col("middle") > 0, F.col("v") / F.col("middle")))
 
 
 def worth_a_look(stages: DataFrame, totals: DataFrame, on_path: DataFrame | None = None) -> DataFrame:
