@@ -63,3 +63,16 @@ def test_plans_are_walked_once_and_not_joined(spark):
     nodes, data = _plan(spark, "log_plan_nodes"), _plan(spark, "log_plan_data")
     assert "Join" not in nodes and "Aggregate" not in nodes, nodes
     assert data.count("MapInArrow") == 1 and "strategy=merge" in data, data
+
+
+@pytest.mark.parametrize("name", ["log_task_ends", "log_stage_dist", "log_executor_heat"])
+def test_lines_are_parsed_once(spark, name):
+    assert _plan(spark, name).count("from_json(") == 1
+
+
+def test_lines_without_fields_keep_their_row(spark):
+    from emberlens.operators import extract as X
+
+    lines = [("a", 1, 0, "f", k, "SparkListenerApplicationEnd", v) for k, v in enumerate((None, "{", "{}", '{"Timestamp": 7}'))]
+    events = spark.createDataFrame(lines, "app_id string, attempt int, part long, file string, line long, event string, value string")
+    assert sorted((x.line, x.t) for x in X.app_ends(events).collect()) == [(0, None), (1, None), (2, None), (3, 7)]
