@@ -70,20 +70,29 @@ def regions(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return low[start], start, size, times > 1
 
 
+def _places(n: int) -> type[np.signedinteger]:
+    """Type of places in a text of n symbols: two of them can be added."""
+    return np.int32 if n < 1 << 30 else np.int64
+
+
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """Suffixes of symbols (0 to 256) in order, by doubling: a rank is the first place of a suffix's group, and only groups of several are sorted on."""
     n = len(symbols)
-    padded = np.concatenate([symbols.astype(np.int64), np.zeros(7, np.int64)])
+    kind = _places(n)
+    padded = np.concatenate([symbols.astype(np.int16), np.zeros(7, np.int16)])
     key = np.zeros(n, np.int64)
     for i in range(7):
-        key = key * 257 + padded[i : i + n]
+        key *= 257
+        key += padded[i : i + n]
     order, done = np.argsort(key), 7
     key = key[order]
+    order = order.astype(kind)
     first = np.concatenate(([True], key[1:] != key[:-1]))
-    places = np.arange(n)
-    head = np.maximum.accumulate(np.where(first, places, 0))
-    rank = np.empty(n + 1, np.int64)
-    rank[order], rank[n] = head + 1, 0
+    places = np.arange(n, dtype=kind)
+    head = np.maximum.accumulate(np.where(first, places, kind(0)))
+    rank = np.empty(n + 1, kind)
+    rank[order], rank[n] = head + kind(1), 0
+    del key, head
     while True:
         alone = first & np.append(first[1:], True)
         slots = places[~alone]
@@ -91,25 +100,29 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
             return order
         at = order[slots]
         # One number for the group and the rank of what follows; a suffix that ends there comes first.
-        key = rank[at] * (n + 2) + rank[np.minimum(at + done, n)]
+        key = rank[at].astype(np.int64)
+        key *= n + 2
+        key += rank[np.minimum(at + kind(done), kind(n))]
         by = np.argsort(key)
-        key, at = key[by], at[by]
+        key = key[by]
+        at = at[by]
         order[slots] = at
         new = np.concatenate(([True], key[1:] != key[:-1]))
-        head = slots[np.maximum.accumulate(np.where(new, np.arange(len(slots)), 0))]
-        rank[at] = head + 1
+        del key, by
+        rank[at] = slots[np.maximum.accumulate(np.where(new, np.arange(len(slots), dtype=kind), kind(0)))] + kind(1)
         places, first = slots, new
-        done *= 2
+        done = min(2 * done, n)  # no suffix is longer
 
 
 def common_prefixes(symbols: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Lengths of the common prefixes of suffixes a and b."""
     n = len(symbols)
-    padded = np.concatenate([symbols.astype(_U), np.zeros(14, _U)])
+    padded = np.concatenate([symbols.astype(np.uint16), np.zeros(14, np.uint16)])
     word = np.zeros(n + 7, _U)
     for i in range(7):
-        word = (word << _U(9)) | padded[i : i + n + 7]
-    out, left = np.zeros(len(a), np.int64), np.arange(len(a))
+        word <<= _U(9)
+        word |= padded[i : i + n + 7]
+    out, left = np.zeros(len(a), _places(n)), np.arange(len(a), dtype=_places(len(a)))
     a, b = a.copy(), b.copy()
     while len(left):
         x = word[a] ^ word[b]
@@ -135,12 +148,12 @@ class RunIndex:
 
     def __init__(self, texts: Sequence[bytes]) -> None:
         self.sizes = np.array([len(t) for t in texts])
-        joined = np.frombuffer(b"\0".join(texts), np.uint8).astype(np.int64) + 1
+        joined = np.frombuffer(b"\0".join(texts), np.uint8).astype(np.int16) + np.int16(1)
         self.starts = np.cumsum(self.sizes + 1) - self.sizes - 1
         joined[self.starts[1:] - 1] = 0
         self.symbols = joined
         order = suffix_array(joined)
-        before = np.where(order > 0, joined[order - 1], -1)
+        before = np.where(order > 0, joined[order - 1], np.int16(-1))
         heads = np.flatnonzero(before[1:] != before[:-1]) + 1  # a run ends before each and begins at it
         self.first, self.last = order[np.concatenate(([0], heads))], order[np.concatenate((heads - 1, [len(order) - 1]))]
         self.runs = len(heads) + 1
@@ -163,10 +176,14 @@ class RunIndex:
 
 
 def _streamed(n: int, places: np.ndarray, values: np.ndarray) -> np.ndarray:
-    known = np.full(n, -1)
+    kind = _places(n)
+    known, at = np.full(n, -1, kind), np.arange(n, dtype=kind)
     known[places] = values
-    at = np.maximum.accumulate(np.where(known >= 0, np.arange(n), 0))
-    return np.maximum(known[at] - (np.arange(n) - at), 0)
+    at = np.maximum.accumulate(np.where(known >= 0, at, kind(0)))
+    known = known[at]
+    known += at
+    known -= np.arange(n, dtype=kind)
+    return np.maximum(known, kind(0), out=known)
 
 
 def spans_of(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:

@@ -149,6 +149,25 @@ def links(rows, percent=80):
     return [(r[0], len(s), min((x for x in least[top(i)] if x is not None), default=None)) for i, (r, s) in enumerate(zip(rows, sets, strict=True))]
 
 
+def test_run_index_takes_few_bytes_a_symbol():
+    import tracemalloc
+
+    from emberlens.llm.repeats import RunIndex
+
+    rng = random.Random(5)
+    base = [rng.randbytes(600) for _ in range(20)]
+    texts = [base[k % 20][: 200 + k % 400] + rng.randbytes(k % 300) for k in range(1000)]
+    tracemalloc.start()
+    try:
+        index = RunIndex(texts)
+        found = index.repeated(200)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(map(len, found)) > 100_000
+    assert peak < 60 * len(index.symbols)
+
+
 @pytest.mark.parametrize("block", [1000, 4])
 def test_jaccard(docs, rows, empty, block):
     from emberlens.llm import jaccard
