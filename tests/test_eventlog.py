@@ -54,6 +54,28 @@ def test_lines_are_numbered_in_any_split(spark, tmp_path):
     assert len(rows) == 3002 and all(r.value == f"line {r.line}" for r in rows)
 
 
+def test_lines_are_numbered_where_they_are_read(spark, tmp_path):
+    """Lines of split, packed, compacted and empty files keep their numbers, and no line is shuffled for them."""
+    from emberlens.sources.eventlog import event_lines
+
+    for name, n in (("app-1-1/events_1_app-1-1", 900), ("app-1-1/events_2_app-1-1.compact", 700), ("app-1-1/events_3_app-1-1", 3), ("app-2-2", 1), ("app-3-3", 0), ("app-4-4", 2000)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("".join(f'{{"Event":"E","k":{i}}}\n' for i in range(1, n + 1)))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in old:
+        spark.conf.set(k, "4096" if "max" in k else "10")
+    try:
+        events = event_lines(spark, str(tmp_path))
+        rows = [(r.app_id, r.part, r.line, r.value) for r in events.collect()]
+        plan = events._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = [("app-1-1", 2, 700), ("app-1-1", 3, 3), ("app-2-2", 0, 1), ("app-4-4", 0, 2000)]
+    assert sorted(rows) == sorted((app, part, i, f'{{"Event":"E","k":{i}}}') for app, part, n in want for i in range(1, n + 1))
+    assert "row_number" not in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan, plan
+
+
 def test_counts_and_quality(logs, gold):
     events, tables = gold
     want = Counter(e["Event"].rpartition(".")[2] for e in logs[1])
