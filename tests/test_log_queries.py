@@ -76,3 +76,32 @@ def test_lines_without_fields_keep_their_row(spark):
     lines = [("a", 1, 0, "f", k, "SparkListenerApplicationEnd", v) for k, v in enumerate((None, "{", "{}", '{"Timestamp": 7}'))]
     events = spark.createDataFrame(lines, "app_id string, attempt int, part long, file string, line long, event string, value string")
     assert sorted((x.line, x.t) for x in X.app_ends(events).collect()) == [(0, None), (1, None), (2, None), (3, 7)]
+
+
+def test_only_named_fields_are_parsed(spark):
+    """A query that sums three counters doesn't parse the others, and gets the same values."""
+    from emberlens.operators import extract as X
+    from emberlens.plans import fleet as L
+
+    plan = _plan(spark, "log_stage_spill")
+    lines = L.task_end_lines(L.item_rows(spark, SF))
+    some = ("status", "scheduler_delay_ms", "getting_ms", "disk_spill", "task_id")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    parsed = [x for x in X.task_ends(lines, some)._jdf.queryExecution().analyzed().toString().splitlines() if "from_json(" in x]
+    assert parsed and not any("JVMHeapMemory," in x and "Accumulables,array" in x for x in parsed) and plan.count("from_json(") == 1
+    names = str(X._fields("`A B` struct<`C`: int, D: struct<E: int, F: int>>, G int, H map<string,string>", ("e.`A B`.D.E + 1", "element_at(e.H, 'G')")).simpleString())
+    assert names == "struct<A B:struct<D:struct<E:int>>,H:map<string,string>>"
+    assert sorted(X.task_ends(lines, some).select(*some).collect()) == sorted(X.task_ends(lines).select(*some).collect())
+
+
+def test_jobs_are_sorted_once(spark):
+    """Of several starts the first counts, of several ends the last, without a join or an aggregate of texts; ends of no job are left out."""
+    from emberlens.operators import stages as S
+
+    place = "app_id string, attempt int, part long, file string, line long, job_id int, "
+    starts = spark.createDataFrame([("a", 1, 0, "f", 5, 1, 50), ("a", 1, 0, "f", 2, 1, 20), ("a", 1, 0, "f", 9, 2, 90), ("a", 1, 0, "f", 10, None, 7)], place + "submitted long")
+    ends = spark.createDataFrame([("a", 1, 0, "f", 6, 1, 60, "JobSucceeded", None), ("a", 1, 0, "f", 7, 1, 70, "JobFailed", "gone"), ("a", 1, 0, "f", 8, 3, 80, "JobFailed", None), ("a", 1, 0, "f", 11, None, 8, "JobFailed", None)], place + "completed long, result string, message string")
+    out = S.jobs(starts, ends)
+    assert sorted(((x.job_id, x.submitted, x.line, x.completed, x.failed, x.error) for x in out.collect()), key=str) == [(1, 20, 2, 70, True, "gone"), (2, 90, 9, None, False, None), (None, 7, 10, None, False, None)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan, plan
