@@ -105,3 +105,13 @@ def test_jobs_are_sorted_once(spark):
     assert sorted(((x.job_id, x.submitted, x.line, x.completed, x.failed, x.error) for x in out.collect()), key=str) == [(1, 20, 2, 70, True, "gone"), (2, 90, 9, None, False, None), (None, 7, 10, None, False, None)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan, plan
+
+
+def test_only_wanted_tables_are_stored(spark, tmp_path):
+    from emberlens.plans import fleet as L
+    from emberlens.plans.gold import gold_tables
+
+    orders = L.order_rows(spark, SF)
+    out = gold_tables(L.job_lines(orders).unionByName(L.app_lines(orders)), store=str(tmp_path), only=("jobs", "applications"))
+    assert set(out) == {"jobs", "applications", "findings"} and {x.name for x in tmp_path.iterdir()} == {"events", "jobs", "applications"}
+    assert {x.rule for x in out["findings"].select("rule").distinct().collect()} == {"job-failed"}
