@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import salted_join, staged, utf8
+from .common import recorded, release, salted_join, staged, utf8
 
 _U = np.uint64
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -108,9 +108,11 @@ def common_words(docs: DataFrame, n_col: str = "text") -> Common:
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64)), pa.array(np.zeros(len(h), bool))], names=["h", "c", "total"])
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([int(c.sum())], pa.int64()), pa.array([True])], names=["h", "c", "total"])
 
-    counts = staged(docs.select(utf8(n_col).alias("text")).mapInArrow(counted, "h long, c long, total boolean").groupBy("h", "total").agg(F.sum("c").alias("c")))
+    with recorded() as made:
+        counts = staged(docs.select(utf8(n_col).alias("text")).mapInArrow(counted, "h long, c long, total boolean").groupBy("h", "total").agg(F.sum("c").alias("c")))
     total = counts.filter("total").agg(F.sum("c")).first()[0] or 0
     rows = counts.filter(~F.col("total") & (F.col("c") > F.lit(max(1, SHARE * total)))).select("h", "c").toArrow()
+    release(docs.sparkSession, made)
     h, c = rows["h"].to_numpy().view(_U), rows["c"].to_numpy()
     order = np.argsort(h)
     return Common(h[order], c[order])
@@ -303,7 +305,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 [b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(key, pa.int64()), pa.array(h, pa.list_(pa.int64())), pa.array(cells, pa.binary())], names=["id", "th", "n", "k", "prefix", "cells"]
             )
 
-    nodes = staged(kept.mapInArrow(keyed, f"id {id_type}, th long, n long, k long, prefix array<long>, cells binary"))
+    with recorded() as made:
+        prefixes = staged(kept.mapInArrow(keyed, f"id {id_type}, th long, n long, k long, prefix array<long>, cells binary"))
+    nodes = staged(prefixes.drop("prefix"))
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows in the order of h and k: those whose h has several k, with the smallest. The first row of a gram is held back until the next."""
@@ -333,11 +337,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["k", "h", "pivot"])
 
     # One shuffle of hash and key; a gram's rows are streamed in order, with one key held.
-    grams = nodes.filter("prefix is not null").select(F.explode("prefix").alias("h"), "k").repartition("h").sortWithinPartitions("h", "k")
+    grams = prefixes.filter("prefix is not null").select(F.explode("prefix").alias("h"), "k").repartition("h").sortWithinPartitions("h", "k")
     pairs = grams.mapInArrow(shared, "k long, h long, pivot long").groupBy("k").agg(F.collect_set("h").alias("shared"), F.array_sort(F.collect_set("pivot")).alias("pivots"))
     row = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))
     one = nodes.filter("k is not null").groupBy("k").agg(row.alias("at"), F.first("n").alias("n"), F.first("cells").alias("cells"))
     members = staged(pairs.join(one, "k"))
+    release(docs.sparkSession, made)  # nothing reads the prefixes any more, and of all that is written here they take the most
 
     def likely(table: pa.Table) -> pa.Table:
         p = table["pivot"][0].as_py()

@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -177,6 +178,45 @@ def test_jaccard(docs, rows, empty, block):
         assert jaccard.jaccard_components(empty).count() == 0
 
 
+def shuffled(spark):
+    return str(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()).count("shuffle_")
+
+
+def test_staged_leaves_nothing_shuffled(spark):
+    from pyspark.sql import functions as F
+
+    from emberlens.llm.common import _CLEANUP, recorded, staged
+
+    for _ in range(3):  # what earlier tests have shuffled may be deleted meanwhile
+        before, setting = shuffled(spark), spark.conf.get(_CLEANUP)
+        out = staged(spark.range(1000).repartition(7).groupBy((F.col("id") % 10).alias("k")).count())
+        for _ in range(50):  # files are deleted in the background
+            if shuffled(spark) <= before:
+                break
+            time.sleep(0.1)
+        assert shuffled(spark) <= before
+        assert out.count() == 10 and spark.conf.get(_CLEANUP) == setting
+    with recorded() as outer:
+        with recorded() as inner:
+            staged(spark.range(1))
+        staged(spark.range(1))
+    assert len(inner) == 1 and len(outer) == 2 and outer[0] == inner[0]
+
+
+def test_jaccard_keeps_no_prefixes(spark, docs):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from emberlens.llm.common import recorded
+    from emberlens.llm.jaccard import jaccard_components
+
+    with recorded() as made:
+        out = jaccard_components(docs)
+    kept = [spark.read.parquet(p).columns for p in made if any(Path(urlparse(p).path).glob("*.parquet"))]
+    assert any("k" in c for c in kept) and not any("prefix" in c or "total" in c for c in kept)
+    assert out.count() == docs.count()
+
+
 @pytest.mark.parametrize("block", [1000, 20])
 def test_jaccard_of_null_and_repeated_ids_and_a_large_group(spark, block):
     from emberlens.llm import jaccard
