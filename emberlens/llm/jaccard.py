@@ -3,119 +3,64 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import recorded, release, salted_join, staged, utf8
+from .common import recorded, release, salted_join, shuffles_deleted, staged, utf8
+from .wordsets import BITS, CELLS, by_owner, cell_of, ranks, sets_of_texts, stretches, word_hashes
 
 _U = np.uint64
-_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-#: A word has a rank of its own from this share of all words on, so at most 1 / SHARE words do: what is broadcast is bounded.
-SHARE = 4e-6
 #: Documents of a bundle that one task compares with as many others.
 BLOCK = 1000
 #: Members of a large bundle that all others are compared with first.
 HEADS = 16
-_CELLS = 16
-
-
-class Words:
-    """64-bit hashes of words, those met lately by lookup; the table is bounded."""
-
-    def __init__(self, most: int = 300_000) -> None:
-        self.known: dict[bytes, int] = {}
-        self.most = most
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), _U, len(words))
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
-    return h ^ (h >> _U(31))
-
-
-def shingles(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each n-word window; with fewer words, of the whole sequence."""
-    if not len(words):
-        return words
-    k = min(n, len(words))
-    h = np.full(len(words) - k + 1, k, _U)
-    for i in range(k):
-        h = _mixed(h * _U(_MIX[0]) + words[i : len(words) - k + 1 + i])
-    return h
-
-
-def windowed_min(a: np.ndarray, n: int) -> np.ndarray:
-    k = min(n, len(a))
-    out = a[: len(a) - k + 1]
-    for i in range(1, k):
-        out = np.minimum(out, a[i : len(a) - k + 1 + i])
-    return out
-
-
-class Common(NamedTuple):
-    """The words that have a rank: hashes in ascending order, and how often each occurs in all documents."""
-
-    hashes: np.ndarray
-    counts: np.ndarray
-
-    def of(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(words), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words, self.counts[at], 0)
-
-
-def rare_first(text: bytes, words: Words, common: Common, n: int) -> np.ndarray:
-    """The document's set, by the count of each n-gram's rarest word, which bounds the n-gram's own; then by hash."""
-    w = words.hashes(text.lower().split())
-    h, first = np.unique(shingles(w, n), return_index=True)
-    if not len(h):
-        return h
-    return h[np.argsort(windowed_min(common.of(w), n)[first], kind="stable")]
-
-
-def node_key(tokens: np.ndarray) -> int | None:
-    """Equal sets have equal keys; an empty one has none."""
-    return int(np.frombuffer(xxhash.xxh3_64_digest(np.sort(tokens).tobytes()), np.int64)[0]) if len(tokens) else None
+#: Bundles of at most so many members are compared many at once.
+SMALL = 16
+#: About so many prefix n-grams are sorted at once.
+GRAMS = 1 << 18
+#: Counts of words' cells that make a row.
+_PIECE = 1 << 12
+#: Rows, and bytes of them, that are worked on at once.
+_ROWS, _BYTES = 1 << 13, 1 << 22
 
 
 def prefix_length(size: np.ndarray | int, percent: int):
     return size - -(-percent * size // 100) + 1
 
 
-def common_words(docs: DataFrame, n_col: str = "text") -> Common:
-    """Counts over all documents' words, summed in tasks and after the shuffle."""
+def word_ranks(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Ranks of the cells of all documents' words by their counts, summed in tasks and after the shuffle, both in a table of fixed size."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        out = np.zeros(1 << BITS, np.int64)
         for b in batches:
-            parts = [words.hashes(x.as_py().lower().split()) for x in b.column(0)]
-            h, c = np.unique(np.concatenate([np.empty(0, _U), *parts]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64)), pa.array(np.zeros(len(h), bool))], names=["h", "c", "total"])
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([int(c.sum())], pa.int64()), pa.array([True])], names=["h", "c", "total"])
+            for _, _, text, bounds in stretches(b.column(0)):
+                out += np.bincount(cell_of(word_hashes(text, bounds)[0]), minlength=1 << BITS)
+        yield from pieces(out)
 
-    with recorded() as made:
-        counts = staged(docs.select(utf8(n_col).alias("text")).mapInArrow(counted, "h long, c long, total boolean").groupBy("h", "total").agg(F.sum("c").alias("c")))
-    total = counts.filter("total").agg(F.sum("c")).first()[0] or 0
-    rows = counts.filter(~F.col("total") & (F.col("c") > F.lit(max(1, SHARE * total)))).select("h", "c").toArrow()
-    release(docs.sparkSession, made)
-    h, c = rows["h"].to_numpy().view(_U), rows["c"].to_numpy()
-    order = np.argsort(h)
-    return Common(h[order], c[order])
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[int, np.ndarray] = {}
+        for b in batches:
+            for piece, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                x = np.frombuffer(x.as_py(), np.int64)
+                out[piece] = out[piece] + x if piece in out else x
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([x.tobytes() for x in out.values()], pa.binary())], names=["piece", "counts"])
+
+    def pieces(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows = [(i // _PIECE, counts[i : i + _PIECE].tobytes()) for i in range(0, len(counts), _PIECE) if counts[i : i + _PIECE].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["piece", "counts"])
+
+    out = np.zeros(1 << BITS, np.int64)
+    with shuffles_deleted(docs.sparkSession):
+        rows = docs.select(utf8(text_col).alias("text")).mapInArrow(counted, "piece int, counts binary").repartition("piece").mapInArrow(summed, "piece int, counts binary").toArrow()
+    for piece, x in zip(rows["piece"].to_pylist(), rows["counts"], strict=True):
+        out[piece * _PIECE : (piece + 1) * _PIECE] += np.frombuffer(x.as_py(), np.int64)
+    return ranks(out)
 
 
 def overlaps(tokens: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
@@ -158,18 +103,147 @@ def candidates(sizes: np.ndarray, shared: list[np.ndarray], cells: np.ndarray, s
         maybe &= (c > 0) & (c + np.maximum.outer(rest, rest) >= need)
     if maybe.any():
         # Suffix: sets can't share more of a cell of hashes than the smaller number of tokens in it.
-        bound = sum(np.minimum.outer(cells[:, k], cells[:, k]) for k in range(_CELLS))
+        bound = sum(np.minimum.outer(cells[:, k], cells[:, k]) for k in range(CELLS))
         maybe &= bound >= need
     return maybe
 
 
 def linked(sizes: np.ndarray, sets: list[np.ndarray], maybe: np.ndarray, percent: int) -> np.ndarray:
     """Smallest index that each set reaches by links among the pairs that may link."""
-    label = np.arange(len(sizes))
     rows = np.flatnonzero(maybe.any(axis=1))
     both = overlaps(sets, rows)
     a, b = np.nonzero(maybe[rows] & (100 * both >= percent * (np.add.outer(sizes[rows], sizes) - both)))
-    a = rows[a]
+    return labels_of(len(sizes), rows[a], b)
+
+
+def cell_counts(tokens: np.ndarray) -> np.ndarray:
+    return np.bincount((tokens >> _U(60)).astype(np.int64), minlength=CELLS).astype("<i4")
+
+
+def packed(hashes: np.ndarray, buckets: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """One row for each bucket of hashes, with its values of each column of 64 bits as bytes."""
+    bucket = ((hashes >> _U(40)) * _U(buckets)) >> _U(24)
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+    bucket = bucket[order]
+    start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
+    at = np.append(start, len(bucket)).tolist()
+    found = {"bucket": pa.array(bucket[start].astype(np.int64))}
+    for name, x in columns.items():
+        data = memoryview(x[order].tobytes())
+        found[name] = pa.array([data[8 * a : 8 * b] for a, b in zip(at, at[1:], strict=False)], pa.binary())
+    return pa.RecordBatch.from_arrays(list(found.values()), names=list(found))
+
+
+def unpacked(table: pa.Table, column: str) -> np.ndarray:
+    return np.frombuffer(b"".join(table[column].to_pylist()), np.int64)
+
+
+class Pairs:
+    """All pairs a < b of rows of the same group; start: where the groups begin, and the end. Up to 65,536 groups, each of few rows."""
+
+    def __init__(self, start: np.ndarray) -> None:
+        self.m = np.diff(start)
+        each = self.m * (self.m - 1) // 2
+        self.base = np.cumsum(each) - each
+        self.group = np.repeat(np.arange(len(self.m)).astype(np.uint16), self.m)
+        self.local = np.arange(len(self.group)) - np.repeat(start[:-1] - start[0], self.m)
+        self.a, self.b = np.empty(int(each.sum()), np.int64), np.empty(int(each.sum()), np.int64)
+        for v in np.unique(self.m[self.m > 1]):
+            g = np.flatnonzero(self.m == v)
+            i, j = np.triu_indices(v, 1)
+            at = self.base[g][:, None] + np.arange(len(i))
+            self.a[at], self.b[at] = (start[g] - start[0])[:, None] + i, (start[g] - start[0])[:, None] + j
+
+    def common(self, values: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """How many values the rows of each pair have in common. row: whose each value is; none has a value twice."""
+        order = by_owner(self.group[row], np.argsort(values))
+        v, row = values[order], row[order]
+        group = self.group[row]
+        out = np.zeros(len(self.a), np.int64)
+        at, d = np.flatnonzero((v[1:] == v[:-1]) & (group[1:] == group[:-1])), 1
+        while len(at):  # places whose value is also that of the place d further on
+            x, y = np.minimum(row[at], row[at + d]), np.maximum(row[at], row[at + d])
+            i, m = self.local[x], self.m[group[at]]
+            out += np.bincount(self.base[group[at]] + i * (2 * m - i - 1) // 2 + self.local[y] - i - 1, minlength=len(out))
+            d += 1
+            at = at[at + d < len(v)]
+            at = at[(v[at + d] == v[at]) & (group[at + d] == group[at])]
+        return out
+
+
+class Bundled:
+    """Rows of whole pairs of blocks, in their order and without repeated ones: pivot, k, own, sizes, cells, lists of shared tokens and of pivots."""
+
+    def __init__(self, table: pa.Table, sets: bool) -> None:
+        column = lambda c: table[c].to_numpy()
+        pivot, i, j, k = (column(c) for c in ("pivot", "i", "j", "k"))
+        change = np.ones(len(k), bool)
+        change[1:] = (pivot[1:] != pivot[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        first = change.copy()
+        first[1:] |= k[1:] != k[:-1]
+        if not first.all():
+            table, change = table.filter(pa.array(first)), change[first]
+        self.start = np.append(np.flatnonzero(change), table.num_rows)
+        self.pivot, self.k, self.own = (column(c) for c in ("pivot", "k", "own"))
+        longs = lambda c, kind: [np.frombuffer(x, kind) for x in table[c].to_pylist()]
+        self.shared, self.pivots = longs("shared", np.int64), [np.array(x, np.int64) for x in table["pivots"].to_pylist()]
+        self.sets = longs("tokens", _U) if sets else None
+        self.sizes = np.array([len(x) for x in self.sets]) if sets else column("n")
+        self.cells = np.stack([cell_counts(x) for x in self.sets] if sets else longs("cells", "<i4"))
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, int]]:
+        """Rows of each larger pair of blocks, and where its second block begins among them (0: it is one block)."""
+        m = np.diff(self.start)
+        for g in np.flatnonzero(m > SMALL):
+            at = np.arange(self.start[g], self.start[g + 1])
+            own = self.own[at]
+            yield at, 0 if own[0] == own[-1] else int((own == own[0]).sum())
+
+    def likely(self, at: np.ndarray, split: int, percent: int) -> np.ndarray:
+        """Which pairs of a larger pair of blocks may link."""
+        return candidates(self.sizes[at], [self.shared[x] for x in at], self.cells[at], split, [self.pivots[x].tolist() for x in at], int(self.pivot[at[0]]), percent)
+
+    def small(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Both rows of the pairs of all small bundles that may link, as candidates() finds them, or that link, if there are sets."""
+        m = np.diff(self.start)
+        rows = np.flatnonzero(np.repeat((m > 1) & (m <= SMALL), m))
+        m = m[(m > 1) & (m <= SMALL)]
+        start = np.concatenate(([0], np.cumsum(m)))
+        pairs = Pairs(start)
+        a, b = rows[pairs.a], rows[pairs.b]
+        low, high = np.minimum(self.sizes[a], self.sizes[b]), np.maximum(self.sizes[a], self.sizes[b])
+        need = -(-percent * (low + high) // (100 + percent))
+        split = (self.own[rows[start[:-1]]] != self.own[rows[start[1:] - 1]])[pairs.group[pairs.a]] if len(m) else np.zeros(0, bool)
+        maybe = (100 * low >= percent * high) & (~split | (self.own[a] != self.own[b]))
+        if maybe.any():  # a pair is verified in the bundle of its smallest common pivot only
+            values, row = listed(self.pivots, rows)
+            own = values < self.pivot[rows[row]]
+            maybe &= pairs.common(values[own], row[own]) == 0
+        if maybe.any():
+            c = pairs.common(*listed(self.shared, rows))
+            rest = self.sizes - prefix_length(self.sizes, percent)
+            maybe &= (c > 0) & (c + np.maximum(rest[a], rest[b]) >= need)
+            at = np.flatnonzero(maybe)
+            maybe[at] = np.minimum(self.cells[a[at]], self.cells[b[at]]).sum(axis=1) >= need[at]
+        if self.sets is None or not maybe.any():
+            return a[maybe], b[maybe]
+        wanted = np.zeros(len(rows), bool)
+        wanted[pairs.a[maybe]] = wanted[pairs.b[maybe]] = True
+        both = pairs.common(*listed(self.sets, rows, wanted))
+        maybe &= 100 * both >= percent * (low + high - both)
+        return a[maybe], b[maybe]
+
+
+def listed(lists: list[np.ndarray], rows: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The values of rows' lists one after another, and the place in rows that each belongs to; only of wanted ones, if these are given."""
+    at = np.arange(len(rows)) if wanted is None else np.flatnonzero(wanted)
+    found = [lists[x] for x in rows[at]]
+    return np.concatenate(found) if found else np.empty(0, np.int64), np.repeat(at, [len(x) for x in found])
+
+
+def labels_of(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index that each of count rows reaches by the links a, b."""
+    label = np.arange(count)
     while True:  # the smallest label spreads along links
         new = label.copy()
         np.minimum.at(new, a, label[b])
@@ -180,8 +254,24 @@ def linked(sizes: np.ndarray, sets: list[np.ndarray], maybe: np.ndarray, percent
         label = new
 
 
-def cell_counts(tokens: np.ndarray) -> np.ndarray:
-    return np.bincount((tokens >> _U(60)).astype(np.int64), minlength=_CELLS).astype("<i4")
+def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in the order of pivot, i and j in tables of whole pairs of blocks. Only the last one is held until the next batch."""
+    held: pa.Table | None = None
+    for b in batches:
+        table = pa.Table.from_batches([b])
+        held = table if held is None else pa.concat_tables([held, table])
+        pivot, i, j = (held[c].to_numpy() for c in ("pivot", "i", "j"))
+        start = np.concatenate(([0], np.flatnonzero((pivot[1:] != pivot[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1))
+        weight = held.nbytes / max(1, held.num_rows)
+        most = max(1, min(_ROWS, int(_BYTES / max(1.0, weight))))
+        at = 0
+        while at < start[-1]:
+            to = int(start[max(np.searchsorted(start, at + most, "right") - 1, np.searchsorted(start, at, "right"))])
+            yield held.slice(at, to - at)
+            at = to
+        held = held.slice(at)
+    if held is not None and held.num_rows:
+        yield held
 
 
 def dealt(rows: DataFrame, block: int) -> DataFrame:
@@ -241,15 +331,6 @@ def heads_of(members: DataFrame, sets: DataFrame, percent: int, block: int) -> t
     return found.filter("label is not null").select("k", "pivot", "label").distinct(), found.filter("to is not null").select(F.col("k").alias("a"), F.col("to").alias("b"))
 
 
-def _members(table: pa.Table) -> tuple[pa.Table, np.ndarray, int]:
-    """A pair of blocks without repeated rows, its keys, and where its second block begins (0: it is one block)."""
-    table = table.sort_by([("own", "ascending"), ("k", "ascending")])
-    own, k = table["own"].to_numpy(), table["k"].to_numpy()
-    first = np.concatenate(([True], k[1:] != k[:-1]))
-    table, own, k = table.filter(pa.array(first)), own[first], k[first]
-    return table, k, 0 if own[0] == own[-1] else int((own == own[0]).sum())
-
-
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) -> (a, root): the smallest node that each node reaches, by large and small stars in turn; nodes without edges are left out."""
     edges = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -283,103 +364,111 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     empty table gives an empty one; other columns aren't read. Sets are told apart by 64-bit hashes: of N different sets, about N**2 / 2**65 pairs
     are expected to count as equal, less than one for 6 billion.
     """
-    common = common_words(docs, text_col)
+    rank = word_ranks(docs, text_col)
     # A row is found again by its id and its text's hash.
     kept = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     id_type = kept.schema["id"].dataType.simpleString()
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = Words(), set()
+        seen = set()
         for b in batches:
-            size, key, h, cells = [], [], [], []
-            for x in b.column(1):
-                s = rare_first(x.as_py(), words, common, n)
-                size.append(len(s))
-                k = node_key(s)
-                key.append(k)
-                first = len(s) and k not in seen
-                seen.add(k)
-                h.append(s[: prefix_length(len(s), percent)].view(np.int64) if first else None)
-                cells.append(cell_counts(s).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(key, pa.int64()), pa.array(h, pa.list_(pa.int64())), pa.array(cells, pa.binary())], names=["id", "th", "n", "k", "prefix", "cells"]
-            )
+            for i, j, s in sets_of_texts(b.column(1), n, rank):
+                size, key, at, tokens = np.diff(s.bounds), s.keys(), s.bounds.tolist(), s.rare_first()
+                prefix = []
+                for k, x, m in zip(key, at, size.tolist(), strict=False):
+                    prefix.append(tokens[x : x + prefix_length(m, percent)].tobytes() if m and k not in seen else None)
+                    seen.add(k)
+                cells = [x.tobytes() for x in s.cells().astype("<i4")]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(size, pa.int64()), pa.array(key, pa.int64()), pa.array(prefix, pa.binary()), pa.array(cells, pa.binary())],
+                    names=["id", "th", "n", "k", "prefix", "cells"],
+                )
 
     with recorded() as made:
-        prefixes = staged(kept.mapInArrow(keyed, f"id {id_type}, th long, n long, k long, prefix array<long>, cells binary"))
+        prefixes = staged(kept.mapInArrow(keyed, f"id {id_type}, th long, n long, k long, prefix binary, cells binary"))
     nodes = staged(prefixes.drop("prefix"))
+    buckets = -(-(prefixes.agg(F.sum(F.octet_length("prefix").cast("long"))).first()[0] or 0) // (8 * GRAMS)) or 1
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows in the order of h and k: those whose h has several k, with the smallest. The first row of a gram is held back until the next."""
-        gram = pivot = None
-        alone = False
+    def dealt_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            h, k = b.column(0).to_numpy(), b.column(1).to_numpy()
-            new = np.concatenate(([h[0] != gram], h[1:] != h[:-1]))
-            head = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
-            p = np.where(head >= 0, k[head], 0 if pivot is None else pivot)
-            other = k != p
-            use = other.copy()
-            firsts = np.unique(head[other])  # heads that turn out to have company
-            out_h, out_k, out_p = [], [], []
-            if len(firsts) and firsts[0] < 0:
-                if alone:
-                    out_h, out_k, out_p = [gram], [pivot], [pivot]
-                    alone = False
-                firsts = firsts[1:]
-            use[firsts] = True
-            if new.any():
-                last = int(head[-1])
-                alone, gram, pivot = not use[last], int(h[last]), int(k[last])
-            cols = [np.concatenate([np.array(x, np.int64), y[use]]) for x, y in ((out_k, k), (out_h, h), (out_p, p))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["k", "h", "pivot"])
-
-    # One shuffle of hash and key; a gram's rows are streamed in order, with one key held.
-    grams = prefixes.filter("prefix is not null").select(F.explode("prefix").alias("h"), "k").repartition("h").sortWithinPartitions("h", "k")
-    pairs = grams.mapInArrow(shared, "k long, h long, pivot long").groupBy("k").agg(F.collect_set("h").alias("shared"), F.array_sort(F.collect_set("pivot")).alias("pivots"))
+            prefix = [np.frombuffer(x, _U) for x in b.column(1).to_pylist()]
+            h, k = np.concatenate([np.empty(0, _U), *prefix]), np.repeat(b.column(0).to_numpy(), [len(x) for x in prefix])
+            yield packed(h, buckets, {"h": h, "k": k})
+
+    def shared(table: pa.Table) -> pa.Table:
+        """Of a bucket's grams, those that several k have: with each k and the gram's smallest one, by buckets of k."""
+        h, k = unpacked(table, "h").view(_U), unpacked(table, "k")
+        order = np.argsort(h)
+        h, k = h[order], k[order]
+        new = np.append(True, h[1:] != h[:-1])
+        start = np.flatnonzero(new)
+        pivot, last, gram = np.minimum.reduceat(k, start), np.maximum.reduceat(k, start), np.cumsum(new) - 1
+        use = (pivot != last)[gram]
+        h, k, pivot = h[use], k[use], pivot[gram[use]]
+        return pa.Table.from_batches([packed(k.view(_U), -(-buckets // 2), {"h": h, "k": k, "pivot": pivot})])
+
+    def gathered(table: pa.Table) -> pa.Table:
+        """Of a bucket of k: each with its grams, and their pivots."""
+        h, k, pivot = (unpacked(table, c) for c in ("h", "k", "pivot"))
+        order = np.lexsort((h, k))
+        h, k, pivot = h[order], k[order], pivot[order]
+        new = np.append(True, (k[1:] != k[:-1]) | (h[1:] != h[:-1]))  # tasks that saw equal sets have each emitted the key
+        h, k, pivot = h[new], k[new], pivot[new]
+        at = [*np.flatnonzero(np.append(True, k[1:] != k[:-1])).tolist(), len(k)]
+        parts = list(zip(at, at[1:], strict=False))
+        return pa.table({"k": k[at[:-1]], "shared": pa.array([h[a:b].tobytes() for a, b in parts], pa.binary()), "pivots": pa.array([np.unique(pivot[a:b]) for a, b in parts], pa.list_(pa.int64()))})
+
+    # Hashes and keys are shuffled in packed columns: a task's grams of a bucket are one row, and so are a bucket's of a bucket of keys.
+    grams = prefixes.filter("prefix is not null").select("k", "prefix").mapInArrow(dealt_grams, "bucket long, h binary, k binary")
+    found = grams.groupBy("bucket").applyInArrow(shared, "bucket long, h binary, k binary, pivot binary")
+    pairs = found.groupBy("bucket").applyInArrow(gathered, "k long, shared binary, pivots array<long>")
     row = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))
     one = nodes.filter("k is not null").groupBy("k").agg(row.alias("at"), F.first("n").alias("n"), F.first("cells").alias("cells"))
     members = staged(pairs.join(one, "k"))
     release(docs.sparkSession, made)  # nothing reads the prefixes any more, and of all that is written here they take the most
 
-    def likely(table: pa.Table) -> pa.Table:
-        p = table["pivot"][0].as_py()
-        table, k, split = _members(table)
-        maybe = candidates(
-            table["n"].to_numpy(), [np.asarray(x, np.int64) for x in table["shared"].to_pylist()], np.stack([np.frombuffer(x, "<i4") for x in table["cells"].to_pylist()]),
-            split, table["pivots"].to_pylist(), p, percent,
-        )
-        k = k[maybe.any(axis=0) | maybe.any(axis=1)]
-        return pa.table({"k": k, "pivot": np.full(len(k), p)})
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole(batches):
+            x = Bundled(table, sets=False)
+            use = np.zeros(len(x.k), bool)
+            a, b = x.small(percent)
+            use[a] = use[b] = True
+            for at, split in x:
+                maybe = x.likely(at, split, percent)
+                use[at] = maybe.any(axis=0) | maybe.any(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(x.k[use]), pa.array(x.pivot[use])], names=["k", "pivot"])
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = Words(), set()
+        seen = set()
         for b in batches:
-            sets = [rare_first(x.as_py(), words, common, n) for x in b.column(3)]
-            keys = b.column(0).to_pylist()
-            same = [node_key(s) == k and k not in seen for s, k in zip(sets, keys, strict=True)]
-            seen.update(keys)
-            out = pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([s.tobytes() for s in sets], pa.binary())], names=["k", "pivots", "shared", "tokens"])
-            yield out.filter(pa.array(same, pa.bool_()))
+            for i, j, s in sets_of_texts(b.column(3), n):
+                part, keys = b.slice(i, j - i), b.column(0).slice(i, j - i).to_pylist()
+                same = [of == k and k not in seen for of, k in zip(s.keys(), keys, strict=True)]
+                seen.update(keys)
+                data, at = memoryview(s.tokens.tobytes()), (8 * s.bounds).tolist()
+                out = pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([data[x:y] for x, y in zip(at, at[1:], strict=False)], pa.binary())], names=["k", "pivots", "shared", "tokens"])
+                yield out.filter(pa.array(same, pa.bool_()))
 
     def sets_of(bundled: DataFrame) -> tuple[DataFrame, DataFrame]:
         """k, pivots, shared and tokens of bundled(k, pivot); and bundled without repeated rows."""
         pivots = bundled.groupBy("k").agg(F.array_sort(F.collect_set("pivot")).alias("pivots"))
         wanted = staged(pivots.join(members.select("k", "at", "shared"), "k").select(F.col("at.id").alias("of"), F.col("at.th").alias("of_th"), "k", "pivots", "shared"))
         texts = kept.join(wanted, F.col("id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th"))).select("k", "pivots", "shared", "text")
-        return texts.mapInArrow(with_sets, "k long, pivots array<long>, shared array<long>, tokens binary"), wanted.select("k", F.explode("pivots").alias("pivot"))
-
-    def links(table: pa.Table) -> pa.Table:
-        p = table["pivot"][0].as_py()
-        table, k, split = _members(table)
-        tokens = [np.frombuffer(x, _U) for x in table["tokens"].to_pylist()]
-        sizes = np.array([len(t) for t in tokens])
-        maybe = candidates(sizes, [np.asarray(x, np.int64) for x in table["shared"].to_pylist()], np.stack([cell_counts(t) for t in tokens]), split, table["pivots"].to_pylist(), p, percent)
-        label = linked(sizes, tokens, maybe, percent) if maybe.any() else np.arange(len(k))
-        far = label != np.arange(len(k))
-        return pa.table({"a": k[far], "b": k[label[far]]})
+        return texts.mapInArrow(with_sets, "k long, pivots array<long>, shared binary, tokens binary"), wanted.select("k", F.explode("pivots").alias("pivot"))
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole(batches):
+            x = Bundled(table, sets=True)
+            label = labels_of(len(x.k), *x.small(percent))
+            for at, split in x:
+                maybe = x.likely(at, split, percent)
+                if maybe.any():
+                    label[at] = at[linked(x.sizes[at], [x.sets[y] for y in at], maybe, percent)]
+            far = label != np.arange(len(x.k))
+            yield pa.RecordBatch.from_arrays([pa.array(x.k[far]), pa.array(x.k[label[far]])], names=["a", "b"])
+
+    def in_order(rows: DataFrame) -> DataFrame:
+        return rows.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "own", "k")
 
     each = members.select("k", "n", "shared", "cells", "pivots", F.explode("pivots").alias("pivot"))
     huge = staged(each.groupBy("pivot").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > heads_from * block).select(F.col("pivot").alias("of")))
@@ -394,12 +483,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             return rows.withColumn("label", F.lit(None).cast("long"))
         return rows.join(labels, (F.col("k") == F.col("l_k")) & (F.col("pivot") == F.col("l_pivot")), "left").drop("l_k", "l_pivot")
 
-    some = dealt(labelled(each), block).groupBy("pivot", "i", "j").applyInArrow(likely, "k long, pivot long")
+    some = in_order(dealt(labelled(each), block)).mapInArrow(likely, "k long, pivot long")
     sets, bundled = sets_of(some)
     # Blocks are counted before the texts are fetched.
     bundles = dealt(labelled(bundled), block).groupBy("k").agg(F.collect_set(F.struct("pivot", "own", "i", "j")).alias("bundles")).withColumnRenamed("k", "of_k")
     ready = sets.join(bundles, F.col("k") == F.col("of_k")).withColumn("x", F.explode("bundles")).select("k", "pivots", "shared", "tokens", "x.*")
-    verified = ready.groupBy("pivot", "i", "j").applyInArrow(links, "a long, b long")
+    verified = in_order(ready).mapInArrow(links, "a long, b long")
     roots = components(verified if edges is None else verified.unionByName(edges))
     # A set, and so a class, may hold a third of all rows.
     every = staged(salted_join(nodes.select("id", "n", "k"), roots.withColumnRenamed("a", "of"), {"k": "of"}, "left").select("id", "n", F.coalesce("root", "k").alias("c")))
