@@ -24,6 +24,8 @@ SMALL = 16
 GRAMS = 1 << 18
 #: Counts of words' cells that make a row.
 _PIECE = 1 << 12
+#: Texts' hashes are told apart by so many bits where texts that can't be wanted are left out, so what is broadcast for it is bounded.
+_WANTED = 22
 #: Rows, and bytes of them, that are worked on at once.
 _ROWS, _BYTES = 1 << 13, 1 << 22
 
@@ -453,7 +455,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         """k, pivots, shared and tokens of bundled(k, pivot); and bundled without repeated rows."""
         pivots = bundled.groupBy("k").agg(F.array_sort(F.collect_set("pivot")).alias("pivots"))
         wanted = staged(pivots.join(members.select("k", "at", "shared"), "k").select(F.col("at.id").alias("of"), F.col("at.th").alias("of_th"), "k", "pivots", "shared"))
-        texts = kept.join(wanted, F.col("id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th"))).select("k", "pivots", "shared", "text")
+        low = F.lit((1 << _WANTED) - 1)
+        cells = wanted.select(F.col("of_th").bitwiseAND(low).alias("cell")).distinct()
+        near = kept.join(F.broadcast(cells), F.col("th").bitwiseAND(low) == F.col("cell"), "left_semi")  # most texts are wanted by nobody, and aren't shuffled
+        texts = near.join(wanted, F.col("id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th"))).select("k", "pivots", "shared", "text")
         return texts.mapInArrow(with_sets, "k long, pivots array<long>, shared binary, tokens binary"), wanted.select("k", F.explode("pivots").alias("pivot"))
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

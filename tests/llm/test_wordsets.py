@@ -91,16 +91,40 @@ def test_small_bundles_at_once(sets, monkeypatch):
     assert many == pairs() and 100 < sum(a != b for _, a, b in many) < len(rows) - 100
 
 
+def shuffled(spark):
+    """Records and bytes that each stage has shuffled so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {x.stageId(): (x.shuffleWriteRecords(), x.shuffleWriteBytes()) for x in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(found)}
+
+
 def test_jaccard_shuffles_no_row_for_each_word_or_n_gram(spark):
     from emberlens.llm.jaccard import jaccard_components
 
-    sc = spark.sparkContext
-    store, none = sc._jsc.sc().statusStore(), sc._gateway.new_array(sc._jvm.double, 0)
-    stages = lambda: {x.stageId(): x.shuffleWriteRecords() for x in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, none, sc._jvm.java.util.ArrayList()))}
     texts = [[f"w{i}x{k}" for k in range(400)] for i in range(60)]
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(100 + i, " ".join(t[:395])) for i, t in enumerate(texts)]
-    before = max(stages(), default=-1)
+    before = max(shuffled(spark), default=-1)
     out = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
     assert out == {i: i % 100 for i, _ in rows}
-    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-    assert 0 < sum(n for s, n in stages().items() if s > before) < len(rows) * 80  # a prefix has 80 n-grams and more
+    assert 0 < sum(n for s, (n, _) in shuffled(spark).items() if s > before) < len(rows) * 80  # a prefix has 80 n-grams and more
+
+
+def test_texts_that_nobody_wants_are_not_shuffled(spark):
+    from emberlens.llm.jaccard import jaccard_components
+
+    r = random.Random(6)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=500))
+    texts = [[word() for _ in range(80)] for _ in range(100)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(200 + i, " ".join(t[:79])) for i, t in enumerate(texts[:5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).persist()
+    assert docs.count() == 105
+    before, most = max(shuffled(spark), default=-1), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if all tables were large
+    try:
+        out = {r.doc_id: r.component_id for r in jaccard_components(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    docs.unpersist()
+    assert out == {i: i % 200 for i, _ in rows}
+    assert 0 < sum(n for s, (_, n) in shuffled(spark).items() if s > before) < sum(len(t) for _, t in rows) / 2
